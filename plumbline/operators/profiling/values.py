@@ -71,7 +71,7 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) ->
     """
     ranking = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(ranking))
-    return ranked.where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def distinct_counts(

@@ -8,12 +8,10 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators.reduction import METHODS, reduce_to_budget, row_limit
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size, is_oversized
-from plumbline.session import session_setting
+from plumbline.session import ARROW, session_setting
 from plumbline.sources.files import read_files
 from plumbline.sources.inventory import infer_format, total_bytes
 
-ARROW = "spark.sql.execution.arrow.pyspark.enabled"
-
 
 def _collect(df: DataFrame) -> pd.DataFrame:
     with session_setting(df.sparkSession, ARROW, "true"):

@@ -8,7 +8,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Moves pandas frames to and from the driver in columnar batches.
+ARROW = "spark.sql.execution.arrow.pyspark.enabled"
 
 
 def local_session(cpus: int | str = "*", app: str = "plumbline", **conf: str) -> SparkSession:
@@ -49,3 +52,13 @@ def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a small derived frame that is used several times.
+
+    Only where the session names a checkpoint folder; otherwise the frame comes
+    back as it is and is recomputed per use.
+    """
+    has_folder = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+    return df.checkpoint() if has_folder and not df.isStreaming else df

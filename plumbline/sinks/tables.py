@@ -8,6 +8,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import ARROW, session_setting
+
 # Where a name with fewer than three parts belongs.
 DEFAULT_CATALOG = "spark_catalog"
 DEFAULT_SCHEMA = "default"
@@ -42,7 +44,8 @@ def create_schema(
 def as_spark(spark: SparkSession, df: object) -> DataFrame:
     """A Spark frame from a Spark, pandas or pandas-on-Spark one."""
     if isinstance(df, pd.DataFrame):
-        return spark.createDataFrame(df)
+        with session_setting(spark, ARROW, "true"):
+            return spark.createDataFrame(df)
     if hasattr(df, "to_spark"):
         return df.to_spark()
     return df
