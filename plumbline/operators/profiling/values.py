@@ -1,40 +1,41 @@
-"""Profile sections that group by value: duplicates, distinct counts, top values, exact quantiles."""
+"""Profile sections that group by value: duplicates, distinct counts, top values."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.digest import row_digest
+from plumbline.functions.rowbytes import row_width
 from plumbline.operators.profiling.columns import (
     facts_frame,
     flat_columns,
-    numeric_columns,
     present,
-    present_number,
+    quoted,
 )
 from plumbline.operators.profiling.summary import (
     DISTINCT_SCHEMA,
-    QUANTILE_ACCURACY,
-    QUANTILE_POINTS,
-    QUANTILE_SCHEMA,
     distinct_facts,
 )
 
+# Rows up to this width are grouped by their values rather than by a digest.
+NARROW_ROW_BYTES = 64
+
 
-def overview(df: DataFrame, exact_rows: bool = False) -> DataFrame:
+def overview(df: DataFrame, by_values: bool | None = None) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (rows beyond the first of their kind).
 
-    Rows are grouped by a 16-byte digest, which keeps wide rows out of the
-    shuffle, or with `exact_rows` by all their values. Copies are counted before
-    the shuffle, so a row repeated very often costs one entry per task.
+    Rows are grouped by all their values while those are few fixed-width ones,
+    else by a 16-byte digest, which keeps wide rows out of the shuffle;
+    `by_values` forces the choice. Copies are counted before the shuffle, so a row
+    repeated very often costs one entry per task.
     """
     missing = sum((present(df, c).isNull().cast("bigint") for c in df.columns), F.lit(0))
-    if exact_rows:
-        keyed, keys = df, df.columns
-        per_row = keyed.groupBy(*keys).agg(
+    if by_values is None:
+        constant, varying = row_width(df.schema, "wire")
+        by_values = varying is None and constant <= NARROW_ROW_BYTES
+    if by_values:
+        per_row = df.groupBy(*[quoted(c) for c in df.columns]).agg(
             F.count(F.lit(1)).alias("__n"), F.sum(missing).alias("__missing")
         )
     else:
@@ -82,90 +83,3 @@ def distinct_counts(
     if not exact:
         return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA)
     return value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    points: tuple[float, ...] = QUANTILE_POINTS,
-) -> DataFrame:
-    """Quantiles with linear interpolation between neighbouring values, exact at any size.
-
-    The built-in exact percentile gathers every value in one task. Here a sketch
-    pass brackets each wanted rank between two values that are close in rank; one
-    aggregation counts the rows below each bracket, and only rows inside a bracket
-    are grouped by value, shuffled and ranked.
-    """
-    names = columns or numeric_columns(df)
-    if not names:
-        return df.sparkSession.createDataFrame([], QUANTILE_SCHEMA)
-    brackets = _brackets(df, names, points)
-    if not brackets:
-        return df.sparkSession.createDataFrame([], QUANTILE_SCHEMA)
-
-    below = facts_frame(
-        df,
-        [
-            F.struct(
-                F.lit(i).alias("bracket"),
-                F.count_if(present_number(df, name) < low).alias("n_below"),
-            )
-            for i, (name, _, low, _, _) in enumerate(brackets)
-        ],
-        "bracket int, n_below bigint",
-    )
-    inside = [
-        F.when(
-            present_number(df, name).between(low, high),
-            F.struct(F.lit(i).alias("bracket"), present_number(df, name).alias("value")),
-        )
-        for i, (name, _, low, high, _) in enumerate(brackets)
-    ]
-    counts = (
-        df.select(F.inline(F.array_compact(F.array(*inside))))
-        .groupBy("bracket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("n_upto", F.sum("n").over(upto))
-    wanted = df.sparkSession.createDataFrame(
-        [(i, name, point, rank) for i, (name, point, _, _, rank) in enumerate(brackets)],
-        "bracket int, column string, quantile double, rank double",
-    )
-    # `wanted` and `below` hold one row per column and point.
-    placed = ranked.join(F.broadcast(below), "bracket").join(F.broadcast(wanted), "bracket")
-    last = F.col("n_below") + F.col("n_upto")
-    first = last - F.col("n")
-    lower_rank, upper_rank = F.floor("rank"), F.ceil("rank")
-    lower = F.max(F.when((first <= lower_rank) & (lower_rank < last), F.col("value")))
-    upper = F.max(F.when((first <= upper_rank) & (upper_rank < last), F.col("value")))
-    weight = F.first(F.col("rank") - F.floor("rank"))
-    return placed.groupBy("column", "quantile").agg((lower + (upper - lower) * weight).alias("value"))
-
-
-def _brackets(
-    df: DataFrame, names: list[str], points: tuple[float, ...]
-) -> list[tuple[str, float, float, float, float]]:
-    """(column, point, low, high, rank) per column with values and per point."""
-    margin = 2 / QUANTILE_ACCURACY
-    around = [min(1.0, max(0.0, p + side)) for p in points for side in (-margin, margin)]
-    grid = F.array(*[F.lit(a) for a in around])
-    sketches = []
-    for name in names:
-        value = present_number(df, name)
-        sketches += [F.count(value), F.percentile_approx(value, grid, QUANTILE_ACCURACY)]
-        sketches += [F.min(value), F.max(value)]
-    facts = df.agg(*[s.alias(f"f{i}") for i, s in enumerate(sketches)]).first()
-    brackets = []
-    for j, name in enumerate(names):
-        n, values, smallest, largest = facts[4 * j : 4 * j + 4]
-        if not n:
-            continue
-        for i, point in enumerate(points):
-            rank = point * (n - 1)
-            # A rank next to either end has no room for the sketch's error.
-            near = math.ceil(margin * n) + 1
-            low = smallest if rank <= near else values[2 * i]
-            high = largest if rank >= n - 1 - near else values[2 * i + 1]
-            brackets.append((name, point, low, high, rank))
-    return brackets

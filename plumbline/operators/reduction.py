@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from plumbline.functions.ordering import from_sort_number, sort_number
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size
+from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sketches
 
 METHODS = ("sample", "limit")
 
-QUANTILE_ACCURACY = 10_000
 # Below this many candidate rows a plain sort-and-limit is cheap enough.
 NARROW_ABOVE_ROWS = 4_000_000
 
@@ -36,36 +36,31 @@ def keyed_sample(df: DataFrame, key: Column | str, fraction: float) -> DataFrame
     return df.where(F.conv(prefix, 16, 10).cast("bigint") < F.lit(fraction * 4294967296.0))
 
 
-def _splittable(df: DataFrame, column: str) -> bool:
-    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return isinstance(df.schema[column].dataType, kinds)
-
-
 def ordered_head(
     df: DataFrame, k: int, order_by: list[str], narrow_above: int = NARROW_ABOVE_ROWS
 ) -> DataFrame:
     """The `k` smallest rows in ascending order of `order_by` (NULLs first).
 
     A plain top-k sends up to k rows per input partition to one task. While many
-    candidates remain, an approximate quantile of the leading column cuts them
-    down first; each cut is verified by exact counts, so the result is exact. A
-    value shared by many rows at the cut is resolved on the remaining columns.
+    candidates remain, a sketched quantile of the leading column cuts them down
+    first; each cut is checked by exact counts, so the result is exact. A value
+    shared by many rows at the cut is resolved on the remaining columns.
     """
-    candidates, rows = df, df.count()
     lead = order_by[0]
-    while _splittable(df, lead) and rows > max(narrow_above, 2 * k):
-        share = min(1.0, k / rows + 2 / QUANTILE_ACCURACY)
-        quantile = F.percentile_approx(lead, share, QUANTILE_ACCURACY)
-        cut = candidates.agg(quantile).first()[0]
+    dtype = df.schema[lead].dataType
+    number = sort_number(F.col(lead), dtype)
+    candidates, rows = df, df.count() if number is not None else 0
+    while rows > max(narrow_above, 2 * k):
+        share = k / rows + SAFE_MARGIN
+        cut = quantile_sketches(candidates, [number]).select(quantile_of("s0", [share])).first()[0]
         if cut is None:
             break
-        before = F.col(lead).isNull() | (F.col(lead) < F.lit(cut))
-        at_cut = F.col(lead) == F.lit(cut)
-        n_before, n_at = candidates.agg(F.count_if(before), F.count_if(at_cut)).first()
+        edge = from_sort_number(cut[0], dtype)
+        before = F.col(lead).isNull() | (F.col(lead) < edge)
+        at_edge = F.col(lead) == edge
+        n_before, n_at = candidates.agg(F.count_if(before), F.count_if(at_edge)).first()
         if n_before < k <= n_before + n_at:
-            ties = candidates.where(at_cut)
-            wanted = k - n_before
-            rest = order_by[1:]
+            ties, wanted, rest = candidates.where(at_edge), k - n_before, order_by[1:]
             tail = ordered_head(ties, wanted, rest, narrow_above) if rest else ties.limit(wanted)
             return candidates.where(before).unionByName(tail)
         if n_before < k or n_before == rows:

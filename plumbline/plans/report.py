@@ -17,17 +17,14 @@ from plumbline.operators.profiling.summary import (
     DISTINCT_SCHEMA,
     MISSING_SCHEMA,
     NUMERIC_SCHEMA,
-    QUANTILE_POINTS,
-    QUANTILE_SCHEMA,
     TEMPORAL_SCHEMA,
+    approx_quantiles,
     correlation_facts,
     correlations,
     distinct_facts,
     missing_facts,
     numeric_facts,
     pair_chunks,
-    quantile_facts,
-    spread_quantiles,
     temporal_facts,
 )
 from plumbline.operators.profiling.values import overview, top_values
@@ -36,11 +33,10 @@ from plumbline.operators.profiling.values import overview, top_values
 def profile(df: DataFrame, bins: int = 10, top_k: int = 10) -> dict[str, DataFrame]:
     """Every profile section of `df` as small frames keyed by section name.
 
-    One pass computes missing values, statistics, ranges, sketched quantiles and
-    distinct counts, and the first block of correlations; its single row is kept
-    on the driver. Histogram, pairwise density, duplicates and top values are
-    lazy: each runs when it is first used, the first two on the ranges already
-    known.
+    One pass computes missing values, statistics, ranges, distinct counts and the
+    first block of correlations; its single row is kept on the driver. Duplicates,
+    quantiles, top values, histogram and pairwise density are lazy: each runs when
+    it is used, the last two on the ranges already known.
     """
     numeric, temporal, flat = numeric_columns(df), temporal_columns(df), flat_columns(df)
     pairs = pair_chunks(numeric)
@@ -49,7 +45,6 @@ def profile(df: DataFrame, bins: int = 10, top_k: int = 10) -> dict[str, DataFra
         "numeric": (numeric_facts(df, numeric), NUMERIC_SCHEMA),
         "datetime": (temporal_facts(df, temporal), TEMPORAL_SCHEMA),
         "distinct": (distinct_facts(df, flat), DISTINCT_SCHEMA),
-        "quantiles": (quantile_facts(df, numeric, QUANTILE_POINTS), QUANTILE_SCHEMA),
         "correlations": (correlation_facts(df, pairs[0]) if pairs else [], CORRELATION_SCHEMA),
         "ranges": (
             [
@@ -74,12 +69,11 @@ def profile(df: DataFrame, bins: int = 10, top_k: int = 10) -> dict[str, DataFra
             result[name] = known.select(F.inline(name))
         else:
             result[name] = df.sparkSession.createDataFrame([], schema)
-    if numeric:
-        result["quantiles"] = spread_quantiles(result["quantiles"], QUANTILE_POINTS)
     if len(pairs) > 1:
         result["correlations"] = correlations(df)
     del result["ranges"]
     ranges = {r["column"]: Range(r.low, r.high) for r in (row["ranges"] if numeric else [])}
+    result["quantiles"] = approx_quantiles(df)
     result["top_values"] = top_values(df, top_k)
     result["histogram"] = histogram(df, bins, ranges=ranges)
     result["pair_bins"] = pair_bins(df, bins, ranges=ranges)

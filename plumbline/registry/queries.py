@@ -20,7 +20,7 @@ from plumbline.functions.timegrid import (
     wall_clock_seconds,
 )
 from plumbline.operators.lookup import lookup_features
-from plumbline.operators.profiling import shapes, summary, values
+from plumbline.operators.profiling import quantiles, shapes, summary, values
 from plumbline.operators.reduction import reduce_to_budget
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
 from plumbline.operators.timestamps import round_timestamps
@@ -371,7 +371,7 @@ def profile_overview_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_overview_exact(spark: SparkSession, folder: str) -> DataFrame:
-    return values.overview(table(spark, folder, "documents").drop("doc_id"), exact_rows=True)
+    return values.overview(table(spark, folder, "documents").drop("doc_id"), by_values=True)
 
 
 def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
@@ -386,7 +386,7 @@ def profile_numeric(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     measures = _measures_with_gaps(spark, folder)
-    return _rounded(values.exact_quantiles(measures, points=QUANTILES), value=6)
+    return _rounded(quantiles.exact_quantiles(measures, points=QUANTILES), value=6)
 
 
 def profile_quantiles_approx(spark: SparkSession, folder: str) -> DataFrame:
@@ -429,33 +429,36 @@ def pair_bins(spark: SparkSession, folder: str) -> DataFrame:
 def profile_report(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of one whole profile, one metric per row."""
     sections = profile(_measures_with_gaps(spark, folder))
-    text = F.lit("").alias("detail")
+    nothing, column = F.lit(""), F.col("column")
+    pair = F.concat_ws("|", "column_a", "column_b")
+    cell = F.concat_ws("|", "bucket_a", "bucket_b")
 
-    def metric(section: str, column, detail, name: str, value) -> DataFrame:
+    def metrics(section: str, name, detail, **found) -> DataFrame:
+        listed = [
+            F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"))
+            for m, v in found.items()
+        ]
         return sections[section].select(
             F.lit(section).alias("section"),
-            column.alias("column"),
-            detail.alias("detail"),
-            F.lit(name).alias("metric"),
-            value.cast("double").alias("value"),
+            name.alias("column"),
+            detail.cast("string").alias("detail"),
+            F.inline(F.array(*listed)),
         )
 
-    column = F.col("column")
-    pair = F.concat_ws("|", "column_a", "column_b")
-    bucket = F.col("bucket").cast("string")
-    cell = F.concat_ws("|", "bucket_a", "bucket_b")
-    none = F.lit("")
+    mean, stddev = F.round("mean", 6), F.round("stddev", 6)
+    duplicates = F.col("n_duplicate_rows")
+    n = F.col("n")
     return summary.union_all(
         [
-            metric("overview", none, text, "n_rows", F.col("n_rows")),
-            metric("overview", none, text, "n_duplicate_rows", F.col("n_duplicate_rows")),
-            metric("missing", column, text, "n_missing", F.col("n_missing")),
-            metric("numeric", column, text, "mean", F.round("mean", 6)),
-            metric("numeric", column, text, "stddev", F.round("stddev", 6)),
-            metric("correlations", pair, text, "correlation", F.round("correlation", 6)),
-            metric("top_values", column, F.col("rank").cast("string"), "n", F.col("n")),
-            metric("histogram", column, bucket, "n", F.col("n")),
-            metric("pair_bins", pair, cell, "n", F.col("n")),
+            metrics(
+                "overview", nothing, nothing, n_rows=F.col("n_rows"), n_duplicate_rows=duplicates
+            ),
+            metrics("missing", column, nothing, n_missing=F.col("n_missing")),
+            metrics("numeric", column, nothing, mean=mean, stddev=stddev),
+            metrics("correlations", pair, nothing, correlation=F.round("correlation", 6)),
+            metrics("top_values", column, F.col("rank"), n=n),
+            metrics("histogram", column, F.col("bucket"), n=n),
+            metrics("pair_bins", pair, cell, n=n),
         ]
     )
 
