@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def equal_width_bucket(value: Column, low: float | None, high: float | None, bins: int) -> Column:
     """Bucket 1..bins of `value` between `low` and `high`; the top edge joins the last bucket.
 
-    A constant column falls into bucket 1; a column without values gives NULL.
+    A constant column falls into bucket 1; a missing value gives NULL.
     """
     if bins < 1:
         raise ValueError(f"bins must be at least 1, got {bins}")
@@ -20,4 +20,6 @@ def equal_width_bucket(value: Column, low: float | None, high: float | None, bin
     if high == low:
         return F.when(value.isNotNull(), F.lit(1).cast("bigint"))
     position = (value - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))
-    return F.least(F.floor(position).cast("bigint") + 1, F.lit(bins).cast("bigint"))
+    bucket = F.least(F.floor(position).cast("bigint") + 1, F.lit(bins).cast("bigint"))
+    # `least` passes over NULL, so a missing value must be kept out of it.
+    return F.when(value.isNotNull(), bucket)

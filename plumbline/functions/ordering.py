@@ -11,10 +11,10 @@ FLOATING = (T.FloatType, T.DoubleType)
 
 
 def sort_number(value: Column, dtype: T.DataType) -> Column | None:
-    """An exact bigint or double in the order of `value`, None for other types."""
+    """A number in the order of `value`, None for types without one."""
     if isinstance(dtype, WHOLE):
         return value.cast("bigint")
-    if isinstance(dtype, FLOATING):
+    if isinstance(dtype, (*FLOATING, T.DecimalType)):
         return value.cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(value).cast("bigint")
@@ -26,14 +26,14 @@ def sort_number(value: Column, dtype: T.DataType) -> Column | None:
 
 
 def from_sort_number(number: float, dtype: T.DataType) -> Column:
-    """The constant of type `dtype` that `number` stands for; filters on it push down."""
+    """A constant of type `dtype` near `number`; filters on it push down."""
     if isinstance(dtype, T.DateType):
-        return F.date_from_unix_date(F.lit(number).cast("int"))
+        return F.date_from_unix_date(F.lit(int(number)).cast("int"))
     if isinstance(dtype, T.TimestampType):
-        return F.timestamp_micros(F.lit(number))
+        return F.timestamp_micros(F.lit(int(number)))
     if isinstance(dtype, T.TimestampNTZType):
-        return _ntz_epoch() + F.expr("INTERVAL '0.000001' SECOND") * F.lit(number)
-    return F.lit(number).cast(dtype)
+        return _ntz_epoch() + F.expr("INTERVAL '0.000001' SECOND") * F.lit(int(number))
+    return F.lit(number).try_cast(dtype)
 
 
 def _ntz_epoch() -> Column:

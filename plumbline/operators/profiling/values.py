@@ -60,7 +60,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     names = columns or flat_columns(df)
     texts = df.select(*[present(df, name).cast("string").alias(name) for name in names])
-    long = texts.unpivot([], names, "column", "value").where(F.col("value").isNotNull())
+    long = texts.unpivot([], [quoted(n) for n in names], "column", "value").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.timestamps import round_timestamps
+from plumbline.session import shared_folder
 from plumbline.sinks.tables import DEFAULT_CATALOG, create_schema, save_as_table
 
 # The share and seed of an example table.
@@ -44,7 +45,7 @@ def provision(
     session has a folder for it, so a lost executor cannot change the rows between
     two environments, else through a cache that is released at the end.
     """
-    reliable = bool(spark.conf.get("spark.checkpoint.dir", None))
+    reliable = shared_folder(spark) is not None
     shared = df.checkpoint() if reliable else df.persist(StorageLevel.MEMORY_AND_DISK)
     names = []
     try:

@@ -210,7 +210,7 @@ TOP = top_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpri
 def bucket_sql(c: str, bins: int = 10) -> str:
     low, high = f"(SELECT min({c})::DOUBLE FROM m)", f"(SELECT max({c})::DOUBLE FROM m)"
     position = f"floor(({c}::DOUBLE - {low}) / ({high} - {low}) * {bins}.0::DOUBLE)"
-    return f"least(CAST({position} AS BIGINT) + 1, {bins})"
+    return f"CASE WHEN {c} IS NOT NULL THEN least(CAST({position} AS BIGINT) + 1, {bins}) END"
 
 
 BUCKETS_CTE = (

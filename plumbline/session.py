@@ -29,14 +29,19 @@ def local_session(cpus: int | str = "*", app: str = "plumbline", **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by `spark.checkpoint.dir`, which every executor can reach."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh directory name under the shared folder named by `spark.checkpoint.dir`.
+    """A fresh directory name under the shared folder.
 
     Every executor must see the same files, so a machine-local folder is used
     only by a local master that has no shared folder configured.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    base = shared_folder(spark)
+    if base is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="plumbline-")
@@ -60,5 +65,5 @@ def settle(df: DataFrame) -> DataFrame:
     Only where the session names a checkpoint folder; otherwise the frame comes
     back as it is and is recomputed per use.
     """
-    has_folder = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+    has_folder = shared_folder(df.sparkSession) is not None
     return df.checkpoint() if has_folder and not df.isStreaming else df

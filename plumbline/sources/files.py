@@ -10,7 +10,8 @@ from pyspark.sql.types import StructType
 FORMAT_ALIASES = {"tsv": "csv", "txt": "text"}
 
 # Fixed options for delimited text: a header line, quotes doubled inside quotes.
-DELIMITED_DEFAULTS = {"header": True, "escape": '"'}
+# The NULL mark is a character no text holds, so "" stays apart from nothing at all.
+DELIMITED_DEFAULTS = {"header": True, "escape": '"', "nullValue": "\0"}
 
 
 class FormatUnavailable(ValueError):
