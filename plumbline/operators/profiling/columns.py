@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,9 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 FLOATING = (T.FloatType, T.DoubleType)
 
+AGGREGATES_PER_PASS = 50
+STRUCTS_PER_SCAN = 30
+
 
 def quoted(name: str) -> Column:
     return F.col("`{}`".format(name.replace("`", "``")))
@@ -51,11 +54,38 @@ def finite_number(df: DataFrame, name: str) -> Column:
     return value
 
 
-def facts_frame(df: DataFrame, facts: list[Column], empty_schema: str) -> DataFrame:
-    """Aggregate `df` to an array of structs, one per column, and spread it over rows."""
+def chunked(items: Sequence, size: int) -> list[list]:
+    return [list(items[i : i + size]) for i in range(0, len(items), size)]
+
+
+def facts_frame(df: DataFrame, facts: list[Column], schema: str, per_pass: int) -> DataFrame:
+    """Aggregate `df` to one struct per fact and spread the structs over rows.
+
+    Facts are computed `per_pass` at a time: the code generated for a wide
+    aggregation outgrows the JIT compiler and each further fact then costs far
+    more than a pass of its own, which reads only its own columns.
+    """
     if not facts:
-        return df.sparkSession.createDataFrame([], empty_schema)
-    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+        return df.sparkSession.createDataFrame([], schema)
+    return union_all(
+        df.agg(F.array(*chunk).alias("facts")).select(F.inline("facts"))
+        for chunk in chunked(facts, per_pass)
+    )
+
+
+def aggregate_values(df: DataFrame, aggregates: list[Column]) -> list:
+    """The values of single-valued aggregates, AGGREGATES_PER_PASS of them per job."""
+    values = []
+    for chunk in chunked(aggregates, AGGREGATES_PER_PASS):
+        values += df.agg(*[agg.alias(f"v{i}") for i, agg in enumerate(chunk)]).first()
+    return values
+
+
+def spread(df: DataFrame, structs: list[Column]) -> DataFrame:
+    """One row per input row and struct, STRUCTS_PER_SCAN structs per scan."""
+    return union_all(
+        df.select(F.inline(F.array(*chunk))) for chunk in chunked(structs, STRUCTS_PER_SCAN)
+    )
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

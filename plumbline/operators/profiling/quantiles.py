@@ -8,7 +8,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.profiling.columns import numeric_columns, present_number
+from plumbline.operators.profiling.columns import (
+    aggregate_values,
+    numeric_columns,
+    present_number,
+    spread,
+)
 from plumbline.operators.profiling.summary import QUANTILE_POINTS, QUANTILE_SCHEMA
 from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sketches
 
@@ -47,7 +52,7 @@ def _whole_columns(df: DataFrame, names: list[str], points: tuple[float, ...]) -
     for name in names:
         value = present_number(df, name)
         facts += [F.count(value), F.min(value), F.max(value)]
-    row = df.agg(*[fact.alias(f"f{i}") for i, fact in enumerate(facts)]).first()
+    row = aggregate_values(df, facts)
     brackets = []
     for i, name in enumerate(names):
         n, low, high = row[3 * i : 3 * i + 3]
@@ -70,11 +75,10 @@ def _narrowed(df: DataFrame, wide: list[Bracket]) -> list[Bracket]:
         high = values[1] if share[1] < 1 else b.high
         trial.append(replace(b, low=low, high=high))
     counts = []
-    for i, b in enumerate(trial):
+    for b in trial:
         value = present_number(df, b.column)
-        counts += [F.count_if(value < b.low).alias(f"below{i}")]
-        counts += [F.count_if(value.between(b.low, b.high)).alias(f"inside{i}")]
-    row = df.agg(*counts).first()
+        counts += [F.count_if(value < b.low), F.count_if(value.between(b.low, b.high))]
+    row = aggregate_values(df, counts)
     result = []
     for i, (before, after) in enumerate(zip(wide, trial, strict=True)):
         n_below, n_inside = row[2 * i], row[2 * i + 1]
@@ -107,8 +111,9 @@ def exact_quantiles(
     done = [b for b in brackets if b not in wide]
     while wide:
         narrow = _narrowed(df, wide)
-        done += [new for old, new in zip(wide, narrow, strict=True) if not _go_on(old, new, ranked_rows)]
-        wide = [new for old, new in zip(wide, narrow, strict=True) if _go_on(old, new, ranked_rows)]
+        steps = list(zip(wide, narrow, strict=True))
+        wide = [new for old, new in steps if _go_on(old, new, ranked_rows)]
+        done += [new for old, new in steps if not _go_on(old, new, ranked_rows)]
 
     intervals = sorted({b.interval for b in done})
     number = {interval: i for i, interval in enumerate(intervals)}
@@ -117,7 +122,7 @@ def exact_quantiles(
         for interval, i in number.items()
     ]
     counts = (
-        df.select(F.inline(F.array(*inside)))
+        spread(df, inside)
         .where(F.col("value").isNotNull())
         .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -136,7 +141,9 @@ def exact_quantiles(
     first = F.col("last") - F.col("n")
     placed = ranked.join(
         F.broadcast(wanted),
-        (ranked["bracket"] == wanted["bracket"]) & (first <= F.col("at")) & (F.col("at") < F.col("last")),
+        (ranked["bracket"] == wanted["bracket"])
+        & (first <= F.col("at"))
+        & (F.col("at") < F.col("last")),
     )
     weighted = F.sum(F.col("value") * F.col("share"))
     return placed.groupBy("column", "quantile").agg(weighted.alias("value"))

@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.binning import equal_width_bucket
-from plumbline.operators.profiling.columns import finite_number, numeric_columns, union_all
+from plumbline.operators.profiling.columns import (
+    aggregate_values,
+    chunked,
+    finite_number,
+    numeric_columns,
+    spread,
+    union_all,
+)
 
 # Column pairs counted in one pass; wider tables take several passes.
-PAIRS_PER_PASS = 100
+PAIRS_PER_PASS = 30
 
 
 class Range(NamedTuple):
@@ -25,13 +32,13 @@ PAIR_SCHEMA = "column_a string, column_b string, bucket_a bigint, bucket_b bigin
 
 
 def value_ranges(df: DataFrame, columns: list[str]) -> dict[str, Range]:
-    """Smallest and largest finite value per column: one job, one row on the driver."""
+    """Smallest and largest finite value per column, two numbers each on the driver."""
     if not columns:
         return {}
     ends = []
     for name in columns:
         ends += [F.min(finite_number(df, name)), F.max(finite_number(df, name))]
-    row = df.agg(*[end.alias(f"e{i}") for i, end in enumerate(ends)]).first()
+    row = aggregate_values(df, ends)
     return {name: Range(row[2 * i], row[2 * i + 1]) for i, name in enumerate(columns)}
 
 
@@ -59,7 +66,7 @@ def histogram(
         for i, name in enumerate(names)
     ]
     counts = (
-        df.select(F.inline(F.array(*buckets)))
+        spread(df, buckets)
         .where(F.col("bucket").isNotNull())
         .groupBy("id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -102,7 +109,7 @@ def pair_bins(
             for i, name in enumerate(names)
         ]
     )
-    chunks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    chunks = chunked(pairs, PAIRS_PER_PASS)
     return union_all(_count_pairs(buckets, names, chunk) for chunk in chunks)
 
 

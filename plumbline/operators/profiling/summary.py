@@ -1,9 +1,4 @@
-"""Profile sections that need one aggregation pass and no data shuffle.
-
-Each section has a `*_facts` builder, an aggregate expression per column, so
-several sections can share one pass over the data, and a frame function that runs
-the section alone and reads only the columns it needs.
-"""
+"""Profile sections made of plain aggregates: no data shuffle, only the columns needed."""
 
 from __future__ import annotations
 
@@ -19,14 +14,15 @@ from plumbline.operators.profiling.columns import (
     present_number,
     quoted,
     temporal_columns,
-    union_all,
 )
 from plumbline.operators.sketches import quantile_of, quantile_sketches
 
 # The points of a default quantile summary.
 QUANTILE_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
-# Correlations computed by one aggregation; wider tables take several passes.
-PAIRS_PER_PASS = 300
+# Columns or pairs computed by one aggregation; wider tables take several.
+COLUMNS_PER_PASS = 30
+STATISTICS_PER_PASS = 5
+PAIRS_PER_PASS = 10
 
 MISSING_SCHEMA = "column string, n_missing bigint, share_missing double"
 NUMERIC_SCHEMA = (
@@ -57,7 +53,8 @@ def missing_facts(df: DataFrame, columns: list[str]) -> list[Column]:
 
 def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing count and share per column."""
-    return facts_frame(df, missing_facts(df, columns or df.columns), MISSING_SCHEMA)
+    facts = missing_facts(df, columns or df.columns)
+    return facts_frame(df, facts, MISSING_SCHEMA, COLUMNS_PER_PASS)
 
 
 def numeric_facts(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -86,7 +83,8 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
 
     Skewness and excess kurtosis are the population forms.
     """
-    return facts_frame(df, numeric_facts(df, columns or numeric_columns(df)), NUMERIC_SCHEMA)
+    facts = numeric_facts(df, columns or numeric_columns(df))
+    return facts_frame(df, facts, NUMERIC_SCHEMA, STATISTICS_PER_PASS)
 
 
 def temporal_facts(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -108,7 +106,8 @@ def temporal_facts(df: DataFrame, columns: list[str]) -> list[Column]:
 
 def temporal_ranges(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """First and last instant and whole seconds between them, per date or timestamp column."""
-    return facts_frame(df, temporal_facts(df, columns or temporal_columns(df)), TEMPORAL_SCHEMA)
+    facts = temporal_facts(df, columns or temporal_columns(df))
+    return facts_frame(df, facts, TEMPORAL_SCHEMA, COLUMNS_PER_PASS)
 
 
 def approx_quantiles(
@@ -169,20 +168,7 @@ def correlation_facts(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Colum
     return facts
 
 
-def pair_chunks(columns: list[str], size: int = PAIRS_PER_PASS) -> list[list[tuple[str, str]]]:
-    pairs = column_pairs(columns)
-    return [pairs[i : i + size] for i in range(0, len(pairs), size)]
-
-
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in long form.
-
-    All pairs share one pass; beyond PAIRS_PER_PASS pairs each further pass reads
-    only the columns of its own pairs.
-    """
-    chunks = pair_chunks(columns or numeric_columns(df))
-    if not chunks:
-        return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
-    return union_all(
-        facts_frame(df, correlation_facts(df, chunk), CORRELATION_SCHEMA) for chunk in chunks
-    )
+    """Pearson correlation of every pair of numeric columns, in long form."""
+    facts = correlation_facts(df, column_pairs(columns or numeric_columns(df)))
+    return facts_frame(df, facts, CORRELATION_SCHEMA, PAIRS_PER_PASS)

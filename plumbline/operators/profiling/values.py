@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from plumbline.functions.digest import row_digest
 from plumbline.functions.rowbytes import row_width
 from plumbline.operators.profiling.columns import (
+    STRUCTS_PER_SCAN,
+    chunked,
     facts_frame,
     flat_columns,
     present,
     quoted,
+    union_all,
 )
 from plumbline.operators.profiling.summary import (
+    COLUMNS_PER_PASS,
     DISTINCT_SCHEMA,
     distinct_facts,
 )
@@ -53,15 +57,27 @@ def overview(df: DataFrame, by_values: bool | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows per (column, value) over all given columns in one scan and one shuffle.
+    """Rows per (column, value), missing values left out and values shown as text.
 
-    Values are compared as text and missing ones are left out. Partial counts are
-    formed before the shuffle, so a value held by most rows is no hot spot.
+    Columns of one type share a scan and a shuffle and are grouped in that type;
+    only the distinct values are turned into text. Partial counts are formed
+    before the shuffle, so a value held by most rows is no hot spot.
     """
+    by_type: dict[str, list[str]] = {}
     names = columns or flat_columns(df)
-    texts = df.select(*[present(df, name).cast("string").alias(name) for name in names])
-    long = texts.unpivot([], [quoted(n) for n in names], "column", "value").where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    for name in names:
+        by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(name)
+    counted = []
+    for alike in by_type.values():
+        for chunk in chunked(alike, STRUCTS_PER_SCAN):
+            typed = df.select(*[present(df, name).alias(name) for name in chunk])
+            long = typed.unpivot([], [quoted(name) for name in chunk], "column", "value")
+            grouped = long.where(F.col("value").isNotNull()).groupBy("column", "value")
+            counts = grouped.agg(F.count(F.lit(1)).alias("n"))
+            counted.append(counts.withColumn("value", F.col("value").cast("string")))
+    return union_all(counted)
 
 
 def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
@@ -81,5 +97,5 @@ def distinct_counts(
     """Distinct present values per column: sketched in one pass, or exact by grouping."""
     names = columns or flat_columns(df)
     if not exact:
-        return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA)
+        return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA, COLUMNS_PER_PASS)
     return value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))

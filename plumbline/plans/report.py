@@ -1,80 +1,38 @@
-"""A whole profile of a dataset from as few passes as possible."""
+"""A whole profile of a dataset."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.operators.profiling.columns import (
-    finite_number,
-    flat_columns,
-    numeric_columns,
-    temporal_columns,
-)
-from plumbline.operators.profiling.shapes import Range, histogram, pair_bins
+from plumbline.operators.profiling.columns import numeric_columns
+from plumbline.operators.profiling.shapes import histogram, pair_bins, value_ranges
 from plumbline.operators.profiling.summary import (
-    CORRELATION_SCHEMA,
-    DISTINCT_SCHEMA,
-    MISSING_SCHEMA,
-    NUMERIC_SCHEMA,
-    TEMPORAL_SCHEMA,
     approx_quantiles,
-    correlation_facts,
     correlations,
-    distinct_facts,
-    missing_facts,
-    numeric_facts,
-    pair_chunks,
-    temporal_facts,
+    missing_values,
+    numeric_statistics,
+    temporal_ranges,
 )
-from plumbline.operators.profiling.values import overview, top_values
+from plumbline.operators.profiling.values import distinct_counts, overview, top_values
 
 
 def profile(df: DataFrame, bins: int = 10, top_k: int = 10) -> dict[str, DataFrame]:
-    """Every profile section of `df` as small frames keyed by section name.
+    """Every profile section of `df` as a small frame, keyed by section name.
 
-    One pass computes missing values, statistics, ranges, distinct counts and the
-    first block of correlations; its single row is kept on the driver. Duplicates,
-    quantiles, top values, histogram and pairwise density are lazy: each runs when
-    it is used, the last two on the ranges already known.
+    The ranges of the numeric columns are found at once, since buckets depend on
+    them. Every section is lazy, reads only the columns it needs and returns a
+    result whose size does not grow with the rows.
     """
-    numeric, temporal, flat = numeric_columns(df), temporal_columns(df), flat_columns(df)
-    pairs = pair_chunks(numeric)
-    sections = {
-        "missing": (missing_facts(df, df.columns), MISSING_SCHEMA),
-        "numeric": (numeric_facts(df, numeric), NUMERIC_SCHEMA),
-        "datetime": (temporal_facts(df, temporal), TEMPORAL_SCHEMA),
-        "distinct": (distinct_facts(df, flat), DISTINCT_SCHEMA),
-        "correlations": (correlation_facts(df, pairs[0]) if pairs else [], CORRELATION_SCHEMA),
-        "ranges": (
-            [
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.min(finite_number(df, name)).alias("low"),
-                    F.max(finite_number(df, name)).alias("high"),
-                )
-                for name in numeric
-            ],
-            "column string, low double, high double",
-        ),
+    ranges = value_ranges(df, numeric_columns(df))
+    return {
+        "overview": overview(df),
+        "missing": missing_values(df),
+        "numeric": numeric_statistics(df),
+        "datetime": temporal_ranges(df),
+        "quantiles": approx_quantiles(df),
+        "distinct": distinct_counts(df),
+        "top_values": top_values(df, top_k),
+        "histogram": histogram(df, bins, ranges=ranges),
+        "correlations": correlations(df),
+        "pair_bins": pair_bins(df, bins, ranges=ranges),
     }
-    filled = {name: facts for name, (facts, _) in sections.items() if facts}
-    pass_one = df.agg(*[F.array(*facts).alias(name) for name, facts in filled.items()])
-    row = pass_one.first()
-    known = df.sparkSession.createDataFrame([row], pass_one.schema)
-
-    result = {"overview": overview(df)}
-    for name, (_, schema) in sections.items():
-        if name in filled:
-            result[name] = known.select(F.inline(name))
-        else:
-            result[name] = df.sparkSession.createDataFrame([], schema)
-    if len(pairs) > 1:
-        result["correlations"] = correlations(df)
-    del result["ranges"]
-    ranges = {r["column"]: Range(r.low, r.high) for r in (row["ranges"] if numeric else [])}
-    result["quantiles"] = approx_quantiles(df)
-    result["top_values"] = top_values(df, top_k)
-    result["histogram"] = histogram(df, bins, ranges=ranges)
-    result["pair_bins"] = pair_bins(df, bins, ranges=ranges)
-    return result

@@ -21,6 +21,7 @@ from plumbline.functions.timegrid import (
 )
 from plumbline.operators.lookup import lookup_features
 from plumbline.operators.profiling import quantiles, shapes, summary, values
+from plumbline.operators.profiling.columns import union_all
 from plumbline.operators.reduction import reduce_to_budget
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
 from plumbline.operators.timestamps import round_timestamps
@@ -160,7 +161,7 @@ def size_exact(spark: SparkSession, folder: str) -> DataFrame:
         for name in ("events", "documents", "embeddings")
         for layout in ("pandas", "wire")
     ]
-    return summary.union_all(sized)
+    return union_all(sized)
 
 
 def size_estimate(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,7 +326,7 @@ def provision_counts(spark: SparkSession, folder: str) -> DataFrame:
         "inference_input_example",
         location=scratch_path(spark, "environments"),
     )
-    return summary.union_all(
+    return union_all(
         spark.read.table(name)
         .groupBy(F.lit(environment).alias("environment"), "rounded_30")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -416,7 +417,7 @@ def profile_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_datetime(spark: SparkSession, folder: str) -> DataFrame:
-    return summary.union_all(
+    return union_all(
         summary.temporal_ranges(table(spark, folder, name))
         for name in ("events", "orders", "lineitem")
     )
@@ -448,7 +449,7 @@ def profile_report(spark: SparkSession, folder: str) -> DataFrame:
     mean, stddev = F.round("mean", 6), F.round("stddev", 6)
     duplicates = F.col("n_duplicate_rows")
     n = F.col("n")
-    return summary.union_all(
+    return union_all(
         [
             metrics(
                 "overview", nothing, nothing, n_rows=F.col("n_rows"), n_duplicate_rows=duplicates
