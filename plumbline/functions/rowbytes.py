@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.names import quoted
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -100,8 +102,7 @@ def row_width(schema: T.StructType, layout: str = "pandas") -> tuple[int, Column
     chosen = _layout(layout)
     constant, varying = 0, None
     for field in schema.fields:
-        name = field.name.replace("`", "``")
-        const, var = _width(F.col(f"`{name}`"), field.dataType, chosen)
+        const, var = _width(quoted(field.name), field.dataType, chosen)
         constant += const
         if var is not None:
             varying = var if varying is None else varying + var

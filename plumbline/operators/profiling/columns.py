@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.names import quoted
+
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -17,10 +19,6 @@ AGGREGATES_PER_PASS = 50
 STRUCTS_PER_SCAN = 30
 
 
-def quoted(name: str) -> Column:
-    return F.col("`{}`".format(name.replace("`", "``")))
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

@@ -63,12 +63,18 @@ def _whole_columns(df: DataFrame, names: list[str], points: tuple[float, ...]) -
 
 def _narrowed(df: DataFrame, wide: list[Bracket]) -> list[Bracket]:
     """One sketch pass inside the brackets, and one pass that counts the narrower ones."""
-    sketches = quantile_sketches(df, [_within(df, b.interval) for b in wide])
+    intervals = sorted({b.interval for b in wide})
+    sketches = quantile_sketches(df, [_within(df, interval) for interval in intervals])
     shares = []
     for b in wide:
         at = (b.rank - b.n_below) / b.n_inside
         shares.append((at - SAFE_MARGIN, at + SAFE_MARGIN))
-    found = sketches.select(*[quantile_of(f"s{i}", s) for i, s in enumerate(shares)]).first()
+    found = sketches.select(
+        *[
+            quantile_of(f"s{intervals.index(b.interval)}", share).alias(f"q{i}")
+            for i, (b, share) in enumerate(zip(wide, shares, strict=True))
+        ]
+    ).first()
     trial = []
     for b, share, values in zip(wide, shares, found, strict=True):
         low = values[0] if share[0] > 0 else b.low

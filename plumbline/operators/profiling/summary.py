@@ -7,12 +7,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
     facts_frame,
     numeric_columns,
     present,
     present_number,
-    quoted,
     temporal_columns,
 )
 from plumbline.operators.sketches import quantile_of, quantile_sketches

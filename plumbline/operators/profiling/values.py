@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.digest import row_digest
+from plumbline.functions.names import quoted
 from plumbline.functions.rowbytes import row_width
 from plumbline.operators.profiling.columns import (
     STRUCTS_PER_SCAN,
@@ -13,7 +14,6 @@ from plumbline.operators.profiling.columns import (
     facts_frame,
     flat_columns,
     present,
-    quoted,
     union_all,
 )
 from plumbline.operators.profiling.summary import (
@@ -43,8 +43,8 @@ def overview(df: DataFrame, by_values: bool | None = None) -> DataFrame:
             F.count(F.lit(1)).alias("__n"), F.sum(missing).alias("__missing")
         )
     else:
-        keyed = df.select(row_digest(df.schema).alias("row"), missing.alias("__missing"))
-        per_row = keyed.groupBy("row").agg(
+        keyed = df.select(*row_digest(df.schema), missing.alias("__missing"))
+        per_row = keyed.groupBy("digest_0", "digest_1").agg(
             F.count(F.lit(1)).alias("__n"), F.sum("__missing").alias("__missing")
         )
     rows = F.coalesce(F.sum("__n"), F.lit(0))

@@ -11,8 +11,8 @@ from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sket
 
 METHODS = ("sample", "limit")
 
-# Below this many candidate rows a plain sort-and-limit is cheap enough.
-NARROW_ABOVE_ROWS = 4_000_000
+# Up to this many candidate rows a plain top-k is cheap enough in one task.
+NARROW_ABOVE_ROWS = 50_000_000
 
 
 def sample_fraction(size: float, threshold_bytes: int) -> float:

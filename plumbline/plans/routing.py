@@ -10,7 +10,7 @@ from plumbline.operators.reduction import METHODS, reduce_to_budget, row_limit
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size, is_oversized
 from plumbline.session import ARROW, session_setting
 from plumbline.sources.files import read_files
-from plumbline.sources.inventory import infer_format, total_bytes
+from plumbline.sources.inventory import survey_path, total_bytes
 
 
 def _collect(df: DataFrame) -> pd.DataFrame:
@@ -87,10 +87,12 @@ def read_from_path(
     modelled memory is checked before anything is collected.
     """
     _check_method(force_method)
-    df = read_files(spark, path, filetype or infer_format(spark, path), schema, **options)
+    if filetype is None:
+        filetype, n_bytes = survey_path(spark, path)
+    else:
+        n_bytes = total_bytes(spark, path) if as_pandas else 0
+    df = read_files(spark, path, filetype, schema, **options)
     if not as_pandas:
         return df
-    oversized = total_bytes(spark, path) > threshold_bytes or is_oversized(
-        df, threshold_bytes=threshold_bytes
-    )
+    oversized = n_bytes > threshold_bytes or is_oversized(df, threshold_bytes=threshold_bytes)
     return _route(df, oversized, threshold_bytes, force_pandas, force_method)

@@ -32,7 +32,7 @@ from plumbline.session import scratch_path, settle
 from plumbline.sinks.files import export, write_csv
 from plumbline.sinks.tables import as_spark, save_as_table
 from plumbline.sources.files import read_files
-from plumbline.sources.inventory import file_inventory, format_census, infer_format, total_bytes
+from plumbline.sources.inventory import file_inventory, format_census, survey_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -233,8 +233,7 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def path_summary(spark: SparkSession, folder: str) -> DataFrame:
-    answer = [(infer_format(spark, folder), total_bytes(spark, folder))]
-    return spark.createDataFrame(answer, "format string, n_bytes bigint")
+    return spark.createDataFrame([survey_path(spark, folder)], "format string, n_bytes bigint")
 
 
 def census(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,15 +53,21 @@ def infer_format(spark: SparkSession, path: str) -> str:
     A transaction log decides first. Otherwise one extension wins, and `txt`
     gives way to a single other one. Anything else is an error.
     """
+    return survey_path(spark, path)[0]
+
+
+def survey_path(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Format and bytes of the files under `path`, from one listing."""
     if has_delta_log(spark, path):
-        return "delta"
+        return "delta", total_bytes(spark, path)
     census = format_census(file_inventory(spark, path)).orderBy("extension")
-    found = [row.extension for row in census.take(NAMED_FORMATS)]
+    found = {row.extension: row.n_bytes for row in census.take(NAMED_FORMATS)}
     if not found:
         raise ValueError(f"no data files under {path!r}")
-    candidates = [name for name in found if name != "txt"] or found
+    candidates = [name for name in found if name != "txt"] or list(found)
     if len(candidates) > 1:
         raise ValueError(f"several formats under {path!r}: {candidates}; name one file or format")
     if not candidates[0]:
         raise ValueError(f"the files under {path!r} have no extension; name the format")
-    return "text" if candidates[0] == "txt" else candidates[0]
+    name = "text" if candidates[0] == "txt" else candidates[0]
+    return name, sum(found.values())
