@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,12 @@ def _within(df: DataFrame, interval: tuple[str, float, float]) -> Column:
     return F.when(value.between(low, high), value)
 
 
+def _in_any(df: DataFrame, intervals: list[tuple[str, float, float]]) -> Column:
+    """Rows with a value inside one of the intervals: few once these are narrow."""
+    held = [present_number(df, column).between(low, high) for column, low, high in intervals]
+    return reduce(or_, held)
+
+
 def _whole_columns(df: DataFrame, names: list[str], points: tuple[float, ...]) -> list[Bracket]:
     facts = []
     for name in names:
@@ -128,7 +136,7 @@ def exact_quantiles(
         for interval, i in number.items()
     ]
     counts = (
-        spread(df, inside)
+        spread(df.where(_in_any(df, intervals)), inside)
         .where(F.col("value").isNotNull())
         .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
     facts_frame,
+    finite_number,
     numeric_columns,
     present,
     present_number,
     temporal_columns,
 )
+from plumbline.operators.profiling.wide import matrix_correlations
 from plumbline.operators.sketches import quantile_of, quantile_sketches
 
 # The points of a default quantile summary.
@@ -23,6 +25,8 @@ QUANTILE_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 COLUMNS_PER_PASS = 30
 STATISTICS_PER_PASS = 5
 PAIRS_PER_PASS = 10
+# Above this many columns all correlations come from one scan of matrix products.
+MATRIX_ABOVE_COLUMNS = 8
 
 MISSING_SCHEMA = "column string, n_missing bigint, share_missing double"
 NUMERIC_SCHEMA = (
@@ -61,18 +65,21 @@ def numeric_facts(df: DataFrame, columns: list[str]) -> list[Column]:
     facts = []
     for name in columns:
         value = present_number(df, name)
+        # Merged moments of a constant can miss zero by a rounding error.
+        varied = F.min(value) < F.max(value)
+        stddev = F.stddev_samp(value)
         facts.append(
             F.struct(
                 F.lit(name).alias("column"),
                 F.count(value).alias("n"),
                 F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("stddev"),
+                F.when(varied, stddev).otherwise(stddev * 0).alias("stddev"),
                 F.min(value).alias("min"),
                 F.max(value).alias("max"),
                 F.sum(value).alias("sum"),
                 F.count_if(value == 0).alias("n_zeros"),
-                F.skewness(value).alias("skewness"),
-                F.kurtosis(value).alias("kurtosis"),
+                F.when(varied, F.skewness(value)).alias("skewness"),
+                F.when(varied, F.kurtosis(value)).alias("kurtosis"),
             )
         )
     return facts
@@ -148,27 +155,36 @@ def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
 
 
 def correlation_facts(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Column]:
-    """Pearson correlation per pair over the rows where both values are present.
+    """Pearson correlation per pair over the rows where both values are finite.
 
     Written as covariance over the two deviations because `corr` divides by zero
-    on a constant column in ANSI mode; here that gives NULL.
+    on a constant column in ANSI mode; here that gives NULL. Merged deviations of a
+    constant can miss zero by a rounding error, hence the look at its range.
     """
     facts = []
     for a, b in pairs:
-        x, y = present_number(df, a), present_number(df, b)
+        x, y = finite_number(df, a), finite_number(df, b)
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         spread = F.stddev_pop(x) * F.stddev_pop(y)
+        varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
         facts.append(
             F.struct(
                 F.lit(a).alias("column_a"),
                 F.lit(b).alias("column_b"),
-                F.try_divide(F.covar_pop(x, y), spread).alias("correlation"),
+                F.when(varied, F.try_divide(F.covar_pop(x, y), spread)).alias("correlation"),
             )
         )
     return facts
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in long form."""
-    facts = correlation_facts(df, column_pairs(columns or numeric_columns(df)))
+    """Pearson correlation of every pair of numeric columns, in long form.
+
+    A few columns use built-in aggregates. Pairs grow with the square of the
+    columns, so wider tables take one scan that forms all sums as matrix products.
+    """
+    names = sorted(columns or numeric_columns(df))
+    if len(names) > MATRIX_ABOVE_COLUMNS:
+        return matrix_correlations(df, names)
+    facts = correlation_facts(df, column_pairs(names))
     return facts_frame(df, facts, CORRELATION_SCHEMA, PAIRS_PER_PASS)

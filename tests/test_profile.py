@@ -46,12 +46,52 @@ def test_numeric_statistics_skip_missing_values(odd):
     assert got["c"]["stddev"] == 0 and got["c"]["skewness"] is None and got["c"]["kurtosis"] is None
 
 
+def test_a_constant_over_several_tasks_has_no_spread(spark):
+    df = spark.range(0, 6001, 1, 7).select(F.lit(0.1).alias("c"), F.col("id").alias("i"))
+    row = summary.numeric_statistics(df, ["c"]).first()
+    assert (row.stddev, row.skewness, row.kurtosis) == (0.0, None, None)
+    assert summary.correlations(df).first().correlation is None
+
+
 def test_correlation_of_a_constant_column_is_null(odd):
     got = {(r.column_a, r.column_b): r.correlation for r in summary.correlations(odd).collect()}
     assert got[("c", "id")] is None and got[("c", "x")] is None
     assert got[("id", "x")] == pytest.approx(1.0)
 
 
+def test_correlations_of_many_columns_agree_with_the_built_in_way(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3000, 9)) * 10.0 ** np.arange(-4, 5) + 1e6
+    base[:, 3] += base[:, 1] * 50
+    base[:, 7] = 0.1
+    held = rng.random(base.shape) > 0.2
+    data = [
+        tuple(float(v) if ok else None for v, ok in zip(row, oks, strict=True))
+        for row, oks in zip(base, held, strict=True)
+    ]
+    data[0] = (math.inf, NAN, *data[0][2:])
+    df = spark.createDataFrame(data, ", ".join(f"c{i} double" for i in range(9))).repartition(5)
+    def keyed(frame):
+        return {(r.column_a, r.column_b): r.correlation for r in frame.collect()}
+
+    got = keyed(summary.correlations(df))
+    monkeypatch.setattr(summary, "MATRIX_ABOVE_COLUMNS", 100)
+    want = keyed(summary.correlations(df))
+    assert set(got) == set(want) and len(got) == 36
+    for pair, value in want.items():
+        if "c7" in pair:
+            assert value is None and got[pair] is None
+        else:
+            x, y = (np.array([row[int(c[1])] for row in data], dtype=float) for c in pair)
+            keep = np.isfinite(x) & np.isfinite(y)
+            x, y = (v[keep].astype("longdouble") for v in (x, y))
+            x, y = x - x.mean(), y - y.mean()
+            exact = float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()))
+            assert got[pair] == pytest.approx(exact, abs=1e-9), pair
+            # The built-in running means lose digits on small spreads around 1e6.
+            assert value == pytest.approx(exact, abs=1e-5), pair
+
+
 def test_wide_tables_take_several_passes(spark, folder, monkeypatch):
     df = spark.read.parquet(f"{folder}/lineitem.parquet")
     sections = (
