@@ -24,9 +24,9 @@ QUANTILE_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 # Columns or pairs computed by one aggregation; wider tables take several.
 COLUMNS_PER_PASS = 30
 STATISTICS_PER_PASS = 5
-PAIRS_PER_PASS = 10
+PAIRS_PER_PASS = 5
 # Above this many columns all correlations come from one scan of matrix products.
-MATRIX_ABOVE_COLUMNS = 8
+MATRIX_ABOVE_COLUMNS = 6
 
 MISSING_SCHEMA = "column string, n_missing bigint, share_missing double"
 NUMERIC_SCHEMA = (

@@ -316,13 +316,13 @@ def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def provision_counts(spark: SparkSession, folder: str) -> DataFrame:
     trips = round_timestamps(table(spark, folder, "events"), EVENT_GRIDS)
-    schema = _name("usecase")
+    schema = _name("case")
     names = provision(
         spark,
         trips,
         ENVIRONMENTS,
         schema,
-        "inference_input_example",
+        "example_input",
         location=scratch_path(spark, "environments"),
     )
     return union_all(
