@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id
+from plumbline.llm import language_id, toxicity
+from plumbline.llm.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows outside fold 0."""
+    docs = table(spark, folder, "documents")
+    rows = written(toxicity.training_rows(docs, table(spark, folder, "labels")), "toxicity-rows")
+    scored = toxicity.score(docs, toxicity.fit(rows))
+    return scored.select(
+        "doc_id", (language_id.fold_of() == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows outside fold 0."""
     found = language_id.learn_and_identify(table(spark, folder, "documents"))
@@ -27,6 +39,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op10_language_id": op10_language_id,
 }
 
