@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, toxicity
+from plumbline.llm import language_id, secrets, toxicity
 from plumbline.llm.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and hard values in credential contexts."""
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows outside fold 0."""
     found = language_id.learn_and_identify(table(spark, folder, "documents"))
@@ -40,6 +45,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
 
