@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, secrets, toxicity
+from plumbline.llm import language_id, mixing, secrets, toxicity
 from plumbline.llm.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mix to source weights takes."""
+    found = mixing.mixed(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
+    )
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: fixed patterns and hard values in credential contexts."""
     return secrets.scan(table(spark, folder, "documents"))
@@ -45,8 +53,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op5_mixing": op5_mixing,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.SQL,
+}
