@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, mixing, secrets, toxicity
+from plumbline.llm import language_id, mixing, secrets, token_output, toxicity
 from plumbline.llm.store import written
 
+TOKENIZER = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,6 +40,12 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written to files in order of the ids and read back."""
+    docs = table(spark, folder, "documents")
+    return token_output.read(token_output.write(docs, public_tokenizers.path(TOKENIZER)))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: fixed patterns and hard values in credential contexts."""
     return secrets.scan(table(spark, folder, "documents"))
@@ -54,6 +63,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
+    "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
