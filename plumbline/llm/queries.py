@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, mixing, secrets, token_output, toxicity
+from plumbline.llm import decontaminate, language_id, mixing, secrets, token_output, toxicity
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """What of every document occurs in windows of the benchmark."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("digest")
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mix to source weights takes."""
     found = mixing.mixed(table(spark, folder, "documents"), carry=["doc_id"])
@@ -62,6 +68,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op5_mixing": op5_mixing,
     "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,
@@ -69,5 +76,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.SQL,
     "op5_mixing": mixing.SQL,
 }

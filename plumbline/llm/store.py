@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.session import scratch_path
 
@@ -35,3 +36,8 @@ def dropped(df: DataFrame) -> None:
     for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df`, hinted for broadcast if its rows of at most `row_bytes` fit BROADCAST_BYTES; give a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
