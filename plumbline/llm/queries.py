@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, mixing, secrets, token_output, toxicity
+from plumbline.llm import decontaminate, language_id, mixing, near_dedup, secrets, token_output, toxicity
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("digest")
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of three words in a row have a similarity of 0.85 or more."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), near_dedup.Rule(3, 85))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mix to source weights takes."""
     found = mixing.mixed(table(spark, folder, "documents"), carry=["doc_id"])
@@ -69,6 +74,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_near_dedup": op3_near_dedup,
     "op5_mixing": op5_mixing,
     "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,
