@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, mixing, near_dedup, secrets, token_output, toxicity
+from plumbline.llm import decontaminate, language_id, lm_score, mixing, near_dedup, secrets, token_output, toxicity
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learned from the rows outside fold 1."""
+    return lm_score.scores(table(spark, folder, "documents"))
+
+
 def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, written to files in order of the ids and read back."""
     docs = table(spark, folder, "documents")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op5_mixing": op5_mixing,
+    "op7_lm_score": op7_lm_score,
     "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
