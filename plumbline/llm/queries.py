@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, lm_score, mixing, near_dedup, secrets, token_output, toxicity
+from plumbline.llm import ann, decontaminate, language_id, lm_score, mixing, near_dedup, secrets, token_output, toxicity
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), near_dedup.Rule(3, 85))
 
 
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mix to source weights takes."""
     found = mixing.mixed(table(spark, folder, "documents"), carry=["doc_id"])
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mixing": op5_mixing,
     "op7_lm_score": op7_lm_score,
     "op8_token_output": op8_token_output,
