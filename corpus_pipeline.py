@@ -6,10 +6,12 @@ written as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import language_id
-from plumbline.llm.queries import table
+from plumbline.llm import decontaminate, language_id, mixing, near_dedup, token_output
+from plumbline.llm.queries import TOKENIZER, table
 from plumbline.llm.store import written
 
 
@@ -19,8 +21,34 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, folder: str) -> Da
     return language_id.clearly_told(docs, model)
 
 
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group whose sets of five words in a row are similar by 0.8 or more."""
+    return near_dedup.deduplicated(docs, near_dedup.Rule(5, 80))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a share of benchmark windows that counts as contamination."""
+    return decontaminate.clean(docs, table(spark, folder, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    mixed = mixing.mixed(docs)
+    copies = mixed.where("times > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*docs.columns)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids in files; what is read back from them, one row per document."""
+    return token_output.read(token_output.write(docs, public_tokenizers.path(TOKENIZER)))
+
+
 STAGES = [
     ("language id", keep_known_language),
+    ("near duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token ids", write_token_ids),
 ]
 
 # Learned models and probabilistic candidate search have no SQL form.

@@ -17,21 +17,18 @@ Words and bigrams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import contextlib
 import io
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.near_dedup import runs_of
+from plumbline.llm.blocks import arrow_schema, cuts, pack, pack_sorted, runs_of, store, unpack, unpack_sorted
 from plumbline.llm.store import folder, written
 from plumbline.llm.text_arrays import SPACED, mix, pieces, word_hashes, words
 
@@ -52,26 +49,6 @@ _BEGIN = np.uint64(0xBE610000BE610001)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers of a fixed width, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack(raw: bytes, dtype: type, n: int) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(n * width, 1)), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
-
-
-def _pack_sorted(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unpack(raw, np.uint64, n), dtype=np.uint64)
-
-
 class Block(NamedTuple):
     """Documents with their tokens as numbers into the block's sorted word hashes.
 
@@ -110,16 +87,16 @@ class Block(NamedTuple):
         out = io.BytesIO()
         np.savez(
             out, doc_ids=self.doc_ids, null_ids=self.null_ids, folds=self.folds, offsets=self.offsets,
-            n=len(self.hashes), hashes=np.frombuffer(_pack_sorted(self.hashes), np.uint8),
-            tokens=np.frombuffer(_pack(self.tokens.astype(np.uint32)), np.uint8),
+            n=len(self.hashes), hashes=np.frombuffer(pack_sorted(self.hashes), np.uint8),
+            tokens=np.frombuffer(pack(self.tokens.astype(np.uint32)), np.uint8),
         )
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> Block:
         f = np.load(io.BytesIO(raw))
-        hashes = _unpack_sorted(f["hashes"].tobytes(), int(f["n"]))
-        tokens = _unpack(f["tokens"].tobytes(), np.uint32, int(f["offsets"][-1])).astype(np.int64)
+        hashes = unpack_sorted(f["hashes"].tobytes(), int(f["n"]))
+        tokens = unpack(f["tokens"].tobytes(), np.uint32, int(f["offsets"][-1])).astype(np.int64)
         return cls(f["doc_ids"], f["null_ids"], f["folds"], f["offsets"], hashes, tokens)
 
 
@@ -152,53 +129,31 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield made()
 
 
-def _store(system: pafs.FileSystem, path: str, raw: bytes) -> None:
-    """Write a file whole or not at all; a second writer has the same content."""
-    other = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(other) as out:
-        out.write(raw)
-    try:
-        system.move(other, path)
-    except OSError:
-        if system.get_file_info(path).type != pafs.FileType.File:
-            raise
-        with contextlib.suppress(OSError):
-            system.delete_file(other)
-
-
 _SENT = "range bigint, block bigint, n1 bigint, h1 binary, c1 binary, n2 bigint, h2 binary, c2 binary"
 _ANSWERED = "block bigint, range bigint, n1 bigint, c1 binary, n2 bigint, c2 binary, tokens bigint, types bigint"
 
 
-def _cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.array([0, len(hashes)])
-    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(hashes, starts), len(hashes))
-
-
 def _send(batches: Iterator[pa.RecordBatch], place: str, bits: int) -> Iterator[pa.RecordBatch]:
     system, path = pafs.FileSystem.from_uri(place)
     part = TaskContext.get().partitionId()
     for number, block in enumerate(blocks_of(batches)):
         name = (part << 32) | number
-        _store(system, f"{path}/{name:016x}", block.dump())
+        store(system, f"{path}/{name:016x}", block.dump())
         counts1 = block.unigram_counts()
         pairs, of = block.bigrams()
         counts2 = np.bincount(of[block.training()], minlength=len(pairs))
-        cuts1, cuts2 = _cuts(block.hashes, bits), _cuts(pairs, bits)
+        cuts1, cuts2 = cuts(block.hashes, bits), cuts(pairs, bits)
         rows = []
         for r in range(1 << bits):
             (a, b), (c, d) = cuts1[r : r + 2], cuts2[r : r + 2]
             if b > a or d > c:
-                packed = [_pack_sorted(block.hashes[a:b]), _pack(counts1[a:b].astype(np.uint32)), _pack_sorted(pairs[c:d]), _pack(counts2[c:d].astype(np.uint32))]
+                packed = [pack_sorted(block.hashes[a:b]), pack(counts1[a:b].astype(np.uint32)), pack_sorted(pairs[c:d]), pack(counts2[c:d].astype(np.uint32))]
                 rows.append((r, name, int(b - a), packed[0], packed[1], int(d - c), packed[2], packed[3]))
         names = [f.split()[0] for f in _SENT.split(", ")]
         yield pa.RecordBatch.from_pydict({n: [row[i] for row in rows] for i, n in enumerate(names)}, schema=_SENT_ARROW)
 
 
-_SENT_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (f.split() for f in _SENT.split(", "))])
-_ANSWERED_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (f.split() for f in _ANSWERED.split(", "))])
+_SENT_ARROW, _ANSWERED_ARROW = arrow_schema(_SENT), arrow_schema(_ANSWERED)
 
 
 def _totals(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -212,18 +167,18 @@ def _totals(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in runs_of(batches, ["range"]):
         rows = run.to_pylist()
-        h1 = [_unpack_sorted(r["h1"], r["n1"]) for r in rows]
-        d1, t1, per1 = _totals(h1, [_unpack(r["c1"], np.uint32, r["n1"]) for r in rows])
-        h2 = [_unpack_sorted(r["h2"], r["n2"]) for r in rows]
-        _, _, per2 = _totals(h2, [_unpack(r["c2"], np.uint32, r["n2"]) for r in rows])
+        h1 = [unpack_sorted(r["h1"], r["n1"]) for r in rows]
+        d1, t1, per1 = _totals(h1, [unpack(r["c1"], np.uint32, r["n1"]) for r in rows])
+        h2 = [unpack_sorted(r["h2"], r["n2"]) for r in rows]
+        _, _, per2 = _totals(h2, [unpack(r["c2"], np.uint32, r["n2"]) for r in rows])
         word = d1 != _BEGIN
         out = {
             "block": [r["block"] for r in rows],
             "range": [r["range"] for r in rows],
             "n1": [r["n1"] for r in rows],
-            "c1": [_pack(c) for c in per1],
+            "c1": [pack(c) for c in per1],
             "n2": [r["n2"] for r in rows],
-            "c2": [_pack(c) for c in per2],
+            "c2": [pack(c) for c in per2],
             # What the range holds in all, told once.
             "tokens": [int(t1[word].sum())] + [0] * (len(rows) - 1),
             "types": [int((t1[word] > 0).sum())] + [0] * (len(rows) - 1),
@@ -273,8 +228,8 @@ def _ready(batches: Iterator[pa.RecordBatch], place: str) -> Iterator[Scored]:
         with system.open_input_stream(f"{path}/{name:016x}") as file:
             block = Block.load(file.read())
         rows = sorted(run.select(["range", "n1", "c1", "n2", "c2"]).to_pylist(), key=lambda r: r["range"])
-        c1 = np.concatenate([_unpack(r["c1"], np.uint64, r["n1"]) for r in rows])
-        c2 = np.concatenate([_unpack(r["c2"], np.uint64, r["n2"]) for r in rows])
+        c1 = np.concatenate([unpack(r["c1"], np.uint64, r["n1"]) for r in rows])
+        c2 = np.concatenate([unpack(r["c2"], np.uint64, r["n2"]) for r in rows])
         _, of = block.bigrams()
         yield Scored(block, c1[block.tokens].astype(np.int64), c2[of].astype(np.int64), c1[block.contexts].astype(np.int64), of)
 

@@ -164,6 +164,10 @@ def taken_times(cut: Cut) -> Column:
     return times
 
 
+# Names of columns that are made on the way.
+OURS = ("size", "source_size", "target", "times", "number", "order_", "words_to_end", "source_docs")
+
+
 def mixed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs`, or its columns `carry` alone, with `size`, `source_size`, `target` and `times`, how often it is taken.
 
@@ -172,8 +176,7 @@ def mixed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     result. Extra columns pass through; `size`, `source_size`, `target`, `times`,
     `number`, `order_`, `words_to_end` and `source_docs` of the input give way.
     """
-    ours = {"size", "source_size", "target", "times", "number", "order_", "words_to_end", "source_docs"}
-    kept = [c for c in (carry or docs.columns) if c not in ours]
+    kept = [c for c in (carry or docs.columns) if c not in OURS]
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = docs.withColumns({"size": word_count(), "order_": order})
     slim = written(sized.select("doc_id", "source", "size", "order_"), "mix-sizes")

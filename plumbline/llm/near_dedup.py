@@ -26,9 +26,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.blocks import runs_of
 from plumbline.llm.components import components
 from plumbline.llm.store import broadcast_if_small, dropped, written
 from plumbline.llm.text_arrays import SPACED, mix, pieces, shingles, word_hashes, words
@@ -173,31 +174,6 @@ def plausible(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys together, of batches that come sorted by them; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        if held:
-            new[0] = any(held[-1].column(k)[-1].as_py() != c[0].item() for k, c in zip(keys, columns, strict=True))
-        cuts = np.flatnonzero(new).tolist()
-        start = 0
-        for cut in cuts:
-            if cut > start:
-                held.append(batch.slice(start, cut - start))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, start = [], cut
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _cross_pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Within each bucket and pair of blocks: pairs of different components that may link."""
     found_a: list[np.ndarray] = []
@@ -291,3 +267,22 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     out = answer.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of `docs` that are kept, one of each group, with all their columns.
+
+    Of several rows with one id, which count as one document, the first by the hash of
+    its text stays. Rows with a NULL id stay.
+    """
+    found = near_duplicates(docs, rule)
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "near-duplicates")
+    left = docs.join(broadcast_if_small(gone, 16), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    many = written(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("many_")).count().where("count > 1").select("many_"), "repeated-ids")
+    if not many.head(1):
+        return left
+    same = F.col("doc_id") == F.col("many_")
+    once = left.join(broadcast_if_small(many, 16), same, "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    first = left.join(broadcast_if_small(many, 16), same, "left_semi").withColumn("place_", place).where("place_ = 1")
+    return once.unionByName(first.select(*docs.columns))

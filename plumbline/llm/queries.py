@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, language_id, lm_score, mixing, near_dedup, secrets, token_output, toxicity
+from plumbline.llm import ann, decontaminate, language_id, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses of strings of 400 bytes that occur again."""
+    return suffix_dedup.removals(table(spark, folder, "documents"))
+
+
 def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document, learned from the rows outside fold 1."""
     return lm_score.scores(table(spark, folder, "documents"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import array
 import hashlib
+import os
 import re
 import struct
 import uuid
@@ -53,8 +54,9 @@ SHARD_BYTES = 64 << 20
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 8_000
 DICTIONARY_BYTES = 64 << 10
-# Pieces of text whose ids are kept in a task.
-CACHED_PIECES = 400_000
+# Pieces of text whose ids are kept in a worker; short ones, met again soonest, stay longer.
+CACHED_PIECES = 300_000
+SHORT_PIECE = 8
 
 # Letters of these texts are A-Z, a-z and the Latin-1 ones, their digits 0-9: there the
 # split into pieces that a byte-level BPE makes first is this pattern.
@@ -75,6 +77,8 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # A task has one core; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -102,10 +106,11 @@ class Encoder:
         whole = [not self.by_piece or bool(_OTHER.search(t)) or any(a in t for a in self.added) for t in texts]
         split = [None if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > CACHED_PIECES:
-            self.known.clear()
+            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT_PIECE}
+            if len(self.known) > CACHED_PIECES // 2:
+                self.known = {}
         known = self.known
-        missing = {p for pieces in split if pieces for p in set(pieces) if p not in known}
-        self._learn(sorted(missing))
+        self._learn(list(set().union(*filter(None, split)).difference(known)))
         found = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
         return [
             array.array("I", next(found).ids).tobytes() if w else b"".join(map(known.__getitem__, pieces))
