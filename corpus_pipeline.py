@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, language_id, mixing, near_dedup, token_output
 from plumbline.llm.queries import TOKENIZER, table
@@ -33,9 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    mixed = mixing.mixed(docs)
-    copies = mixed.where("times > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

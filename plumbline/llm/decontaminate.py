@@ -213,9 +213,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, size:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with all their columns."""
-    bad = written(contamination(docs, items).where("contaminated").select("doc_id", "digest").distinct(), "contaminated")
-    rejected = broadcast_if_small(bad, 64).select(F.col("doc_id").alias("bad_id_"), F.col("digest").alias("bad_digest_"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("bad_id_")) & (digest() == F.col("bad_digest_")), "left_anti")
+    bad = written(contamination(docs, items).where("contaminated").select("doc_id", "digest").distinct(), "contaminated-ids")
+    rejected = broadcast_if_small(bad, 64)
+    same = docs["doc_id"].eqNullSafe(rejected["doc_id"]) & (F.xxhash64(docs["text"]) == rejected["digest"])
+    return docs.join(rejected, same, "left_anti")
 
 
 SQL = r"""

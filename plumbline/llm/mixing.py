@@ -95,7 +95,7 @@ def queued(docs: DataFrame, sources: DataFrame) -> DataFrame:
     groups = groups.select("number", "group_", F.coalesce(F.sum("of_group_").over(of_groups), F.lit(0)).alias("past_groups_"))
     starts = totals.withColumn("past_", F.coalesce(F.sum("words_").over(before), F.lit(0)))
     starts = starts.join(groups, ["number", "group_"]).select("number", "bucket_", (F.col("past_") + F.col("past_groups_")).alias("past_"))
-    ties = [F.xxhash64("text")] if "text" in docs.columns else []
+    ties = ["text_hash_"] if "text_hash_" in docs.columns else []
     within = Window.partitionBy("number", "bucket_").orderBy("order_", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("within_", F.sum("size").over(within)).join(starts, ["number", "bucket_"])
     return placed.withColumn("words_to_end", F.col("within_") + F.col("past_")).drop("within_", "past_", "bucket_")
@@ -164,30 +164,52 @@ def taken_times(cut: Cut) -> Column:
     return times
 
 
-# Names of columns that are made on the way.
-OURS = ("size", "source_size", "target", "times", "number", "order_", "words_to_end", "source_docs")
+class Plan(NamedTuple):
+    """What decides how often a document is taken."""
 
+    slim: DataFrame
+    sources: DataFrame
+    cut: Cut
 
-def mixed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Every row of `docs`, or its columns `carry` alone, with `size`, `source_size`, `target` and `times`, how often it is taken.
 
-    NULL and empty texts have size 0 and are never taken; NULL is a source of its own,
-    the last. Repeated rows are documents of their own. An empty table gives an empty
-    result. Extra columns pass through; `size`, `source_size`, `target`, `times`,
-    `number`, `order_`, `words_to_end` and `source_docs` of the input give way.
-    """
-    kept = [c for c in (carry or docs.columns) if c not in OURS]
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.withColumns({"size": word_count(), "order_": order})
-    slim = written(sized.select("doc_id", "source", "size", "order_"), "mix-sizes")
+    return docs.select("doc_id", "source", word_count().alias("size"), order.alias("order_"), *more)
+
+
+def planned(docs: DataFrame) -> Plan:
+    slim = written(_sized(docs), "mix-sizes")
     sources = written(source_targets(slim), "mix-sources")
     budget = sources.agg(F.sum("source_size").cast("double") * BUDGET_SHARE).first()[0] or 0.0
     entries = written(mix_order(queued(slim, sources)), "mix-order")
     cut = cut_of(entries, budget)
     dropped(entries)
-    slim_will_do = set(kept) <= {"doc_id", "source"}
-    full = queued(slim if slim_will_do else sized.select(*dict.fromkeys([*kept, "doc_id", "source"]), "size", "order_"), sources)
-    return full.select(*kept, "size", "source_size", "target", taken_times(cut).alias("times"))
+    return Plan(slim, sources, cut)
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `size`, `source_size`, `target` and `times`, how often it is taken, of every row.
+
+    NULL and empty texts have size 0 and are never taken; NULL is a source of its own,
+    the last. Repeated rows are documents of their own. An empty table gives an empty
+    result. Other columns than `doc_id`, `source` and `text` are not read.
+    """
+    plan = planned(docs)
+    rows = queued(plan.slim, plan.sources)
+    return rows.select("doc_id", "size", "source_size", "target", taken_times(plan.cut).alias("times"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of `docs` as often as it is taken, with all its columns.
+
+    Which of two rows that share id and size but not text comes first in the queue is
+    settled by the hash of the text. See `taken` for the other cases.
+    """
+    plan = planned(docs)
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row_")
+    rows = queued(_sized(docs, F.xxhash64("text").alias("text_hash_"), whole), plan.sources)
+    copies = rows.select("row_", taken_times(plan.cut).alias("times")).where("times > 0")
+    return copies.select("row_", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_")).select("row_.*")
 
 
 SQL = r"""

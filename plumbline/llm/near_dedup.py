@@ -276,13 +276,15 @@ def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
     its text stays. Rows with a NULL id stay.
     """
     found = near_duplicates(docs, rule)
-    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "near-duplicates")
-    left = docs.join(broadcast_if_small(gone, 16), F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
-    many = written(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("many_")).count().where("count > 1").select("many_"), "repeated-ids")
+    gone = broadcast_if_small(written(found.where("NOT kept").select("doc_id").distinct(), "near-duplicates"), 16)
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    many = written(many, "repeated-ids")
     if not many.head(1):
         return left
-    same = F.col("doc_id") == F.col("many_")
-    once = left.join(broadcast_if_small(many, 16), same, "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
-    first = left.join(broadcast_if_small(many, 16), same, "left_semi").withColumn("place_", place).where("place_ = 1")
-    return once.unionByName(first.select(*docs.columns))
+    many = broadcast_if_small(many, 16)
+    same = left["doc_id"] == many["doc_id"]
+    whole = F.struct(*[left[name] for name in docs.columns]).alias("row_")
+    place = F.row_number().over(Window.partitionBy("row_.doc_id").orderBy(F.xxhash64("row_.text"), F.xxhash64("row_")))
+    first = left.join(many, same, "left_semi").select(whole).select("row_", place.alias("place_")).where("place_ = 1").select("row_.*")
+    return left.join(many, same, "left_anti").union(first)

@@ -50,7 +50,7 @@ def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mix to source weights takes."""
-    found = mixing.mixed(table(spark, folder, "documents"), carry=["doc_id"])
+    found = mixing.taken(table(spark, folder, "documents"))
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
     )
