@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import (
-    ASKED, arrow_schema, dealt, pack, questions, runs_of, store, told, totals_of, unpack,
+    ASKED, arrow_schema, dealt, pack, pack_sorted, questions, runs_of, store, told, totals_of, unpack, unpack_sorted,
 )
 from plumbline.llm.store import folder, written
 from plumbline.llm.text_arrays import pieces, prefix_hash, span_hash
@@ -46,7 +46,7 @@ LENGTH = 400
 # Starts that may share an anchor; an anchor is a k-mer of LENGTH - REACH + 1 bytes.
 REACH = 64
 KMER = LENGTH - REACH + 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 # Bytes of text that a hash range, or a share of the suffixes, stands for, about.
 RANGE_BYTES = 8 << 20
@@ -149,7 +149,7 @@ def _ask_anchors(batches: Iterator[pa.RecordBatch], place: str, bits: int) -> It
         files.put(block, "docs", _save(ids=ids, nulls=nulls, offsets=offsets, text=np.frombuffer(packed, np.uint8)))
         distinct, of, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         stored = {"of": of, "first": first, "length": last - first, "left": anchor - first}
-        files.put(block, "anchors", _save(n=len(first), **{k: np.frombuffer(pack(v.astype(np.int32)), np.uint8) for k, v in stored.items()}, hashes=distinct))
+        files.put(block, "anchors", _save(n=len(first), **{k: np.frombuffer(pack(v.astype(np.int32)), np.uint8) for k, v in stored.items()}, distinct=len(distinct), hashes=np.frombuffer(pack_sorted(distinct), np.uint8)))
         # Every block has a question, so that every block gets an answer.
         yield questions(block, distinct, counts, bits) if len(distinct) else questions(block, np.zeros(1, np.uint64), np.zeros(1, np.int64), bits)
 
@@ -160,7 +160,8 @@ def _repeated(files: Store, block: int, totals: np.ndarray) -> tuple[np.ndarray,
     n = int(f["n"])
     of, first, length, left = (unpack(f[k].tobytes(), np.int32, n).astype(np.int64) for k in ("of", "first", "length", "left"))
     keep = totals[of] > 1 if n else np.zeros(0, bool)
-    return first[keep], length[keep], left[keep], f["hashes"][of[keep]]
+    distinct = unpack_sorted(f["hashes"].tobytes(), int(f["distinct"]))
+    return first[keep], length[keep], left[keep], distinct[of[keep]]
 
 
 _SENT = "share bigint, block bigint, n bigint, shared binary, sizes binary, rests binary"
@@ -330,11 +331,18 @@ def _ask_open(batches: Iterator[pa.RecordBatch], place: str, bits: int) -> Itera
 
 
 def _starts(f: dict, data: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All starts of the chosen stretches, and the hashes of their strings."""
-    first, more = f["first"][chosen], f["length"][chosen]
-    counts = more + 1
+    """All starts of the chosen stretches, and the hashes of their strings; a piece of the block at a time."""
+    first, counts = f["first"][chosen], f["length"][chosen] + 1
     at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return at, span_hash(prefix_hash(data, _VALUES), at, at + LENGTH)
+    hashes = np.empty(len(at), dtype=np.uint64)
+    lo = 0
+    while lo < len(at):
+        hi = int(np.searchsorted(at, at[lo] + PIECE_BYTES))
+        prefix = prefix_hash(data[at[lo] : at[hi - 1] + LENGTH], _VALUES)
+        local = at[lo:hi] - at[lo]
+        hashes[lo:hi] = span_hash(prefix, local, local + LENGTH)
+        lo = hi
+    return at, hashes
 
 
 def _ask_starts(batches: Iterator[pa.RecordBatch], place: str, bits: int) -> Iterator[pa.RecordBatch]:
@@ -356,13 +364,11 @@ def _ask_starts(batches: Iterator[pa.RecordBatch], place: str, bits: int) -> Ite
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def removed_runs(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of removed bytes begin and end, from the starts of repeated strings."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
-    gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    return np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
+def removed_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of removed bytes begin and end, from the starts of repeated strings of a text."""
+    starts = np.sort(starts)
+    far = np.flatnonzero(np.diff(starts) > LENGTH)
+    return starts[np.concatenate([[0], far + 1])], starts[np.concatenate([far, [len(starts) - 1]])] + LENGTH
 
 
 def _result(batches: Iterator[pa.RecordBatch], place: str) -> Iterator[pa.RecordBatch]:
@@ -389,7 +395,7 @@ def _result(batches: Iterator[pa.RecordBatch], place: str) -> Iterator[pa.Record
             if not len(mine):
                 kept, begin, end = raw[a:b], (), ()
             else:
-                begin, end = removed_runs(mine - a, b - a)
+                begin, end = removed_runs(mine - a)
                 bounds = [0, *np.stack([begin, end], axis=1).ravel().tolist(), b - a]
                 kept = b"".join(raw[a + x : a + y] for x, y in zip(bounds[::2], bounds[1::2], strict=True))
             out["n_removed"].append(b - a - len(kept))

@@ -7,7 +7,6 @@ be found on the UTF-8 bytes: no Python string is made for a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -84,19 +83,26 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(base: np.uint64) -> np.ndarray:
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+_POWERS: list[np.ndarray] = []
 
-    return series(_BASE), series(_INVERSE)
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, `size` of them at least, kept in the process."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        size = 1 << max(20, int(size).bit_length())
+
+        def series(base: np.uint64) -> np.ndarray:
+            out = np.full(size, base, dtype=np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
+
+        _POWERS[:] = [series(_BASE), series(_INVERSE)]
+    return _POWERS
 
 
 def prefix_hash(data: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
     """Running polynomial hash; `span_hash` takes spans out of it."""
-    power, _ = _powers(1 << max(20, int(len(data) + 1).bit_length()))
+    power, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(values[data] * power[: len(data)], out=out[1:])
     return out
@@ -104,7 +110,7 @@ def prefix_hash(data: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarr
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they lie."""
-    _, inverse = _powers(1 << max(20, int(len(prefix)).bit_length()))
+    _, inverse = _powers(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
