@@ -84,10 +84,11 @@ def features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     ends = offsets[1:][offsets[1:] > offsets[:-1]]
     keep2 = pair != 0x2020
     keep3 = keep2[:-1] & keep2[1:]
-    keep2[np.minimum(ends - 1, len(keep2) - 1)] = False
-    keep2[len(texts.data) :] = False
-    for back in (1, 2):
-        keep3[np.clip(ends - back, 0, len(keep3) - 1)] = False
+    for keep, backs in ((keep2, (1,)), (keep3, (1, 2))):
+        for back in backs:
+            at = ends - back
+            keep[at[(at >= 0) & (at < len(keep))]] = False
+    keep2[max(len(texts.data) - 1, 0) :] = False
     keep3[max(len(texts.data) - 2, 0) :] = False
     out = []
     for keep, bucket in ((keep2, pair * np.uint32(0x85EBCA77) >> np.uint32(19)), (keep3, triple + np.uint32(PAIRS))):

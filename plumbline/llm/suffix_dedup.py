@@ -47,7 +47,7 @@ LENGTH = 400
 REACH = 64
 KMER = LENGTH - REACH + 1
 BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 512 << 10
 # Bytes of text that a hash range, or a share of the suffixes, stands for, about.
 RANGE_BYTES = 8 << 20
 _PREFIX_BYTES = 7

@@ -30,10 +30,10 @@ FIT_ROWS = 30_000
 # Lexicon terms and context words kept, at most, the most significant first.
 MAX_TERMS = 5_000
 MIN_TOXIC_ROWS = 4
-TERM_Z = 4.0
+TERM_Z = 4.5
 # Misspellings are looked for only of terms that chance can't explain at all.
-MISSPELLED_Z = 7.0
-CONTEXT_Z = 3.0
+MISSPELLED_Z = 8.0
+CONTEXT_Z = 3.5
 STEM_LENGTHS = range(4, 9)
 # Words on either side of a hit that make up its context.
 WINDOW = 5
@@ -235,10 +235,17 @@ class Model(NamedTuple):
 
 
 def odds(toxic: str, rest: str, all_toxic: int, all_rest: int) -> tuple[F.Column, F.Column]:
-    """Log odds ratio of a term towards the toxic label, and how many errors from 0 it lies."""
+    """Log odds ratio of a term towards the toxic label, and the signed root of its likelihood ratio."""
     a, b = F.col(toxic) + 0.5, F.col(rest) + 0.5
     ratio = F.log(a / (all_toxic + 1.0 - a)) - F.log(b / (all_rest + 1.0 - b))
-    return ratio, ratio / F.sqrt(1 / a + 1 / b)
+    share = all_toxic / max(all_toxic + all_rest, 1)
+    gain = F.lit(0.0)
+    for seen, of in ((F.col(toxic), share), (F.col(rest), 1 - share)):
+        expected = (F.col(toxic) + F.col(rest)) * of
+        gain = gain + F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    over = F.col(toxic) > (F.col(toxic) + F.col(rest)) * share
+    root = F.sqrt(F.greatest(2 * gain, F.lit(0.0)))
+    return ratio, F.when(over, root).otherwise(-root)
 
 
 COUNTED = "kind int, term string, n_rest bigint, n_toxic bigint"
@@ -308,16 +315,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression drawn towards PRIOR, the intercept last, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     prior = np.append(np.array(PRIOR), 0.0)
-    w = prior.copy()
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (keep * (w - prior) ** 2).sum())
+
+    w = prior.copy()
+    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    best = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (y - p) - keep * (w - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        # Halved until it helps: far out, a whole step can overshoot.
+        while np.abs(step).max() > 1e-9 and loss(w + step) > best:
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
             break
+        w = w + step
+        best = loss(w)
     return w
 
 
@@ -327,8 +345,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
     Ids are taken in the order of their hash. Several labels of an id count as toxic if
     one of them does; labels other than 0 and 1, NULL included, are no labels.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.where(fold_of() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold_of() != 0)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # A share of the hashes that holds somewhat more than is wanted, so that little is sorted.
+    share = min(1.0, 1.2 * limit / max(known.count(), 1))
+    low = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 33) < share * (1 << 31))
+    chosen = low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
@@ -338,9 +360,8 @@ def fit(rows: DataFrame) -> Model:
     totals = (counted.get(0, 0), counted.get(1, 0))
     lexicon = lexicon_of(_significant(rows, _terms, totals, TERM_Z, both=False)) if min(totals) else Lexicon({}, {}, {})
 
-    def context(text: str) -> Iterator[tuple[int, str]]:
-        for hit in finder().hits(text)[0]:
-            yield from ((0, w) for w in set(hit.near))
+    def context(text: str) -> set[tuple[int, str]]:
+        return {(0, w) for hit in finder().hits(text)[0] for w in hit.near}
 
     made: list[Finder] = []
 
