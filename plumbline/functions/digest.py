@@ -18,6 +18,23 @@ _JSON = {
 _SEEDS = (1, 2)
 
 
+def _settled(value: Column, dtype: T.DataType) -> Column:
+    """Equal values written alike: no negative zero, map entries in the order of their keys."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return value + F.lit(0.0).cast(dtype)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: _settled(item, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_settled(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType().add("key", dtype.keyType).add("value", dtype.valueType)
+        entries = F.transform(F.map_entries(value), lambda item: _settled(item, entry))
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.array_sort(entries, order)
+    return value
+
+
 def row_digest(schema: T.StructType) -> list[Column]:
     """Two 64-bit hashes `digest_0`, `digest_1` of all values of a row.
 
@@ -28,7 +45,7 @@ def row_digest(schema: T.StructType) -> list[Column]:
     """
     parts = []
     for field in schema.fields:
-        value = quoted(field.name)
+        value = _settled(quoted(field.name), field.dataType)
         if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             parts.append(F.to_json(F.struct(value.alias("v")), _JSON))
         else:

@@ -51,6 +51,10 @@ FIXED_WIDTHS = {
 }
 
 
+class UnsizedType(TypeError):
+    """A column whose bytes can't be modelled, so no bound holds for its table."""
+
+
 def _layout(name: str) -> Layout:
     if name not in LAYOUTS:
         raise ValueError(f"unknown layout {name!r}, expected one of {sorted(LAYOUTS)}")
@@ -94,7 +98,9 @@ def _width(value: Column, dtype: T.DataType, layout: Layout) -> tuple[int, Colum
         return FIXED_WIDTHS[type(dtype)], None
     if isinstance(dtype, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
         return layout.text, F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
-    return layout.text, None
+    if isinstance(dtype, T.VariantType):
+        return layout.text, F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)).cast("bigint")
+    raise UnsizedType(f"no size is known for {dtype.simpleString()} values; leave the column out")
 
 
 def row_width(schema: T.StructType, layout: str = "pandas") -> tuple[int, Column | None]:

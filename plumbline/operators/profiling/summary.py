@@ -6,9 +6,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
+    FLOATING,
     facts_frame,
     finite_number,
     numeric_columns,
@@ -25,13 +27,12 @@ QUANTILE_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 COLUMNS_PER_PASS = 30
 STATISTICS_PER_PASS = 5
 PAIRS_PER_PASS = 5
-# Above this many columns all correlations come from one scan of matrix products.
-MATRIX_ABOVE_COLUMNS = 6
 
 MISSING_SCHEMA = "column string, n_missing bigint, share_missing double"
 NUMERIC_SCHEMA = (
     "column string, n bigint, mean double, stddev double, min double, max double, "
-    "sum double, n_zeros bigint, skewness double, kurtosis double"
+    "sum double, n_zeros bigint, skewness double, kurtosis double, "
+    "min_exact string, max_exact string, sum_exact string"
 )
 QUANTILE_SCHEMA = "column string, quantile double, value double"
 DISTINCT_SCHEMA = "column string, n_distinct bigint"
@@ -80,15 +81,30 @@ def numeric_facts(df: DataFrame, columns: list[str]) -> list[Column]:
                 F.count_if(value == 0).alias("n_zeros"),
                 F.when(varied, F.skewness(value)).alias("skewness"),
                 F.when(varied, F.kurtosis(value)).alias("kurtosis"),
+                *_exact(df, name),
             )
         )
     return facts
 
 
+def _exact(df: DataFrame, name: str) -> list[Column]:
+    """Range and sum of whole numbers and decimals with all their digits; NULL for floats."""
+    dtype, value = df.schema[name].dataType, quoted(name)
+    if isinstance(dtype, FLOATING):
+        found = [F.lit(None)] * 3
+    else:
+        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+        found = [F.min(value), F.max(value), F.sum(value.cast(T.DecimalType(28 + scale if scale <= 10 else 38, scale)))]
+    names = ("min_exact", "max_exact", "sum_exact")
+    return [v.cast("string").alias(n) for v, n in zip(found, names, strict=True)]
+
+
 def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, spread, range, sum, zeros and shape of numeric columns.
 
-    Skewness and excess kurtosis are the population forms.
+    Skewness and excess kurtosis are the population forms. The figures are doubles;
+    `min_exact`, `max_exact` and `sum_exact` hold all digits of whole numbers and
+    decimals as text.
     """
     facts = numeric_facts(df, columns or numeric_columns(df))
     return facts_frame(df, facts, NUMERIC_SCHEMA, STATISTICS_PER_PASS)
@@ -98,6 +114,11 @@ def temporal_facts(df: DataFrame, columns: list[str]) -> list[Column]:
     facts = []
     for name in columns:
         low, high = F.min(quoted(name)), F.max(quoted(name))
+        if isinstance(df.schema[name].dataType, T.TimestampType):
+            # Instants: a change of the clocks between them is no part of the span.
+            span = F.floor((F.unix_micros(high) - F.unix_micros(low)) / F.lit(1_000_000))
+        else:
+            span = F.timestamp_diff("SECOND", low.cast("timestamp_ntz"), high.cast("timestamp_ntz"))
         low, high = low.cast("timestamp_ntz"), high.cast("timestamp_ntz")
         facts.append(
             F.struct(
@@ -105,7 +126,7 @@ def temporal_facts(df: DataFrame, columns: list[str]) -> list[Column]:
                 F.count(quoted(name)).alias("n"),
                 low.alias("min_ts"),
                 high.alias("max_ts"),
-                F.timestamp_diff("SECOND", low, high).alias("span_seconds"),
+                span.cast("bigint").alias("span_seconds"),
             )
         )
     return facts
@@ -180,11 +201,15 @@ def correlation_facts(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Colum
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, in long form.
 
-    A few columns use built-in aggregates. Pairs grow with the square of the
-    columns, so wider tables take one scan that forms all sums as matrix products.
+    One scan forms the sums of all pairs as matrix products. Pairs whose spread is
+    small beside their values, where such sums lose digits, are computed again by the
+    built-in aggregates, so that the answer doesn't depend on the other columns.
     """
     names = sorted(columns or numeric_columns(df))
-    if len(names) > MATRIX_ABOVE_COLUMNS:
-        return matrix_correlations(df, names)
-    facts = correlation_facts(df, column_pairs(names))
-    return facts_frame(df, facts, CORRELATION_SCHEMA, PAIRS_PER_PASS)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], CORRELATION_SCHEMA)
+    sound, again = matrix_correlations(df, names)
+    facts = correlation_facts(df, again)
+    if not facts:
+        return sound
+    return sound.unionByName(facts_frame(df, facts, CORRELATION_SCHEMA, PAIRS_PER_PASS))

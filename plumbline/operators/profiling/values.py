@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.digest import row_digest
 from plumbline.functions.names import quoted
-from plumbline.functions.rowbytes import row_width
 from plumbline.operators.profiling.columns import (
     STRUCTS_PER_SCAN,
     chunked,
@@ -22,28 +21,26 @@ from plumbline.operators.profiling.summary import (
     distinct_facts,
 )
 
-# Rows up to this width are grouped by their values rather than by a digest.
-NARROW_ROW_BYTES = 64
 
-
-def overview(df: DataFrame, by_values: bool | None = None) -> DataFrame:
+def overview(
+    df: DataFrame, by_values: bool = True, duplicate_columns: list[str] | None = None
+) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (rows beyond the first of their kind).
 
-    Rows are grouped by all their values while those are few fixed-width ones,
-    else by a 16-byte digest, which keeps wide rows out of the shuffle;
-    `by_values` forces the choice. Copies are counted before the shuffle, so a row
-    repeated very often costs one entry per task.
+    Rows are duplicates if all their values are equal, or those of `duplicate_columns`.
+    With `by_values=False` they are compared by a 16-byte digest instead, which keeps
+    wide rows out of the shuffle and is wrong only in a 128-bit collision. Copies are
+    counted before the shuffle, so a row repeated very often costs one entry per task.
     """
     missing = sum((present(df, c).isNull().cast("bigint") for c in df.columns), F.lit(0))
-    if by_values is None:
-        constant, varying = row_width(df.schema, "wire")
-        by_values = varying is None and constant <= NARROW_ROW_BYTES
+    compared = duplicate_columns or df.columns
     if by_values:
-        per_row = df.groupBy(*[quoted(c) for c in df.columns]).agg(
+        per_row = df.groupBy(*[quoted(c) for c in compared]).agg(
             F.count(F.lit(1)).alias("__n"), F.sum(missing).alias("__missing")
         )
     else:
-        keyed = df.select(*row_digest(df.schema), missing.alias("__missing"))
+        schema = df.select(*[quoted(c) for c in compared]).schema
+        keyed = df.select(*row_digest(schema), missing.alias("__missing"))
         per_row = keyed.groupBy("digest_0", "digest_1").agg(
             F.count(F.lit(1)).alias("__n"), F.sum("__missing").alias("__missing")
         )
@@ -98,4 +95,7 @@ def distinct_counts(
     names = columns or flat_columns(df)
     if not exact:
         return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA, COLUMNS_PER_PASS)
-    return value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    found = value_counts(df, names).select("column", F.lit(1).cast("bigint").alias("n"))
+    # Columns without any value have a row too.
+    every = df.sparkSession.createDataFrame([(name, 0) for name in names], found.schema)
+    return found.union(every).groupBy("column").agg(F.sum("n").alias("n_distinct"))

@@ -15,7 +15,9 @@ SUMS_SCHEMA = (
     "a int, b int, n double, sum_a double, sum_b double, "
     "sum_aa double, sum_bb double, sum_ab double"
 )
-ROUNDING = 1e-13
+# Below this share of the sum of squares the spread has lost digits; with it, 1e-10 are left.
+LEAST_SPREAD = 1e-5
+CORRELATION_SCHEMA = "column_a string, column_b string, correlation double"
 
 
 def pair_sums(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -44,12 +46,15 @@ def pair_sums(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFr
     )
 
 
-def matrix_correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of `names` from one scan.
+def matrix_correlations(
+    df: DataFrame, names: list[str]
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Pearson correlation of every pair of `names` from one scan, and the pairs it can't tell.
 
-    Each task hands on one row per pair, whatever its number of rows. Values are
-    shifted by the column mean first, so the sums keep their digits; a constant
-    column is shifted to exact zeros and its correlations are NULL.
+    Each task hands on one row per pair, whatever its number of rows, and the driver
+    gets one per pair. Values are shifted by the column mean first, so the sums keep
+    their digits. What they can't tell are pairs whose spread is small beside what the
+    shift leaves, constants among them.
     """
     facts = []
     for name in names:
@@ -73,12 +78,9 @@ def matrix_correlations(df: DataFrame, names: list[str]) -> DataFrame:
 
     square_a = centred("sum_aa", "sum_a", "sum_a")
     square_b = centred("sum_bb", "sum_b", "sum_b")
-    # A spread this far below the values themselves is what rounding leaves of zero.
-    varied = (square_a > F.col("sum_aa") * ROUNDING) & (square_b > F.col("sum_bb") * ROUNDING)
+    sound = (square_a > F.col("sum_aa") * LEAST_SPREAD) & (square_b > F.col("sum_bb") * LEAST_SPREAD)
     correlation = F.try_divide(centred("sum_ab", "sum_a", "sum_b"), F.sqrt(square_a * square_b))
-    labels = F.array(*[F.lit(name) for name in names])
-    return totals.select(
-        F.element_at(labels, F.col("a") + 1).alias("column_a"),
-        F.element_at(labels, F.col("b") + 1).alias("column_b"),
-        F.when(varied, correlation).alias("correlation"),
-    )
+    found = totals.select("a", "b", F.coalesce(sound, F.lit(False)).alias("sound"), correlation.alias("r")).collect()
+    rows = [(names[x.a], names[x.b], x.r) for x in found if x.sound]
+    again = [(names[x.a], names[x.b]) for x in found if not x.sound]
+    return df.sparkSession.createDataFrame(rows, CORRELATION_SCHEMA), again

@@ -11,6 +11,9 @@ from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sket
 
 METHODS = ("sample", "limit")
 
+# Fixed value: what a NULL key is hashed as.
+NULL_KEY = "NULL"
+
 # Up to this many candidate rows a plain top-k is cheap enough in one task.
 NARROW_ABOVE_ROWS = 50_000_000
 
@@ -29,10 +32,11 @@ def keyed_sample(df: DataFrame, key: Column | str, fraction: float) -> DataFrame
     """Keep the rows whose hashed key falls below `fraction`.
 
     The choice depends on the key alone, not on file layout, partitioning or
-    engine, so reruns and other engines keep the same rows.
+    engine, so reruns and other engines keep the same rows. NULL is a key like others.
     """
     key = F.col(key) if isinstance(key, str) else key
-    prefix = F.substring(F.md5(key.cast("string").cast("binary")), 1, 8)
+    text = F.coalesce(key.cast("string"), F.lit(NULL_KEY))
+    prefix = F.substring(F.md5(text.cast("binary")), 1, 8)
     return df.where(F.conv(prefix, 16, 10).cast("bigint") < F.lit(fraction * 4294967296.0))
 
 

@@ -33,12 +33,14 @@ def provision(
     environments: Sequence[str],
     schema: str,
     table: str,
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
     catalogs: bool = False,
     location: str | None = None,
 ) -> list[str]:
     """Write the same table into every environment and return the table names.
 
+    A table that exists already is an error unless `mode` says `overwrite` or `append`.
+
     With `catalogs` an environment is a catalog of the session; otherwise it is
     the schema `<environment>_<schema>` of the default catalog, which holds one
     level of schemas. The frame is computed once: through a checkpoint where the

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyspark.pandas as ps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -21,21 +22,32 @@ def _collect(df: DataFrame) -> pd.DataFrame:
 def _collect_within(df: DataFrame, method: str, threshold_bytes: int) -> pd.DataFrame:
     size = dataset_size(df)
     if method == "limit" and size.bytes > threshold_bytes:
-        # `take` runs only as many tasks as it needs rows; collecting a limited
-        # frame would have every task of the table write its share first.
-        head = df.take(row_limit(size.rows, size.bytes, threshold_bytes))
-        return _collect(df.sparkSession.createDataFrame(head, df.schema))
+        # Without Arrow a limited frame is collected as `take` does it, by only as many
+        # tasks as it needs rows, and the rows pass through the driver once.
+        with session_setting(df.sparkSession, ARROW, "false"):
+            return df.limit(row_limit(size.rows, size.bytes, threshold_bytes)).toPandas()
     return _collect(reduce_to_budget(df, method, size.bytes, threshold_bytes))
 
 
+def _on_spark(df: DataFrame, index_col: str | list[str] | None):
+    """pandas on Spark; without an index column, numbers that need no pass over the rows."""
+    with ps.option_context("compute.default_index_type", "distributed"):
+        return df.pandas_api(index_col=index_col)
+
+
 def _route(
-    df: DataFrame, oversized: bool, threshold_bytes: int, force_pandas: bool, force_method: str
+    df: DataFrame,
+    oversized: bool,
+    threshold_bytes: int,
+    force_pandas: bool,
+    force_method: str,
+    index_col: str | list[str] | None,
 ):
     if not oversized:
         return _collect(df)
     if force_pandas:
         return _collect_within(df, force_method, threshold_bytes)
-    return df.pandas_api()
+    return _on_spark(df, index_col)
 
 
 def _check_method(method: str) -> None:
@@ -50,6 +62,7 @@ def read_from_table(
     threshold_bytes: int = COLLECT_LIMIT_BYTES,
     force_pandas: bool = False,
     force_method: str = "sample",
+    index_col: str | list[str] | None = None,
 ):
     """Read a catalog table.
 
@@ -59,14 +72,15 @@ def read_from_table(
     | `as_pandas`                 | pandas           | pandas on Spark        |
     | `as_pandas`, `force_pandas` | pandas           | pandas, reduced to fit |
 
-    `force_method` reduces by `sample` or by `limit`.
+    `force_method` reduces by `sample` or by `limit`. `index_col` names the index of a
+    pandas-on-Spark result; without it the index is unique numbers in no order.
     """
     _check_method(force_method)
     df = spark.read.table(table_name)
     if not as_pandas:
         return df
     oversized = is_oversized(df, threshold_bytes=threshold_bytes)
-    return _route(df, oversized, threshold_bytes, force_pandas, force_method)
+    return _route(df, oversized, threshold_bytes, force_pandas, force_method, index_col)
 
 
 def read_from_path(
@@ -78,6 +92,7 @@ def read_from_path(
     force_method: str = "sample",
     filetype: str | None = None,
     schema: StructType | str | None = None,
+    index_col: str | list[str] | None = None,
     **options: object,
 ):
     """Read a file dataset whose format is taken from its listing.
@@ -88,11 +103,12 @@ def read_from_path(
     """
     _check_method(force_method)
     if filetype is None:
-        filetype, n_bytes = survey_path(spark, path)
+        filetype, n_bytes, found = survey_path(spark, path)
+        options = {**found, **options}
     else:
         n_bytes = total_bytes(spark, path) if as_pandas else 0
     df = read_files(spark, path, filetype, schema, **options)
     if not as_pandas:
         return df
     oversized = n_bytes > threshold_bytes or is_oversized(df, threshold_bytes=threshold_bytes)
-    return _route(df, oversized, threshold_bytes, force_pandas, force_method)
+    return _route(df, oversized, threshold_bytes, force_pandas, force_method, index_col)

@@ -1,14 +1,22 @@
 """ANSI SQL for the registered queries, written against the same tables.
 
-The queries missing here depend on random draws, on sketches or on the file
-system, none of which SQL over the tables can express.
+Queries about random draws, sketches or files return facts that SQL can state: bounds
+that hold, and the counts they are compared with.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from plumbline.registry.queries import BUDGET_BYTES, ENVIRONMENTS, OVERSIZE_BYTES, QUANTILES
+from plumbline.registry.queries import (
+    ALIKE,
+    ALIKE_TEXTS,
+    BUDGET_BYTES,
+    ENVIRONMENTS,
+    HEAD_ROWS,
+    OVERSIZE_BYTES,
+    QUANTILES,
+)
 
 
 def ceil_sql(column: str, minutes: int) -> str:
@@ -113,21 +121,22 @@ FROM events
 """
 
 MEASURES_WITH_GAPS = """
-SELECT nullif(l_quantity, 7) AS l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_discount,
-       l_tax, l_linenumber
+SELECT * REPLACE (nullif(l_quantity, 7) AS l_quantity, nullif(l_discount, 0) AS l_discount)
 FROM lineitem
 """
 
-MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+WHOLE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+MEASURES = (*WHOLE, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINEITEM = (*MEASURES, "l_returnflag", "l_linestatus", "l_shipdate")
 PAIRS = list(combinations(sorted(MEASURES), 2))
 MEASURES_CTE = f"WITH m AS MATERIALIZED ({MEASURES_WITH_GAPS})"
 
 
-def overview_sql(source: str, columns: list[str]) -> str:
+def overview_sql(source: str, columns: tuple[str, ...], compared: tuple[str, ...]) -> str:
     missing = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in columns)
-    listed = ", ".join(columns)
+    listed = ", ".join(compared)
     return f"""
-    WITH src AS (SELECT {listed} FROM ({source}))
+    WITH src AS ({source})
     SELECT count(*) AS n_rows, CAST({len(columns)} AS BIGINT) AS n_columns,
            CAST(sum({missing}) AS BIGINT) AS n_missing_cells,
            count(*) - (SELECT count(*) FROM (SELECT DISTINCT {listed} FROM src))
@@ -136,8 +145,8 @@ def overview_sql(source: str, columns: list[str]) -> str:
     """
 
 
-OVERVIEW = overview_sql(MEASURES_WITH_GAPS, ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
-OVERVIEW_TEXT = overview_sql("SELECT * FROM documents", ["text", "lang", "source", "n_chars"])
+OVERVIEW = overview_sql(MEASURES_WITH_GAPS, LINEITEM, ALIKE)
+OVERVIEW_TEXT = overview_sql("SELECT * FROM documents", ("doc_id", *ALIKE_TEXTS), ALIKE_TEXTS)
 
 MISSING = f"WITH e AS ({EVENTS_WITH_GAPS}) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({v}) AS n_missing, "
@@ -153,6 +162,12 @@ MISSING = f"WITH e AS ({EVENTS_WITH_GAPS}) " + " UNION ALL ".join(
 )
 
 
+def exact_sql(c: str, whole: bool) -> str:
+    return ", ".join(
+        f"CAST({f'{f}({c})' if whole else 'NULL'} AS VARCHAR) AS {f}_exact" for f in ("min", "max", "sum")
+    )
+
+
 def numeric_sql(c: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
     moments = (
@@ -164,7 +179,7 @@ def numeric_sql(c: str) -> str:
         f"round(stddev_samp({x}), 6) AS stddev, min({x}) AS min, max({x}) AS max, "
         f"round(sum({x}), 2) AS sum, count(*) FILTER ({c} = 0) AS n_zeros, "
         f"round({moments} / pow(var_pop({x}), 1.5), 6) AS skewness, "
-        f"round(kurtosis_pop({x}), 6) AS kurtosis FROM m"
+        f"round(kurtosis_pop({x}), 6) AS kurtosis, {exact_sql(c, c in WHOLE)} FROM m"
     )
 
 
@@ -204,7 +219,8 @@ def top_sql(source: str, columns: list[str], k: int) -> str:
     """
 
 
-TOP = top_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], 5)
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+TOP = top_sql("orders", ORDERS, 5)
 
 
 def bucket_sql(c: str, bins: int = 10) -> str:
@@ -262,7 +278,7 @@ def _metric(section: str, column: str, detail: str, metric: str, value: str, res
 
 
 def _report() -> str:
-    listed = ", ".join(MEASURES)
+    listed = ", ".join(LINEITEM)
     parts = [
         _metric("overview", "''", "''", "n_rows", "count(*)", "m"),
         _metric(
@@ -274,9 +290,30 @@ def _report() -> str:
             "m",
         ),
     ]
-    for c in MEASURES:
+    for c in LINEITEM:
+        distinct = f"count(DISTINCT {c})"
         parts += [
             _metric("missing", f"'{c}'", "''", "n_missing", f"count(*) - count({c})", "m"),
+            _metric("distinct", f"'{c}'", "''", "n_distinct", distinct, "m"),
+        ]
+    span = "floor((epoch_us(max(l_shipdate)) - epoch_us(min(l_shipdate))) / 1000000)"
+    parts += [
+        _metric("datetime", "'l_shipdate'", "''", "n", "count(l_shipdate)", "m"),
+        _metric("datetime", "'l_shipdate'", "''", "span_seconds", span, "m"),
+    ]
+    for c in MEASURES:
+        parts += [
+            _metric(
+                "quantiles",
+                f"'{c}'",
+                f"'{p}'",
+                "value",
+                f"round(quantile_cont({c}::DOUBLE, {p}), 6)",
+                "m",
+            )
+            for p in QUANTILES
+        ]
+        parts += [
             _metric("numeric", f"'{c}'", "''", "mean", f"round(avg({c}::DOUBLE), 6)", "m"),
             _metric("numeric", f"'{c}'", "''", "stddev", f"round(stddev({c}::DOUBLE), 6)", "m"),
             _metric(
@@ -307,11 +344,45 @@ def _report() -> str:
                 f"b WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}",
             ),
         ]
-    top = top_sql("m", list(MEASURES), 10)
+    top = top_sql("m", list(LINEITEM), 10)
     parts.append(_metric("top_values", '"column"', "CAST(rank AS VARCHAR)", "n", "n", f"({top})"))
     return BUCKETS_CTE + " UNION ALL ".join(parts)
 
 
+SAMPLE_BY_KEY_NULLS = f"""
+WITH s AS (SELECT least(1.0, {BUDGET_BYTES}::DOUBLE / {bytes_sql('events')}) AS share FROM events),
+k AS (SELECT *, coalesce(cast(CASE WHEN event_id % 3 <> 0 THEN event_id END AS VARCHAR), 'NULL') AS key FROM events)
+SELECT k.* EXCLUDE (key) FROM k, s
+WHERE ('0x' || substr(md5(key), 1, 8))::BIGINT < share * 4294967296.0
+"""
+
+LIMIT_NARROWED = " UNION ALL ".join(
+    f"(SELECT '{label}' AS \"lead\", o_orderkey, o_custkey, o_orderpriority FROM orders "
+    f"ORDER BY {order}, o_orderkey LIMIT {HEAD_ROWS})"
+    for label, order in (
+        ("number", "o_custkey"), ("string", "o_orderpriority"), ("ties", "year(o_orderdate)"),
+    )
+)
+
+FEATURE_LOOKUP_HOT = """
+WITH e AS (SELECT event_id, nullif(event_type, 'error') AS event_type FROM events),
+f AS (SELECT event_type, count(*) AS n_of_type FROM e WHERE event_type <> 'click' GROUP BY event_type)
+SELECT event_id, e.event_type, n_of_type FROM e LEFT JOIN f ON e.event_type = f.event_type
+"""
+
+EXACT_TYPES = f"""
+WITH m AS (SELECT o_orderkey + 9007199254740993 AS large_key,
+                  CAST(o_totalprice AS DECIMAL(20, 2)) AS price FROM orders)
+SELECT 'large_key' AS "column", count(large_key) AS n, {exact_sql('large_key', True)} FROM m
+UNION ALL SELECT 'price', count(price), {exact_sql('price', True)} FROM m
+"""
+
+SKETCHED_QUANTILES = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS quantile, true AS near"
+    for c in MEASURES
+    for p in QUANTILES
+)
+
 TEMP_VIEW = (
     f"SELECT o_orderstatus, {ceil_sql('o_orderdate', 30)} AS order_slot, count(*) AS n "
     "FROM orders GROUP BY ALL"
@@ -331,6 +402,26 @@ ORACLE_SQL: dict[str, str] = {
     "temp_view": TEMP_VIEW,
     "feature_lookup": FEATURE_LOOKUP,
     "feature_lookup_missing": FEATURE_LOOKUP_MISSING,
+    "feature_lookup_shuffle": FEATURE_LOOKUP,
+    "feature_lookup_hot": FEATURE_LOOKUP_HOT,
+    "feature_lookup_hot_shuffle": FEATURE_LOOKUP_HOT,
+    "reduce_sample_by_key_nulls": SAMPLE_BY_KEY_NULLS,
+    "reduce_limit_narrowed": LIMIT_NARROWED,
+    "scan_nested": "SELECT * FROM customer",
+    "scan_mixed": "SELECT * FROM customer",
+    "size_estimate": (
+        f"SELECT 'documents' AS table_name, {bytes_sql('documents')} AS n_bytes, true AS near FROM documents"
+    ),
+    "reduce_sample": "SELECT count(*) AS n_rows, true AS subset, true AS near FROM orders",
+    "sample_fixed_fraction": "SELECT count(*) AS n_rows, true AS subset, true AS near FROM events",
+    "file_inventory": "SELECT count(*) AS n_rows, true AS sizes_agree FROM lineitem",
+    "path_summary": (
+        "SELECT count(*) AS n_rows, 'parquet' AS format, true AS bytes_agree FROM lineitem"
+    ),
+    "profile_quantiles_narrowed": QUANTILE,
+    "profile_quantiles_approx": SKETCHED_QUANTILES,
+    "profile_distinct_approx": f'SELECT "column", n_distinct, true AS near FROM ({DISTINCT})',
+    "profile_exact_types": EXACT_TYPES,
     "row_count": "SELECT count(*) AS n_rows FROM events",
     "size_exact": SIZE_EXACT,
     "is_oversized": OVERSIZED,

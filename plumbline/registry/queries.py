@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ from plumbline.functions.timegrid import (
 )
 from plumbline.operators.lookup import lookup_features
 from plumbline.operators.profiling import quantiles, shapes, summary, values
-from plumbline.operators.profiling.columns import union_all
-from plumbline.operators.reduction import reduce_to_budget
+from plumbline.operators.profiling.columns import facts_frame, present_number, union_all
+from plumbline.operators.reduction import ordered_head, reduce_to_budget, sample_fraction
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
 from plumbline.operators.timestamps import round_timestamps
-from plumbline.plans.provision import example_table, provision
+from plumbline.plans.provision import EXAMPLE_FRACTION, example_table, provision
 from plumbline.plans.report import profile
 from plumbline.plans.routing import read_from_path, read_from_table
 from plumbline.session import scratch_path, settle
@@ -41,6 +42,9 @@ BUDGET_BYTES = 100_000
 OVERSIZE_BYTES = 2_000_000
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 ENVIRONMENTS = ("prd", "stg", "dev")
+ALIKE = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+ALIKE_TEXTS = ("text", "lang", "source", "n_chars")
+HEAD_ROWS = 700
 
 EVENT_GRIDS = {"ts": [("rounded_15", 15), ("rounded_30", 30)]}
 
@@ -146,6 +150,17 @@ def feature_lookup_missing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def feature_lookup_hot(spark: SparkSession, folder: str, strategy: str = "split") -> DataFrame:
+    """A lookup by the event type alone: each of the few keys, NULL too, holds many rows."""
+    events = table(spark, folder, "events").withColumn(
+        "event_type", F.nullif("event_type", F.lit("error"))
+    )
+    known = events.where("event_type <> 'click'")
+    features = known.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_of_type"))
+    found = lookup_features(events, settle(features), ["event_type"], strategy)
+    return found.select("event_id", "event_type", "n_of_type")
+
+
 # --- sizing and reduction ----------------------------------------------------------
 
 
@@ -165,8 +180,13 @@ def size_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def size_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    estimate = estimate_size(table(spark, folder, "documents"), seed=1)
-    return spark.createDataFrame([("documents", estimate)], "table_name string, n_bytes double")
+    """Exact bytes of the documents, and whether the estimate is within 5% of them."""
+    documents = table(spark, folder, "documents")
+    estimate, exact = estimate_size(documents, seed=1), dataset_size(documents).bytes
+    near = abs(estimate - exact) <= 0.05 * exact
+    return spark.createDataFrame(
+        [("documents", exact, near)], "table_name string, n_bytes bigint, near boolean"
+    )
 
 
 def oversized(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,14 +208,45 @@ def reduce_limit_ordered(spark: SparkSession, folder: str) -> DataFrame:
     return reduce_to_budget(orders, "limit", threshold_bytes=BUDGET_BYTES, order_by=order)
 
 
-def reduce_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return reduce_to_budget(
-        table(spark, folder, "orders"), "sample", threshold_bytes=BUDGET_BYTES, seed=1
+def reduce_sample_by_key_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third key is NULL; these rows stay or go together."""
+    events = table(spark, folder, "events")
+    key = F.when(F.col("event_id") % 3 != 0, F.col("event_id"))
+    return reduce_to_budget(events, "sample", threshold_bytes=BUDGET_BYTES, key=key)
+
+
+def reduce_limit_narrowed(spark: SparkSession, folder: str) -> DataFrame:
+    """First rows by a number, by a string and by a lead with many ties, candidates cut down first."""
+    orders = table(spark, folder, "orders").withColumn("o_year", F.year("o_orderdate"))
+    leads = {"number": "o_custkey", "string": "o_orderpriority", "ties": "o_year"}
+    return union_all(
+        ordered_head(orders, HEAD_ROWS, [lead, "o_orderkey"], narrow_above=1_000)
+        .select(F.lit(label).alias("lead"), "o_orderkey", "o_custkey", "o_orderpriority")
+        for label, lead in leads.items()
+    )
+
+
+def _sample_facts(whole: DataFrame, sample: DataFrame, key: str, fraction: float) -> DataFrame:
+    """Rows of the whole; whether a sample holds nothing else, once each, and about its share."""
+    sample = settle(sample.select(key))
+    rows, taken = whole.count(), sample.count()
+    subset = sample.distinct().join(whole, key, "left_semi").count() == taken
+    near = abs(taken - rows * fraction) <= 5 * (rows * fraction * (1 - fraction)) ** 0.5
+    return whole.sparkSession.createDataFrame(
+        [(rows, subset, near)], "n_rows bigint, subset boolean, near boolean"
     )
 
 
+def reduce_sample(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    reduced = reduce_to_budget(orders, "sample", threshold_bytes=BUDGET_BYTES, seed=1)
+    share = sample_fraction(dataset_size(orders).bytes, BUDGET_BYTES)
+    return _sample_facts(orders, reduced, "o_orderkey", share)
+
+
 def sample_fixed_fraction(spark: SparkSession, folder: str) -> DataFrame:
-    return example_table(table(spark, folder, "events"), EVENT_GRIDS)
+    events = table(spark, folder, "events")
+    return _sample_facts(events, example_table(events, EVENT_GRIDS), "event_id", EXAMPLE_FRACTION)
 
 
 # --- sources -----------------------------------------------------------------------
@@ -228,12 +279,58 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return _file_copy(spark, table(spark, folder, "documents"), "csv", multiLine=True)
 
 
+def _scattered(spark: SparkSession, folder: str) -> str:
+    """`customer` as csv at a path, in a folder below and in one below that; the path."""
+    path = scratch_path(spark, "scattered")
+    customer = table(spark, folder, "customer")
+    for part, place in enumerate((path, f"{path}/more", f"{path}/more/yet")):
+        rows = customer.where(F.col("c_custkey") % 3 == part)
+        write_csv(spark, rows, place, mode="append")
+    return path
+
+
+def scan_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of files at several depths, the format inferred."""
+    schema = table(spark, folder, "customer").schema
+    return read_from_path(spark, _scattered(spark, folder), schema=schema)
+
+
+def scan_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Text files lie beside the data and are not read."""
+    path = _scattered(spark, folder)
+    notes = table(spark, folder, "nation").select("n_name")
+    notes.write.mode("append").text(path)
+    notes.write.mode("append").text(f"{path}/more")
+    return read_from_path(spark, path, schema=table(spark, folder, "customer").schema)
+
+
+def _copied(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """A copy of `lineitem` in several files, and what its rows say of these."""
+    path = scratch_path(spark, "copied")
+    table(spark, folder, "lineitem").write.partitionBy("l_returnflag").parquet(path)
+    facts = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
+    rows = spark.read.parquet(path).select(*facts).groupBy("path", "size")
+    return path, rows.agg(F.count(F.lit(1)).alias("n"))
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return file_inventory(spark, folder)
+    """Rows of the files listed, and whether their sizes are those that a scan reports."""
+    path, scanned = _copied(spark, folder)
+    listed = file_inventory(spark, path).select("path", "length")
+    both = listed.join(scanned, "path", "full")
+    same = F.coalesce(F.col("size") == F.col("length"), F.lit(False))
+    return both.agg(F.sum("n").alias("n_rows"), F.every(same).alias("sizes_agree"))
 
 
 def path_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([survey_path(spark, folder)], "format string, n_bytes bigint")
+    """The format of a copy, and whether its bytes are those that a scan reports."""
+    path, scanned = _copied(spark, folder)
+    found = survey_path(spark, path)
+    return scanned.agg(F.sum("n").alias("n_rows"), F.sum("size").alias("bytes")).select(
+        "n_rows",
+        F.lit(found.format).alias("format"),
+        (F.col("bytes") == found.n_bytes).alias("bytes_agree"),
+    )
 
 
 def census(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,12 +445,11 @@ def _events_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _measures_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        F.nullif("l_quantity", F.lit(7.0)).alias("l_quantity"),
-        "l_extendedprice",
-        F.nullif("l_discount", F.lit(0.0)).alias("l_discount"),
-        "l_tax",
-        "l_linenumber",
+    return table(spark, folder, "lineitem").withColumns(
+        {
+            "l_quantity": F.nullif("l_quantity", F.lit(7.0)),
+            "l_discount": F.nullif("l_discount", F.lit(0.0)),
+        }
     )
 
 
@@ -362,16 +458,18 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def profile_overview(spark: SparkSession, folder: str) -> DataFrame:
-    measures = _measures_with_gaps(spark, folder).drop("l_extendedprice")
-    return values.overview(measures)
+    return values.overview(_measures_with_gaps(spark, folder), duplicate_columns=list(ALIKE))
 
 
 def profile_overview_text(spark: SparkSession, folder: str) -> DataFrame:
-    return values.overview(table(spark, folder, "documents").drop("doc_id"))
+    """Documents that are alike but for their ids, by digest."""
+    documents = table(spark, folder, "documents")
+    return values.overview(documents, by_values=False, duplicate_columns=list(ALIKE_TEXTS))
 
 
 def profile_overview_exact(spark: SparkSession, folder: str) -> DataFrame:
-    return values.overview(table(spark, folder, "documents").drop("doc_id"), by_values=True)
+    documents = table(spark, folder, "documents")
+    return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS))
 
 
 def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
@@ -389,8 +487,31 @@ def profile_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(quantiles.exact_quantiles(measures, points=QUANTILES), value=6)
 
 
+def profile_quantiles_narrowed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by way of brackets: no more than 2,000 rows are ranked together."""
+    found = quantiles.exact_quantiles(
+        _measures_with_gaps(spark, folder), points=QUANTILES, ranked_rows=2_000
+    )
+    return _rounded(found, value=6)
+
+
 def profile_quantiles_approx(spark: SparkSession, folder: str) -> DataFrame:
-    return summary.approx_quantiles(_measures_with_gaps(spark, folder), points=QUANTILES)
+    """Whether the rank of every sketched quantile is off by less than 0.5% of the rows."""
+    measures = _measures_with_gaps(spark, folder)
+    found = summary.approx_quantiles(measures, points=QUANTILES).collect()
+    checks = []
+    for r in found:
+        value = present_number(measures, r.column)
+        n, allowed = F.count(value), F.lit(0.005)
+        near = (F.count_if(value < r.value) <= n * (r.quantile + allowed)) & (
+            F.count_if(value <= r.value) >= n * (r.quantile - allowed)
+        )
+        checks.append(
+            F.struct(
+                F.lit(r.column).alias("column"), F.lit(r.quantile).alias("quantile"), near.alias("near")
+            )
+        )
+    return facts_frame(measures, checks, "column string, quantile double, near boolean", 10)
 
 
 def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
@@ -398,12 +519,27 @@ def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_distinct_approx(spark: SparkSession, folder: str) -> DataFrame:
-    return values.distinct_counts(_events_with_gaps(spark, folder))
+    """Exact distinct counts, and whether the sketched ones are within 20% of them."""
+    events = _events_with_gaps(spark, folder)
+    exact = values.distinct_counts(events, exact=True)
+    sketched = values.distinct_counts(events).withColumnRenamed("n_distinct", "n_sketched")
+    off = F.abs(F.col("n_sketched") - F.col("n_distinct"))
+    near = off <= 0.2 * F.col("n_distinct")
+    return exact.join(sketched, "column").select("column", "n_distinct", near.alias("near"))
+
+
+def profile_exact_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Range and sum of keys beyond what a double holds, and of a decimal."""
+    large = table(spark, folder, "orders").select(
+        (F.col("o_orderkey") + F.lit(9007199254740993)).alias("large_key"),
+        F.col("o_totalprice").cast("decimal(20,2)").alias("price"),
+    )
+    stats = summary.numeric_statistics(large)
+    return stats.select("column", "n", "min_exact", "max_exact", "sum_exact")
 
 
 def profile_topk(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").drop("o_totalprice", "o_orderdate")
-    return values.top_values(orders, k=5)
+    return values.top_values(table(spark, folder, "orders"), k=5)
 
 
 def profile_histogram(spark: SparkSession, folder: str) -> DataFrame:
@@ -427,8 +563,8 @@ def pair_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections of one whole profile, one metric per row."""
-    sections = profile(_measures_with_gaps(spark, folder))
+    """All sections of one whole profile, one metric per row."""
+    sections = profile(_measures_with_gaps(spark, folder), exact=True)
     nothing, column = F.lit(""), F.col("column")
     pair = F.concat_ws("|", "column_a", "column_b")
     cell = F.concat_ws("|", "bucket_a", "bucket_b")
@@ -459,6 +595,9 @@ def profile_report(spark: SparkSession, folder: str) -> DataFrame:
             metrics("top_values", column, F.col("rank"), n=n),
             metrics("histogram", column, F.col("bucket"), n=n),
             metrics("pair_bins", pair, cell, n=n),
+            metrics("datetime", column, nothing, n=n, span_seconds=F.col("span_seconds")),
+            metrics("distinct", column, nothing, n_distinct=F.col("n_distinct")),
+            metrics("quantiles", column, F.col("quantile"), value=F.round("value", 6)),
         ]
     )
 
@@ -475,12 +614,17 @@ QUERIES: dict[str, Query] = {
     "temp_view": temp_view,
     "feature_lookup": feature_lookup,
     "feature_lookup_missing": feature_lookup_missing,
+    "feature_lookup_shuffle": partial(feature_lookup, strategy="shuffle"),
+    "feature_lookup_hot": feature_lookup_hot,
+    "feature_lookup_hot_shuffle": partial(feature_lookup_hot, strategy="shuffle"),
     "row_count": row_count,
     "size_exact": size_exact,
     "size_estimate": size_estimate,
     "is_oversized": oversized,
     "reduce_sample_by_key": reduce_sample_by_key,
+    "reduce_sample_by_key_nulls": reduce_sample_by_key_nulls,
     "reduce_limit_ordered": reduce_limit_ordered,
+    "reduce_limit_narrowed": reduce_limit_narrowed,
     "reduce_sample": reduce_sample,
     "sample_fixed_fraction": sample_fixed_fraction,
     "scan_table": scan_table,
@@ -490,6 +634,8 @@ QUERIES: dict[str, Query] = {
     "scan_json": scan_format("json"),
     "scan_orc": scan_format("orc"),
     "scan_text": scan_text,
+    "scan_nested": scan_nested,
+    "scan_mixed": scan_mixed,
     "csv_roundtrip": csv_roundtrip,
     "file_inventory": inventory,
     "path_summary": path_summary,
@@ -509,6 +655,8 @@ QUERIES: dict[str, Query] = {
     "profile_missing": profile_missing,
     "profile_numeric": profile_numeric,
     "profile_quantiles": profile_quantiles,
+    "profile_quantiles_narrowed": profile_quantiles_narrowed,
+    "profile_exact_types": profile_exact_types,
     "profile_quantiles_approx": profile_quantiles_approx,
     "profile_distinct": profile_distinct,
     "profile_distinct_approx": profile_distinct_approx,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,27 +49,58 @@ def has_delta_log(spark: SparkSession, path: str) -> bool:
         raise
 
 
+class Survey(NamedTuple):
+    """What a path holds: the format of its data, their bytes, and how to read just those."""
+
+    format: str
+    n_bytes: int
+    options: dict[str, object]
+
+
 def infer_format(spark: SparkSession, path: str) -> str:
     """The one format of the files under `path`.
 
     A transaction log decides first. Otherwise one extension wins, and `txt`
     gives way to a single other one. Anything else is an error.
     """
-    return survey_path(spark, path)[0]
+    return survey_path(spark, path).format
+
 
+def _root(spark: SparkSession, path: str) -> str:
+    """`path` as it stands at the head of the paths in a listing."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location).toString()
 
-def survey_path(spark: SparkSession, path: str) -> tuple[str, int]:
-    """Format and bytes of the files under `path`, from one listing."""
+
+def _any_case(extension: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
+def survey_path(spark: SparkSession, path: str) -> Survey:
+    """Format, bytes and read options of the data files under `path`, from one listing.
+
+    The options make a reader load the files that were counted and no others: other
+    extensions are kept out, and folders below are searched where files lie in plain
+    ones. Where all folders are partitions (`key=value`), they stay columns.
+    """
     if has_delta_log(spark, path):
-        return "delta", total_bytes(spark, path)
-    census = format_census(file_inventory(spark, path)).orderBy("extension")
-    found = {row.extension: row.n_bytes for row in census.take(NAMED_FORMATS)}
+        return Survey("delta", total_bytes(spark, path), {})
+    below = F.element_at(F.split(F.substring(F.col("path"), len(_root(spark, path)) + 2, 1 << 30), "/[^/]*$"), 1)
+    in_folder = F.col("path").substr(len(_root(spark, path)) + 2, 1 << 30).contains("/")
+    plain = in_folder & F.exists(F.split(below, "/"), lambda part: ~part.contains("="))
+    files = file_inventory(spark, path).withColumn("extension", F.lower(F.regexp_extract("path", EXTENSION, 1)))
+    census = files.groupBy("extension").agg(F.sum("length").alias("n_bytes"), F.bool_or(plain).alias("nested"))
+    # One row is enough to know the format, a few to name what is in the way.
+    found = census.where("extension <> 'txt'").orderBy("extension").take(NAMED_FORMATS) or census.take(1)
     if not found:
         raise ValueError(f"no data files under {path!r}")
-    candidates = [name for name in found if name != "txt"] or list(found)
-    if len(candidates) > 1:
-        raise ValueError(f"several formats under {path!r}: {candidates}; name one file or format")
-    if not candidates[0]:
+    if len(found) > 1:
+        names = [row.extension for row in found]
+        raise ValueError(f"several formats under {path!r}: {names}; name one file or format")
+    extension = found[0].extension
+    if not extension:
         raise ValueError(f"the files under {path!r} have no extension; name the format")
-    name = "text" if candidates[0] == "txt" else candidates[0]
-    return name, sum(found.values())
+    options: dict[str, object] = {"pathGlobFilter": f"*.{_any_case(extension)}"}
+    if found[0].nested:
+        options["recursiveFileLookup"] = True
+    return Survey("text" if extension == "txt" else extension, found[0].n_bytes, options)

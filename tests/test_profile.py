@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import profile
 from plumbline.functions.digest import row_digest
+from plumbline.operators.profiling.columns import facts_frame
 from plumbline.operators.profiling import columns, quantiles, shapes, summary, values
 from tests.conftest import plan_of
 
@@ -59,7 +60,7 @@ def test_correlation_of_a_constant_column_is_null(odd):
     assert got[("id", "x")] == pytest.approx(1.0)
 
 
-def test_correlations_of_many_columns_agree_with_the_built_in_way(spark, monkeypatch):
+def test_correlations_of_many_columns_agree_with_the_built_in_way(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(3000, 9)) * 10.0 ** np.arange(-4, 5) + 1e6
     base[:, 3] += base[:, 1] * 50
@@ -75,8 +76,8 @@ def test_correlations_of_many_columns_agree_with_the_built_in_way(spark, monkeyp
         return {(r.column_a, r.column_b): r.correlation for r in frame.collect()}
 
     got = keyed(summary.correlations(df))
-    monkeypatch.setattr(summary, "MATRIX_ABOVE_COLUMNS", 100)
-    want = keyed(summary.correlations(df))
+    pairs = summary.correlation_facts(df, summary.column_pairs(df.columns))
+    want = keyed(facts_frame(df, pairs, summary.CORRELATION_SCHEMA, 5))
     assert set(got) == set(want) and len(got) == 36
     for pair, value in want.items():
         if "c7" in pair:
@@ -147,15 +148,16 @@ def test_empty_and_columnless_inputs(spark, odd):
 
 def test_overview_counts_duplicates(spark, odd):
     df = odd.unionByName(odd).unionByName(odd.limit(1))
-    for by_values in (None, True, False):
+    for by_values in (True, False):
         got = values.overview(df, by_values)
         assert got.columns == ["n_rows", "n_columns", "n_missing_cells", "n_duplicate_rows"]
         assert got.first() == (9, 6, 10, 5)
 
 
-def test_duplicates_are_grouped_by_digest_when_rows_are_wide(spark, folder):
+def test_duplicates_are_compared_by_value_unless_a_digest_is_asked_for(spark, folder):
     wide = spark.read.parquet(f"{folder}/documents.parquet")
-    assert "hashpartitioning(digest_0#" in plan_of(values.overview(wide))
+    assert "hashpartitioning(digest_0#" in plan_of(values.overview(wide, by_values=False))
+    assert "digest_0" not in plan_of(values.overview(wide))
     narrow = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_tax", "l_quantity")
     assert "hashpartitioning(l_tax#" in plan_of(values.overview(narrow))
 
@@ -297,3 +299,48 @@ def test_odd_column_names(spark):
     assert {r["column"] for r in got["numeric"].collect()} == {"a.b", "c`d"}
     for frame in got.values():
         frame.count()
+
+
+def test_negative_zero_and_the_order_of_map_entries_make_no_difference(spark):
+    floats = spark.createDataFrame([([0.0],), ([-0.0],), ([1.0],)], "x array<double>")
+    maps = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)")
+    plain = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
+    for df in (floats, maps, plain):
+        for by_values in (True, False):
+            assert values.overview(df, by_values).first().n_duplicate_rows == 1
+
+
+def test_duplicates_over_chosen_columns(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 1), (3, "b", 1)], "id int, t string, n int")
+    for by_values in (True, False):
+        got = values.overview(df, by_values, ["t"]).first()
+        assert (got.n_rows, got.n_columns, got.n_missing_cells, got.n_duplicate_rows) == (3, 3, 1, 1)
+
+
+def test_a_correlation_does_not_depend_on_the_number_of_columns(spark):
+    """Values missing on one side leave a spread far below the shift of the whole column."""
+    data = [(1e9 + i % 5, float(i % 5) + 0.1 * (i % 3), i % 2 * 1e9 + i) for i in range(300)]
+    data += [(0.0, None, float(i)) for i in range(300)]
+    df = spark.createDataFrame(data, "a double, b double, z double")
+    wide = df.select("*", *[F.rand(i).alias(f"c{i}") for i in range(5)])
+    found = []
+    for frame in (df.select("a", "b"), df, wide):
+        rows = {(r.column_a, r.column_b): r.correlation for r in summary.correlations(frame).collect()}
+        found.append(rows["a", "b"])
+    x, y = (np.array([float(row[i] - (1e9 if i == 0 else 0)) for row in data[:300]]) for i in (0, 1))
+    assert all(r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-7) for r in found)
+    assert max(found) - min(found) < 1e-12
+
+
+def test_spans_are_between_instants(spark, setting):
+    setting("spark.sql.session.timeZone", "America/New_York")
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS t UNION ALL SELECT timestamp'2024-07-01 00:00:00'")
+    assert summary.temporal_ranges(df).first().span_seconds == 15_721_200
+    ntz = df.select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert summary.temporal_ranges(ntz).first().span_seconds == 15_724_800
+
+
+def test_distinct_counts_have_a_row_for_every_column(spark):
+    df = spark.createDataFrame([(1, None), (1, None)], "a int, b string")
+    for exact in (True, False):
+        assert {tuple(r) for r in values.distinct_counts(df, exact=exact).collect()} == {("a", 1), ("b", 0)}

@@ -158,8 +158,11 @@ def test_provisioning_can_run_twice(spark, folder, fresh, monkeypatch, reliable)
     events = spark.read.parquet(f"{folder}/events.parquet")
     trips = example_table(events, {"ts": ("slot", 15)}, fraction=0.2)
     schema = fresh("case")
-    for _ in range(2):
-        names = provision(spark, trips, ["prd", "stg", "dev"], schema, "inputs")
+    places = ["prd", "stg", "dev"]
+    for mode in ("errorifexists", "overwrite"):
+        names = provision(spark, trips, places, schema, "inputs", mode=mode)
+    with pytest.raises(AnalysisException, match="already exists"):
+        provision(spark, trips, places, schema, "inputs")
     assert names == [f"spark_catalog.{e}_{schema}.inputs" for e in ("prd", "stg", "dev")]
     first, *others = [sorted(spark.table(name).collect()) for name in names]
     assert first and all(other == first for other in others)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import dataset_size, estimate_size, is_oversized, measure, reduce_to_budget
 from plumbline.functions.rowbytes import row_width
-from plumbline.operators.reduction import ordered_head, row_limit, sample_fraction
+from plumbline.operators.reduction import keyed_sample, ordered_head, row_limit, sample_fraction
 from plumbline.session import ARROW
 from tests.conftest import plan_of
 
@@ -173,3 +173,20 @@ def test_ordered_head_with_a_third_of_the_rows_on_one_key(spark):
 def test_ordered_head_of_nulls_only(spark):
     df = spark.range(500).select(F.lit(None).cast("int").alias("a"), "id")
     assert ordered_head(df, 20, ["a", "id"], narrow_above=10).agg(F.max("id")).first()[0] == 19
+
+
+def test_null_keys_are_sampled_like_other_keys(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id")
+    kept = [keyed_sample(df, "k", share).agg(F.count_if(F.col("k").isNull())).first()[0] for share in (0.05, 0.99)]
+    assert kept == [0, 500]
+    assert 450 < keyed_sample(df.where("k IS NOT NULL"), "k", 0.95).count() <= 500
+
+
+def test_large_variants_are_measured_and_other_unknown_types_refused(spark):
+    big = spark.sql("SELECT parse_json(concat('\"', repeat('x', 1000000), '\"')) AS v FROM range(3)")
+    assert dataset_size(big).bytes >= 3_000_000
+    assert is_oversized(big, threshold_bytes=2_000_000)
+    assert dataset_size(spark.sql("SELECT CAST(NULL AS variant) AS v")).bytes > 0
+    interval = spark.sql("SELECT make_interval(1, 2, 3) AS i")
+    with pytest.raises(TypeError, match="no size is known"):
+        dataset_size(interval)

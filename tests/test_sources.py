@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from plumbline import file_inventory, infer_format, read_files, total_bytes
+from plumbline import file_inventory, infer_format, read_files, read_from_path, total_bytes
 from plumbline.sources.files import FormatUnavailable
 from tests.conftest import plan_of
 
@@ -87,3 +87,39 @@ def test_missing_connectors_are_named(spark, tmp_path):
     for filetype in ("delta", "nosuchformat"):
         with pytest.raises(FormatUnavailable, match=filetype):
             read_files(spark, path, filetype)
+
+
+def _values(spark, path, **options):
+    """All rows read from a path, the same as Spark and as pandas."""
+    rows = sorted(map(tuple, read_from_path(spark, path, **options).collect()))
+    frame = read_from_path(spark, path, as_pandas=True, **options)
+    assert sorted(map(tuple, frame.itertuples(index=False))) == rows
+    return rows
+
+
+def test_files_in_plain_folders_are_all_read(spark, tmp_path):
+    path = put(
+        tmp_path, top_dot_csv="a\n1\n2\n", a__x_dot_csv="a\n3\n", b__c__y_dot_CSV="a\n4\n5\n", b___z_dot_csv="a\n9\n"
+    )
+    assert _values(spark, path, schema="a int") == [(1,), (2,), (3,), (4,), (5,)]
+    assert _values(spark, f"{path}/b", schema="a int") == [(4,), (5,)]
+
+
+def test_partition_folders_stay_columns(spark, tmp_path):
+    spark.range(6).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(str(tmp_path / "t"))
+    assert _values(spark, str(tmp_path / "t")) == [(i, i % 2) for i in range(6)]
+
+
+def test_text_beside_data_is_not_read(spark, tmp_path):
+    path = put(tmp_path, x_dot_csv="a\n1\n2\n", readme_dot_txt="hello\nworld\n", sub__more_dot_txt="this\n")
+    assert _values(spark, path, schema="a int") == [(1,), (2,)]
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "p"))
+    put(tmp_path / "p", readme_dot_txt="hi")
+    assert _values(spark, str(tmp_path / "p")) == [(0,), (1,), (2,)]
+    only = put(tmp_path / "t", a_dot_txt="one\n", b__c_dot_txt="two\n")
+    assert _values(spark, only) == [("one",), ("two",)]
+
+
+def test_a_single_file_is_read_alone(spark, tmp_path):
+    path = put(tmp_path, x_dot_csv="a\n1\n", y_dot_csv="a\n2\n")
+    assert _values(spark, f"{path}/x.csv", schema="a int") == [(1,)]
