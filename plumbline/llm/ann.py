@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import written
+from plumbline.llm.store import ARROW_ROWS, written
 from plumbline.session import session_setting
 
 SHARD = 4096
@@ -29,7 +29,6 @@ EXPANDED = 4
 QUERIES = 512
 # Queries in a block, the unit that meets a shard.
 BLOCK = 4096
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import small_batches
 from plumbline.llm.text_arrays import Texts, pieces, texts_of
 
 PAIRS = 1 << 13
@@ -213,6 +214,7 @@ def _predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     named = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(keep)]
     schema = docs.select(*named).schema
     schema = schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
+    small_batches(docs.sparkSession)
     return docs.select(*named, F.col("text").alias("_text")).mapInArrow(_with_predictions(model), schema)
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plumbline.llm.store import small_batches
 from plumbline.llm.text_arrays import pieces, words
 
 # Fixed patterns; ASCII letters of `assign` in either case.
@@ -206,6 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
     `spans` lists kind:start:end in code points, the end exclusive. NULL and empty texts
     have none, and the digest is that of the empty string. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema
     for name in ("n_assign", "n_access", "n_hex"):
         schema = schema.add(name, "long")

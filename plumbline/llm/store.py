@@ -11,12 +11,26 @@ from plumbline.session import scratch_path
 BROADCAST_BYTES = 32 << 20
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers 1,000 at a time, unless the session says otherwise.
+
+    The default of 10,000 is meant for narrow rows; of texts they are tens of megabytes.
+    """
+    if spark.conf.get(ARROW_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
     What is read has no lineage behind it, so a lost executor costs only the
     reading of a file again, and nothing nondeterministic is computed twice.
     """
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

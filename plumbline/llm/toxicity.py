@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.language_id import fold_of
+from plumbline.llm.store import small_batches
 
 # Labelled training rows that the model is fitted on, at most, taken by a hash of the id.
 FIT_ROWS = 30_000
@@ -411,5 +412,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-z)))})
 
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("score", "double")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
