@@ -23,10 +23,8 @@ names, so what a lost executor leaves behind is never read.
 
 from __future__ import annotations
 
-import array
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -43,6 +41,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm.store import folder, written
+from plumbline.llm.text_arrays import Texts, pieces, prefix_hash, span_hash
 
 MAGIC = b"PLIDZST1"
 HEADER = struct.Struct("<8s32sQQ")
@@ -54,19 +53,134 @@ SHARD_BYTES = 64 << 20
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 8_000
 DICTIONARY_BYTES = 64 << 10
-# Pieces of text whose ids are kept in a worker; short ones, met again soonest, stay longer.
-CACHED_PIECES = 600_000
-SHORT_PIECE = 9
-
-# Letters of these texts are A-Z, a-z and the Latin-1 ones, their digits 0-9: there the
-# split into pieces that a byte-level BPE makes first is this pattern.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHER = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{_LETTERS}]")
-_SPACE = r"\t\n\x0b\x0c\r "
-_PIECE = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_SPACE}{_LETTERS}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
-_SPLIT_NAME = "ByteLevel"
+# Pieces of text whose ids are kept in a worker, and how many new ones are filed together.
+CACHED_PIECES = 1_000_000
+FILED_PIECES = 50_000
+# Bytes of text that are encoded together.
+GROUP_BYTES = 512 << 10
+
+# Classes of bytes: letters (with the Latin-1 ones, which are two bytes), digits, the
+# space, other white space, everything else. Bytes of other letters have none.
+_NONE, _LETTER, _DIGIT, _SPACE, _BLANK, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0xC3] = _CLASS[0x80:0xC0] = _LETTER
+_CLASS[48:58], _CLASS[32], _CLASS[9:14], _CLASS[0x1C:0x20] = _DIGIT, _SPACE, _BLANK, _NONE
+_CLASS[0xC0:0xC3] = _CLASS[0xC4:] = _NONE
+_ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+_VALUES = np.random.default_rng(22).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def unsplittable(texts: Texts) -> np.ndarray:
+    """Texts with letters or white space beyond those that `split` knows."""
+    data, offsets = texts
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    odd = _CLASS[data] == _NONE
+    odd |= ((data & 0xC0) == 0x80) & (~after | (data == 0x97) | (data == 0xB7))
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    return seen[offsets[1:]] > seen[offsets[:-1]]
+
+
+def split(texts: Texts) -> np.ndarray:
+    """Where the pieces begin that a byte-level BPE makes of texts first.
+
+    A piece is a run of letters, of digits or of other signs with the space before it, or
+    the white space that is left: a run of it without its last character, and that
+    character by itself if it isn't a space, or a whole run at a text's end. An
+    apostrophe that begins a piece forms one with a short ending.
+    """
+    data, offsets = texts
+    filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+    ends = offsets[1:][offsets[1:] > offsets[:-1]]
+    kind = _CLASS[data]
+    before, behind = np.zeros_like(kind), np.zeros_like(kind)
+    before[1:], behind[:-1] = kind[:-1], kind[1:]
+    before[filled] = behind[ends - 1] = _NONE
+    white = (kind == _SPACE) | (kind == _BLANK)
+    white_before = (before == _SPACE) | (before == _BLANK)
+    last_of_run = (behind != _SPACE) & (behind != _BLANK) & (behind != _NONE)
+    new = np.where(white, ~white_before | last_of_run, (before != kind) & (before != _SPACE))
+    new[filled] = True
+    marks = np.flatnonzero((data == 39) & new & (behind == _LETTER))
+    if len(marks):
+        raw, limit = data.tobytes(), ends[np.searchsorted(ends, marks, side="right")]
+        for at, end in zip(marks.tolist(), limit.tolist(), strict=True):
+            for ending in _ENDINGS:
+                stop = at + 1 + len(ending)
+                if stop <= end and raw[at + 1 : stop] == ending:
+                    new[at + 1 : stop] = False
+                    if stop < end and kind[stop] == _LETTER:
+                        new[stop] = True
+                    break
+    return np.flatnonzero(new)
+
+
+class Pieces:
+    """Ids of pieces by their hash: sorted arrays, the newest apart until they are many."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [self._empty(), self._empty()]
+
+    @staticmethod
+    def _empty() -> dict[str, np.ndarray]:
+        return {
+            "keys": np.empty(0, np.uint64), "marks": np.empty(0, np.int64), "starts": np.empty(0, np.int64),
+            "sizes": np.empty(0, np.int64), "uses": np.empty(0, np.int32), "pool": np.empty(0, np.uint32),
+        }
+
+    @staticmethod
+    def _chosen(level: dict, order: np.ndarray) -> dict[str, np.ndarray]:
+        out = {k: level[k][order] for k in ("keys", "marks", "sizes", "uses")}
+        out["starts"] = np.cumsum(out["sizes"]) - out["sizes"]
+        out["pool"] = gathered(level["pool"], level["starts"][order], out["sizes"])
+        return out
+
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Level (-1: unknown, -2: another piece with this hash) and place of each key, and its number of ids."""
+        level_of, place_of = np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
+        sizes = np.zeros(len(keys), dtype=np.int64)
+        for number, level in enumerate(self.levels):
+            if not len(level["keys"]):
+                continue
+            place = np.minimum(np.searchsorted(level["keys"], keys), len(level["keys"]) - 1)
+            same = level["keys"][place] == keys
+            right = same & (level["marks"][place] == marks)
+            level_of[same & ~right] = -2
+            level_of[right], place_of[right] = number, place[right]
+            sizes[right] = level["sizes"][place[right]]
+            level["uses"][place[right]] += 1
+        return level_of, place_of, sizes
+
+    def add(self, keys: np.ndarray, marks: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New pieces, none of them known. Where there are too many, those used once go."""
+        recent = self.levels[1]
+        sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        joined = {
+            "keys": np.concatenate([recent["keys"], keys]), "marks": np.concatenate([recent["marks"], marks]),
+            "sizes": np.concatenate([recent["sizes"], sizes]), "uses": np.concatenate([recent["uses"], np.zeros(len(keys), np.int32)]),
+            "starts": np.concatenate([recent["starts"], len(recent["pool"]) + np.cumsum(sizes) - sizes]),
+            "pool": np.concatenate([recent["pool"], *ids]),
+        }
+        self.levels[1] = self._chosen(joined, np.argsort(joined["keys"], kind="stable"))
+        if len(self.levels[1]["keys"]) > FILED_PIECES:
+            old, recent = self.levels
+            recent["starts"] = recent["starts"] + len(old["pool"])
+            both = {k: np.concatenate([old[k], recent[k]]) for k in old}
+            keep = np.arange(len(both["keys"]))
+            if len(keep) > CACHED_PIECES:
+                keep = np.flatnonzero(both["uses"] > 1)
+                keep = keep if len(keep) < CACHED_PIECES // 2 else keep[:0]
+                both["uses"] = np.zeros_like(both["uses"])
+            self.levels = [self._chosen(both, keep[np.argsort(both["keys"][keep], kind="stable")]), self._empty()]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of `pool` that begin at `starts`, one after the other."""
+    past = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - past, sizes) + np.arange(int(sizes.sum()))]
 
 
 class Encoder:
@@ -80,57 +194,83 @@ class Encoder:
         # A task has one core; threads of the library would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
-        self.by_piece = _SPLIT_NAME in str(self.tokenizer.pre_tokenizer) and "Sequence" not in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None and self.newline is not None and "add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        blank = [p for p in missing if "\n" in p or "\r" in p]
-        plain = [p for p in missing if "\n" not in p and "\r" not in p]
-        for piece, found in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True):
-            self.known[piece] = array.array("I", found.ids).tobytes()
-        # Many pieces at once, one to a line: a line's end is always a token of its own.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.newline = self._whole(["\n"])[0]
+        self.by_piece = self._splits()
+        self.known = Pieces()
+
+    def _splits(self) -> bool:
+        """Whether the file's first split is the one that `split` makes."""
+        kind = str(self.tokenizer.pre_tokenizer)
+        return (
+            kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
+            and self.tokenizer.normalizer is None and len(self.newline) == 1
+        )
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.uint32) for x in found]
+
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of single pieces; many at once, one to a line, since a line's end is always a token of its own."""
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if "\n" not in p and "\r" not in p]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * 4
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends.tolist(), strict=True):
-                self.known[piece] = raw[start:end]
-                start = end + 4
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [not self.by_piece or bool(_OTHER.search(t)) or any(a in t for a in self.added) for t in texts]
-        split = [None if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHED_PIECES:
-            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT_PIECE}
-            if len(self.known) > CACHED_PIECES // 2:
-                self.known = {}
-        known = self.known
-        self._learn(list(set().union(*filter(None, split)).difference(known)))
-        found = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
-        return [
-            array.array("I", next(found).ids).tobytes() if w else b"".join(map(known.__getitem__, pieces))
-            for pieces, w in zip(split, whole, strict=True)
-        ]
-
-
-def groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of some documents at a time, about `limit` characters together."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size > limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+            ids = self._whole(["\n".join(pieces[i] for i in some)])[0]
+            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)).tolist()
+            for i, start, end in zip(some, [0, *(e + 1 for e in ends)], ends, strict=False):
+                out[i] = ids[start:end]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: Texts) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        data, offsets = texts
+        n = len(offsets) - 1
+        raw = data.tobytes()
+        whole = unsplittable(texts) if self.by_piece else np.ones(n, dtype=bool)
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(content, at + 1)
+        starts = split(texts)
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, offsets)
+        hashes = span_hash(prefix_hash(data, _VALUES), starts, ends)
+        marks = ((ends - starts) << 16) | (data[starts].astype(np.int64) << 8) | data[ends - 1]
+        easy = np.repeat(~whole, np.diff(first))
+        keys, at, of = np.unique(hashes[easy], return_index=True, return_inverse=True)
+        at = np.flatnonzero(easy)[at]
+        level, place, sizes = self.known.find(keys, marks[at])
+        # Another piece with an equal hash: the texts that hold one of them are encoded whole.
+        clash = (level == -2)[of] | (marks[easy] != marks[at][of])
+        if clash.any():
+            whole[np.searchsorted(first, np.flatnonzero(easy)[clash], side="right") - 1] = True
+        missing = np.flatnonzero(level == -1)
+        found = self._pieces([raw[a:b].decode() for a, b in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)])
+        sizes[missing] = [len(x) for x in found]
+        pools = [x["pool"] for x in self.known.levels]
+        base = np.zeros(len(keys), dtype=np.int64)
+        for number, (x, past) in enumerate(zip(self.known.levels, (0, len(pools[0])), strict=True)):
+            mine = level == number
+            base[mine] = x["starts"][place[mine]] + past
+        base[missing] = sum(map(len, pools)) + np.cumsum(sizes[missing]) - sizes[missing]
+        per_piece = sizes[of]
+        ids = gathered(np.concatenate([*pools, *found]), base[of], per_piece)
+        if len(missing):
+            self.known.add(keys[missing], marks[at[missing]], found)
+        counts = np.zeros(len(starts), dtype=np.int64)
+        counts[easy] = per_piece
+        cuts = np.concatenate([[0], np.cumsum(counts)])[first]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        hard = np.flatnonzero(whole)
+        for i, x in zip(hard.tolist(), self._whole([raw[offsets[i] : offsets[i + 1]].decode() for i in hard]), strict=True):
+            out[i] = x
+        return out
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -145,8 +285,8 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def serialized(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if width == 2 else ids
+def serialized(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
 class Shard:
@@ -235,9 +375,10 @@ def write(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Out
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for _, texts in groups(batches):
-            some = [serialized(ids, width) for ids in encoder.encode(texts)]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(some, pa.binary())})
+        for batch in batches:
+            for _, texts in pieces(batch, "text", GROUP_BYTES):
+                some = [serialized(ids, width) for ids in encoder.encode(texts)]
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(some, pa.binary())})
 
     # A share of the hashes that holds somewhat more than is wanted, so that little is sorted.
     share = min(1.0, 4.0 * SAMPLE_ROWS / max(rows.count(), 1))
@@ -249,7 +390,7 @@ def write(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Out
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
-        end = array.array("I", [END_ID]).tobytes()
+        end = np.array([END_ID], dtype=np.uint32)
         part, number, shard = TaskContext.get().partitionId(), 0, None
 
         def finished() -> pa.RecordBatch:
@@ -261,10 +402,10 @@ def write(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Out
                 }
             )
 
-        for ids, texts in groups(batches):
-            for doc_id, found in zip(ids, encoder.encode(texts), strict=True):
+        for rows, texts in (x for batch in batches for x in pieces(batch, "text", GROUP_BYTES)):
+            for doc_id, found in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 shard = shard or Shard(place, dictionary, width)
-                shard.add(doc_id, len(found) // 4 + 1, pack.compress(serialized(found + end, width)))
+                shard.add(doc_id, len(found) + 1, pack.compress(serialized(np.concatenate([found, end]), width)))
                 if shard.size >= SHARD_BYTES:
                     yield finished()
                     number, shard = number + 1, None

@@ -4,12 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from plumbline.llm import token_output as T
+from plumbline.llm.text_arrays import texts_of
 from tests.llm.conftest import ODD_TEXTS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,13 +31,15 @@ def _plain(tokenizer, text):
 
 
 def test_encoder_gives_the_library_s_ids(tokenizer, monkeypatch):
-    monkeypatch.setattr(T, "CACHED_PIECES", 50)
+    monkeypatch.setattr(T, "CACHED_PIECES", 200)
+    monkeypatch.setattr(T, "FILED_PIECES", 20)
     encoder = T.Encoder(PATH)
     assert encoder.by_piece
     rng = random.Random(3)
     for _ in range(60):
         texts = ["".join(rng.choice([*ODD_PIECES, "word", " word", "Zwei"]) for _ in range(rng.randint(0, 25))) for _ in range(20)]
-        assert encoder.encode(texts) == [_plain(tokenizer, t) for t in texts]
+        found = encoder.encode(texts_of(pa.array(texts, pa.string())))
+        assert [x.tobytes() for x in found] == [_plain(tokenizer, t) for t in texts]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
