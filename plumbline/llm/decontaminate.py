@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import BROADCAST_BYTES, broadcast_if_small, written
+from plumbline.llm.store import BROADCAST_BYTES, broadcast_if_small, temporary, written
 from plumbline.llm.text_arrays import ALNUM, ngram_hashes, pieces, word_hashes, words
 
 WINDOW = 13
@@ -213,7 +213,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, size:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with all their columns."""
-    bad = written(contamination(docs, items).where("contaminated").select("doc_id", "digest").distinct(), "contaminated-ids")
+    with temporary(docs.sparkSession):
+        found = contamination(docs, items).where("contaminated").select("doc_id", "digest").distinct()
+        bad = written(found, "contaminated-ids", keep=True)
     rejected = broadcast_if_small(bad, 64)
     same = docs["doc_id"].eqNullSafe(rejected["doc_id"]) & (F.xxhash64(docs["text"]) == rejected["digest"])
     return docs.join(rejected, same, "left_anti")

@@ -206,6 +206,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     settled by the hash of the text. See `taken` for the other cases.
     """
     plan = planned(docs)
+    dropped(plan.slim)
     whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row_")
     rows = queued(_sized(docs, F.xxhash64("text").alias("text_hash_"), whole), plan.sources)
     copies = rows.select("row_", taken_times(plan.cut).alias("times")).where("times > 0")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import runs_of
 from plumbline.llm.components import components
-from plumbline.llm.store import broadcast_if_small, dropped, written
+from plumbline.llm.store import broadcast_if_small, dropped, temporary, written
 from plumbline.llm.text_arrays import SPACED, mix, pieces, shingles, word_hashes, words
 
 ROWS = 4
@@ -275,8 +275,10 @@ def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
     Of several rows with one id, which count as one document, the first by the hash of
     its text stays. Rows with a NULL id stay.
     """
-    found = near_duplicates(docs, rule)
-    gone = broadcast_if_small(written(found.where("NOT kept").select("doc_id").distinct(), "near-duplicates"), 16)
+    with temporary(docs.sparkSession):
+        found = near_duplicates(docs, rule).where("NOT kept").select("doc_id").distinct()
+        gone = written(found, "near-duplicates", keep=True)
+    gone = broadcast_if_small(gone, 16)
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     many = written(many, "repeated-ids")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, TEXT_ROWS)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside, but for those to be kept, when the block ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
     What is read has no lineage behind it, so a lost executor costs only the
@@ -33,6 +55,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,8 +72,7 @@ def dropped(df: DataFrame) -> None:
     """Delete the files behind a table made by `written` once nothing reads it any more."""
     spark = df.sparkSession
     for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, parent)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
