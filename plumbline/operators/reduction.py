@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.ordering import from_sort_number, sort_number
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size
@@ -14,6 +15,12 @@ METHODS = ("sample", "limit")
 # Fixed value: what a NULL key is hashed as.
 NULL_KEY = "NULL"
 
+# A leading string is cut at a value that ranks a sample of this many rows; its rank is
+# off by less than the margin.
+SAMPLED_ROWS = 20_000
+SAMPLE_MARGIN = 0.02
+EDGE_CHARS = 64
+
 # Up to this many candidate rows a plain top-k is cheap enough in one task.
 NARROW_ABOVE_ROWS = 50_000_000
 
@@ -51,15 +58,12 @@ def ordered_head(
     shared by many rows at the cut is resolved on the remaining columns.
     """
     lead = order_by[0]
-    dtype = df.schema[lead].dataType
-    number = sort_number(F.col(lead), dtype)
-    candidates, rows = df, df.count() if number is not None else 0
+    known = _has_edges(df.schema[lead].dataType)
+    candidates, rows = df, df.count() if known else 0
     while rows > max(narrow_above, 2 * k):
-        share = k / rows + SAFE_MARGIN
-        cut = quantile_sketches(candidates, [number]).select(quantile_of("s0", [share])).first()[0]
-        if cut is None:
+        edge = _edge(candidates, lead, k, rows)
+        if edge is None:
             break
-        edge = from_sort_number(cut[0], dtype)
         before = F.col(lead).isNull() | (F.col(lead) < edge)
         at_edge = F.col(lead) == edge
         n_before, n_at = candidates.agg(F.count_if(before), F.count_if(at_edge)).first()
@@ -73,6 +77,39 @@ def ordered_head(
     return candidates.orderBy(*order_by).limit(k)
 
 
+def _has_edges(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.StringType) or sort_number(F.lit(None).cast(dtype), dtype) is not None
+
+
+def _edge(candidates: DataFrame, lead: str, k: int, rows: int) -> Column | None:
+    """A value of the leading column that somewhat more than `k` of the rows lie before."""
+    dtype = candidates.schema[lead].dataType
+    if not isinstance(dtype, T.StringType):
+        number = sort_number(F.col(lead), dtype)
+        share = k / rows + SAFE_MARGIN
+        cut = quantile_sketches(candidates, [number]).select(quantile_of("s0", [share])).first()[0]
+        return None if cut is None else from_sort_number(cut[0], dtype)
+    # The beginning of a string is as good a place to cut and bounds what is collected.
+    few = candidates.sample(min(1.0, SAMPLED_ROWS / rows), seed=rows % 1000).select(F.substring(lead, 1, EDGE_CHARS))
+    found = sorted((r[0] for r in few.collect() if r[0] is not None), key=str.encode)
+    at = int((k / rows + SAMPLE_MARGIN) * len(found)) + 1
+    return F.lit(found[at]) if at < len(found) else None
+
+
+def unordered_head(df: DataFrame, k: int, rows: int, narrow_above: int = NARROW_ABOVE_ROWS) -> DataFrame:
+    """Some `k` of the rows. Of many, a sample somewhat larger goes to the one task that counts them off.
+
+    A plain limit has every input partition send up to `k` rows there.
+    """
+    share = 1.2 * k / max(rows, 1) + 1e-4
+    while rows > narrow_above and share < 0.5:
+        some = df.sample(share, seed=1)
+        if some.count() >= k:
+            return some.limit(k)
+        share *= 2
+    return df.limit(k)
+
+
 def reduce_to_budget(
     df: DataFrame,
     method: str = "sample",
@@ -100,5 +137,6 @@ def reduce_to_budget(
     if method == "sample":
         fraction = sample_fraction(size, threshold_bytes)
         return df.sample(fraction, seed=seed) if key is None else keyed_sample(df, key, fraction)
-    k = row_limit(df.count() if rows is None else rows, size, threshold_bytes)
-    return df.limit(k) if order_by is None else ordered_head(df, k, order_by)
+    rows = df.count() if rows is None else rows
+    k = row_limit(rows, size, threshold_bytes)
+    return unordered_head(df, k, rows) if order_by is None else ordered_head(df, k, order_by)

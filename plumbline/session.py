@@ -51,8 +51,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by `spark.checkpoint.dir`, which every executor can reach."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The checkpoint folder of the session, which every executor can reach.
+
+    It is named by `spark.checkpoint.dir`, or was given to the context.
+    """
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from plumbline import dataset_size, estimate_size, is_oversized, measure, reduce_to_budget
 from plumbline.functions.rowbytes import row_width
-from plumbline.operators.reduction import keyed_sample, ordered_head, row_limit, sample_fraction
+from plumbline.operators.reduction import (
+    keyed_sample,
+    ordered_head,
+    row_limit,
+    sample_fraction,
+    unordered_head,
+)
 from plumbline.session import ARROW
 from tests.conftest import plan_of
 
@@ -175,6 +181,26 @@ def test_ordered_head_of_nulls_only(spark):
     assert ordered_head(df, 20, ["a", "id"], narrow_above=10).agg(F.max("id")).first()[0] == 19
 
 
+def test_unordered_head_of_many_rows_comes_from_a_sample(spark):
+    df = spark.range(0, 50_000, 1, 10)
+    for k in (1, 500, 20_000):
+        got = unordered_head(df, k, 50_000, narrow_above=100)
+        assert got.count() == k == got.distinct().count()
+    assert unordered_head(df, 7, 50_000).count() == 7
+
+
+def test_a_leading_string_is_cut_before_the_final_sort(spark):
+    df = spark.range(0, 20_000, 1, 8).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("s"), "id")
+    got = ordered_head(df, 40, ["s", "id"], narrow_above=1000)
+    assert "s#" in plan_of(got) and " < 00" in plan_of(got)
+    assert sorted(r.id for r in got.collect()) == list(range(40))
+    few = df.select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("s")).alias("s"), "id")
+    want = sorted(few.collect(), key=lambda r: (r.s, r.id))
+    for k in (50, 14_000):
+        got = ordered_head(few, k, ["s", "id"], narrow_above=1000).collect()
+        assert sorted(got) == sorted(want[:k])
+
+
 def test_null_keys_are_sampled_like_other_keys(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id")
     kept = [keyed_sample(df, "k", share).agg(F.count_if(F.col("k").isNull())).first()[0] for share in (0.05, 0.99)]
