@@ -21,6 +21,8 @@ from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sket
 
 # Values of one bracket are ranked by one task, so brackets are narrowed to this.
 RANKED_ROWS = 4_000_000
+# Parts that a bracket which can't be narrowed is ranked in, at most.
+MOST_PARTS = 1_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,8 @@ def exact_quantiles(
     wanted rank starts with its whole column as bracket. While a bracket holds too
     many rows, a sketch narrows it and exact counts confirm it still holds the
     rank. Only rows inside a final bracket are grouped by value, shuffled and
-    ranked, so a value repeated very often stays one row.
+    ranked, so a value repeated very often stays one row. A bracket that stays full,
+    because one value holds most of its rows, is ranked in parts.
     """
     spark = df.sparkSession
     names = columns or numeric_columns(df)
@@ -141,8 +144,10 @@ def exact_quantiles(
         .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("last", F.sum("n").over(upto))
+    full = sorted({b.interval for b in done if b.n_inside > ranked_rows})
+    parts = {b.interval: -(-b.n_inside // ranked_rows) for b in done}
+    cuts = _cuts(df, full, {i: min(n, MOST_PARTS) for i, n in parts.items()})
+    ranked = _ranked(counts, {number[interval]: found for interval, found in cuts.items()})
     # Two rows per column and point, so this side stays small at any scale.
     wanted = spark.createDataFrame(
         [
@@ -163,6 +168,39 @@ def exact_quantiles(
     return placed.groupBy("column", "quantile").agg(weighted.alias("value"))
 
 
+def _cuts(df: DataFrame, intervals: list, parts: dict) -> dict[tuple, list[float]]:
+    """Values that cut brackets which stayed full into parts, from sketches: any cuts are right."""
+    if not intervals:
+        return {}
+    sketches = quantile_sketches(df, [_within(df, interval) for interval in intervals])
+    points = [[k / parts[i] for k in range(1, parts[i])] or [0.5] for i in intervals]
+    found = sketches.select(*[quantile_of(f"s{i}", p).alias(f"q{i}") for i, p in enumerate(points)]).first()
+    return {i: sorted(set(values or [])) for i, values in zip(intervals, found, strict=True)}
+
+
+def _ranked(counts: DataFrame, cuts: dict[int, list[float]]) -> DataFrame:
+    """Values with the rank of their last row in the bracket.
+
+    A bracket is ranked by one task, or part by part where it has cuts: totals of the
+    parts, few rows, tell where each begins. A value held by most rows is one row.
+    """
+    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    if not cuts:
+        return counts.withColumn("last", F.sum("n").over(upto.partitionBy("bracket")))
+    part = F.lit(0)
+    for bracket, values in cuts.items():
+        listed = F.array(*[F.lit(v) for v in values]).cast("array<double>")
+        below = F.size(F.filter(listed, lambda cut: cut <= F.col("value")))
+        part = F.when(F.col("bracket") == bracket, below).otherwise(part)
+    placed = counts.withColumn("part", part)
+    totals = placed.groupBy("bracket", "part").agg(F.sum("n").alias("of_part"))
+    before = Window.partitionBy("bracket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("bracket", "part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("past"))
+    within = F.sum("n").over(upto.partitionBy("bracket", "part"))
+    both = placed.withColumn("within", within).join(F.broadcast(starts), ["bracket", "part"])
+    return both.select("bracket", "value", "n", (F.col("within") + F.col("past")).alias("last"))
+
+
 def _neighbours(rank: float) -> list[tuple[int, float]]:
     """The two positions around a rank with their shares in the interpolated value."""
     below = math.floor(rank)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.binning import equal_width_bucket
+from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
     aggregate_values,
     chunked,
@@ -28,6 +29,7 @@ class Range(NamedTuple):
 
 
 HISTOGRAM_SCHEMA = "column string, bucket bigint, lower double, upper double, n bigint"
+VALUE_PAIR_SCHEMA = "column_a string, column_b string, value_a string, value_b string, n bigint"
 PAIR_SCHEMA = "column_a string, column_b string, bucket_a bigint, bucket_b bigint, n bigint"
 
 
@@ -136,3 +138,44 @@ def _count_pairs(buckets: DataFrame, names: list[str], pairs: list[tuple[int, in
         "bucket_b",
         "n",
     )
+
+
+def value_pairs(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """Rows per pair of values for every pair of the given columns, of any flat type.
+
+    The values of a text or boolean column are its buckets, as they are; numbers fall
+    into equal-width buckets, named by their number. Nothing is left out, so give columns
+    of few values: the result has as many rows as pairs of values occur. A row counts for
+    a pair when both values are present.
+    """
+    names = sorted(columns)
+    numeric = [name for name in names if name in numeric_columns(df)]
+    ranges = value_ranges(df, numeric)
+    shown = []
+    for i, name in enumerate(names):
+        if name not in ranges:
+            value = quoted(name)
+        elif ranges[name].low is None:
+            value = F.lit(None)
+        else:
+            value = equal_width_bucket(finite_number(df, name), *ranges[name], bins)
+        shown.append(value.cast("string").alias(f"v{i}"))
+    pairs = list(combinations(range(len(names)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], VALUE_PAIR_SCHEMA)
+    cells = [
+        F.struct(
+            F.lit(names[a]).alias("column_a"),
+            F.lit(names[b]).alias("column_b"),
+            F.col(f"v{a}").alias("value_a"),
+            F.col(f"v{b}").alias("value_b"),
+        )
+        for a, b in pairs
+    ]
+    keys = ["column_a", "column_b", "value_a", "value_b"]
+    return (
+        spread(df.select(*shown), cells)
+        .where(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )

@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
     FLOATING,
+    boolean_columns,
     facts_frame,
     finite_number,
     numeric_columns,
     present,
     present_number,
     temporal_columns,
+    text_columns,
 )
 from plumbline.operators.profiling.wide import matrix_correlations
 from plumbline.operators.sketches import quantile_of, quantile_sketches
@@ -37,6 +39,11 @@ NUMERIC_SCHEMA = (
 QUANTILE_SCHEMA = "column string, quantile double, value double"
 DISTINCT_SCHEMA = "column string, n_distinct bigint"
 CORRELATION_SCHEMA = "column_a string, column_b string, correlation double"
+TEXT_SCHEMA = (
+    "column string, n bigint, n_empty bigint, min_length bigint, mean_length double, "
+    "max_length bigint"
+)
+BOOLEAN_SCHEMA = "column string, n_true bigint, n_false bigint, n_missing bigint"
 TEMPORAL_SCHEMA = (
     "column string, n bigint, min_ts timestamp_ntz, max_ts timestamp_ntz, span_seconds bigint"
 )
@@ -110,6 +117,40 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     return facts_frame(df, facts, NUMERIC_SCHEMA, STATISTICS_PER_PASS)
 
 
+def text_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Values, empty ones and lengths in characters of text columns."""
+    facts = []
+    for name in columns or text_columns(df):
+        value, length = quoted(name), F.length(quoted(name))
+        facts.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(value).alias("n"),
+                F.count_if(length == 0).alias("n_empty"),
+                F.min(length).cast("bigint").alias("min_length"),
+                F.avg(length).alias("mean_length"),
+                F.max(length).cast("bigint").alias("max_length"),
+            )
+        )
+    return facts_frame(df, facts, TEXT_SCHEMA, COLUMNS_PER_PASS)
+
+
+def boolean_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """How often boolean columns are true, false and missing."""
+    facts = []
+    for name in columns or boolean_columns(df):
+        value = quoted(name)
+        facts.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count_if(value).alias("n_true"),
+                F.count_if(~value).alias("n_false"),
+                F.count_if(value.isNull()).alias("n_missing"),
+            )
+        )
+    return facts_frame(df, facts, BOOLEAN_SCHEMA, COLUMNS_PER_PASS)
+
+
 def temporal_facts(df: DataFrame, columns: list[str]) -> list[Column]:
     facts = []
     for name in columns:

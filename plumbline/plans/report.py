@@ -9,10 +9,12 @@ from plumbline.operators.profiling.quantiles import exact_quantiles
 from plumbline.operators.profiling.shapes import histogram, pair_bins, value_ranges
 from plumbline.operators.profiling.summary import (
     approx_quantiles,
+    boolean_statistics,
     correlations,
     missing_values,
     numeric_statistics,
     temporal_ranges,
+    text_statistics,
 )
 from plumbline.operators.profiling.values import distinct_counts, overview, top_values
 
@@ -33,6 +35,8 @@ def profile(
         "missing": missing_values(df),
         "numeric": numeric_statistics(df),
         "datetime": temporal_ranges(df),
+        "text": text_statistics(df),
+        "boolean": boolean_statistics(df),
         "quantiles": exact_quantiles(df) if exact else approx_quantiles(df),
         "distinct": distinct_counts(df, exact=exact),
         "top_values": top_values(df, top_k),

@@ -377,6 +377,43 @@ SELECT 'large_key' AS "column", count(large_key) AS n, {exact_sql('large_key', T
 UNION ALL SELECT 'price', count(price), {exact_sql('price', True)} FROM m
 """
 
+FLAGGED_CTE = (
+    f"WITH m AS MATERIALIZED (SELECT *, CASE WHEN l_discount > 0.02 THEN l_quantity > 25 END AS large "
+    f"FROM ({MEASURES_WITH_GAPS}))"
+)
+
+TEXT = "WITH d AS (SELECT *, nullif(lang, 'en') AS gap FROM documents) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) FILTER ({c} = '') AS n_empty, "
+    f"CAST(min(length({c})) AS BIGINT) AS min_length, round(avg(length({c})), 6) AS mean_length, "
+    f"CAST(max(length({c})) AS BIGINT) AS max_length FROM d"
+    for c in ("text", "lang", "source", "gap")
+)
+
+BOOLEAN = (
+    FLAGGED_CTE + " SELECT 'large' AS \"column\", count(*) FILTER (large) AS n_true, "
+    "count(*) FILTER (NOT large) AS n_false, count(*) FILTER (large IS NULL) AS n_missing FROM m"
+)
+
+SHOWN = {
+    "l_returnflag": "l_returnflag",
+    "l_linestatus": "l_linestatus",
+    "large": "CAST(large AS VARCHAR)",
+    "l_quantity": f"CAST({bucket_sql('l_quantity')} AS VARCHAR)",
+    "l_tax": f"CAST({bucket_sql('l_tax')} AS VARCHAR)",
+}
+
+PAIR_BINS_MIXED = (
+    FLAGGED_CTE
+    + ", v AS MATERIALIZED (SELECT "
+    + ", ".join(f"{shown} AS {c}" for c, shown in SHOWN.items())
+    + " FROM m) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {a} AS value_a, {b} AS value_b, count(*) AS n "
+        f"FROM v WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
+        for a, b in combinations(sorted(SHOWN), 2)
+    )
+)
+
 SKETCHED_QUANTILES = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS quantile, true AS near"
     for c in MEASURES
@@ -422,6 +459,9 @@ ORACLE_SQL: dict[str, str] = {
     "profile_quantiles_approx": SKETCHED_QUANTILES,
     "profile_distinct_approx": f'SELECT "column", n_distinct, true AS near FROM ({DISTINCT})',
     "profile_exact_types": EXACT_TYPES,
+    "profile_text": TEXT,
+    "profile_boolean": BOOLEAN,
+    "pair_bins_mixed": PAIR_BINS_MIXED,
     "row_count": "SELECT count(*) AS n_rows FROM events",
     "size_exact": SIZE_EXACT,
     "is_oversized": OVERSIZED,

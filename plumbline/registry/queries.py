@@ -528,6 +528,26 @@ def profile_distinct_approx(spark: SparkSession, folder: str) -> DataFrame:
     return exact.join(sketched, "column").select("column", "n_distinct", near.alias("near"))
 
 
+def profile_text(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn("gap", F.nullif("lang", F.lit("en")))
+    return _rounded(summary.text_statistics(documents), mean_length=6)
+
+
+def profile_boolean(spark: SparkSession, folder: str) -> DataFrame:
+    return summary.boolean_statistics(_flagged(spark, folder))
+
+
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    late = F.when(F.col("l_discount") > 0.02, F.col("l_quantity") > 25)
+    return _measures_with_gaps(spark, folder).withColumn("large", late)
+
+
+def pair_bins_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Two texts, a boolean and two numbers against each other."""
+    columns = ["l_returnflag", "l_linestatus", "large", "l_quantity", "l_tax"]
+    return shapes.value_pairs(_flagged(spark, folder), columns, bins=10)
+
+
 def profile_exact_types(spark: SparkSession, folder: str) -> DataFrame:
     """Range and sum of keys beyond what a double holds, and of a decimal."""
     large = table(spark, folder, "orders").select(
@@ -665,5 +685,8 @@ QUERIES: dict[str, Query] = {
     "profile_correlation": profile_correlation,
     "profile_datetime": profile_datetime,
     "pair_bins": pair_bins,
+    "pair_bins_mixed": pair_bins_mixed,
+    "profile_text": profile_text,
+    "profile_boolean": profile_boolean,
     "profile_report": profile_report,
 }

@@ -269,7 +269,7 @@ def test_profile_sections(odd):
     got = profile(odd, bins=4, top_k=2)
     assert sorted(got) == sorted(
         ["overview", "missing", "numeric", "datetime", "distinct", "quantiles", "correlations",
-         "top_values", "histogram", "pair_bins"]
+         "top_values", "histogram", "pair_bins", "text", "boolean"]
     )
     for section, alone in {
         "missing": summary.missing_values(odd),
@@ -344,3 +344,36 @@ def test_distinct_counts_have_a_row_for_every_column(spark):
     df = spark.createDataFrame([(1, None), (1, None)], "a int, b string")
     for exact in (True, False):
         assert {tuple(r) for r in values.distinct_counts(df, exact=exact).collect()} == {("a", 1), ("b", 0)}
+
+
+@pytest.mark.parametrize("wanted", [0.3, 0.5999, 0.6001, 0.9])
+def test_exact_quantiles_beside_a_value_that_holds_most_rows(spark, wanted):
+    """What is left beside the zeros is ranked in parts, no more than a few thousand rows each."""
+    df = spark.range(0, 60_000, 1, 6).select(
+        F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id") / 7 + 1).alias("x")
+    )
+    got = quantiles.exact_quantiles(df, points=(wanted,), ranked_rows=2_000)
+    assert got.first().value == pytest.approx(np.quantile([r.x for r in df.collect()], wanted), rel=1e-12)
+
+
+def test_a_full_bracket_is_ranked_in_parts(spark):
+    counts = spark.range(100).select(F.lit(0).alias("bracket"), F.col("id").cast("double").alias("value"), F.lit(2).alias("n"))
+    whole = {r.value: r["last"] for r in quantiles._ranked(counts, {}).collect()}
+    cut = quantiles._ranked(counts, {0: [10.0, 10.5, 70.0]})
+    assert {r.value: r["last"] for r in cut.collect()} == whole
+
+
+def test_text_and_boolean_columns(spark):
+    df = spark.createDataFrame([("a", True), ("", None), (None, False), ("éé🙂", None)], "t string, b boolean")
+    assert tuple(summary.text_statistics(df).first()) == ("t", 3, 1, 0, pytest.approx(4 / 3), 3)
+    assert tuple(summary.boolean_statistics(df).first()) == ("b", 1, 1, 2)
+    assert summary.text_statistics(df.where("false")).first().n == 0
+    assert summary.boolean_statistics(df.select("t")).count() == 0
+
+
+def test_pairs_of_values_keep_every_value(spark):
+    df = spark.createDataFrame([("a", True, 1), ("b", None, 2), (None, False, 3), ("a", True, 9)], "t string, b boolean, n int")
+    got = {tuple(r) for r in shapes.value_pairs(df, ["t", "b", "n"], bins=2).collect()}
+    assert got == {("b", "n", "true", "1", 1), ("b", "n", "true", "2", 1), ("b", "n", "false", "1", 1),
+                   ("b", "t", "true", "a", 2), ("n", "t", "1", "a", 1), ("n", "t", "2", "a", 1), ("n", "t", "1", "b", 1)}
+    assert shapes.value_pairs(df, ["t"]).count() == 0
