@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-import pyspark.pandas as ps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -31,6 +30,8 @@ def _collect_within(df: DataFrame, method: str, threshold_bytes: int) -> pd.Data
 
 def _on_spark(df: DataFrame, index_col: str | list[str] | None):
     """pandas on Spark; without an index column, numbers that need no pass over the rows."""
+    import pyspark.pandas as ps  # slow to load, and needed here alone
+
     with ps.option_context("compute.default_index_type", "distributed"):
         return df.pandas_api(index_col=index_col)
 
