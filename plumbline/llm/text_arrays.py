@@ -6,6 +6,7 @@ be found on the UTF-8 bytes: no Python string is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +35,24 @@ SPACED = _class_table([0x20, *range(0x09, 0x0E)])
 ALNUM = _class_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays alive between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class Texts(NamedTuple):
     """UTF-8 bytes of several texts, one after the other, and where each begins."""
 
@@ -72,6 +91,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         part = batch.slice(start, stop - start)
         yield part, texts_of(part.column(column))
         start = stop
+    give_back()
 
 
 def mix(values: np.ndarray) -> np.ndarray:

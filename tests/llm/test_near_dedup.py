@@ -6,7 +6,7 @@ import pytest
 
 from plumbline.llm import near_dedup as N
 from plumbline.llm.components import components
-from tests.llm.conftest import ODD_TEXTS, spaced_words
+from tests.llm.conftest import spaced_words
 
 
 def _roots(pairs, ids):
