@@ -290,7 +290,7 @@ def _significant(rows: DataFrame, terms_of, totals: tuple[int, int], z: float, b
     )
     ratio, error = odds("n_toxic", "n_rest", totals[1], totals[0])
     scored = counted.select("*", ratio.alias("weight"), error.alias("z"))
-    chosen = F.abs("z") >= z if both else (F.col("z") >= z) & (F.col("n_toxic") >= MIN_TOXIC_ROWS) & (F.col("n_toxic") >= F.col("n_rest"))
+    chosen = F.abs("z") >= z if both else (F.col("z") >= z) & (F.col("n_toxic") >= MIN_TOXIC_ROWS)
     return scored.where(chosen).orderBy(F.abs("z").desc(), "kind", "term").limit(MAX_TERMS).collect()
 
 

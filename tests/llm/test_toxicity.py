@@ -44,6 +44,13 @@ def test_quotation_is_told_from_abuse():
     assert finder.features("and one said idiot to me")[6] < plain[6]
 
 
+def test_terms_met_in_more_clean_rows_than_toxic_ones_are_kept_if_significant(spark):
+    rows = [("du bist ein lump", 1)] * 20 + [("er sagte lump zu ihm", 0)] * 21 + [("ein ganz anderer satz", 0)] * 400
+    model = T.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "lump" in model.lexicon.words and "satz" not in model.lexicon.words
+    assert T.Finder(model.lexicon).hits("so ein lump")[0]
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(2)
