@@ -32,8 +32,6 @@ FIT_ROWS = 30_000
 MAX_TERMS = 5_000
 MIN_TOXIC_ROWS = 4
 TERM_Z = 4.5
-# Misspellings are looked for only of terms that chance can't explain at all.
-MISSPELLED_Z = 8.0
 CONTEXT_Z = 3.5
 STEM_LENGTHS = range(4, 9)
 # Words on either side of a hit that make up its context.
@@ -46,25 +44,48 @@ PRIOR = (1.5, 1.5, 1.5, 0.3, 0.3, 0.3, 0.5, 0.2, 1.0)
 
 # Letters, also with signs or digits between them that stand for letters.
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9]+[^\W\d_]+)*")
-QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
+OPENING = re.compile('["“«„]')
+# What ends a quotation, or its line.
+CLOSING = {a: re.compile(f"[{b}\n]") for a, b in (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“”"))}
 
 
 def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans from an opening mark to the one that closes it on the same line, however long.
+
+    Time is proportional to the length: a mark that no other closes is looked for once a line.
+    """
+    spans, at = [], 0
+    unclosed = dict.fromkeys(CLOSING, 0)
+    for m in OPENING.finditer(text):
+        start = m.start()
+        if start < at or start < unclosed[m[0]]:
+            continue
+        end = CLOSING[m[0]].search(text, start + 1)
+        if end is None or end[0] == "\n":
+            unclosed[m[0]] = end.start() if end else len(text)
+        elif end.start() > start + 1:
+            spans.append((start, end.end()))
+            at = end.end()
+    return spans
+
+
 class Trie:
     """Terms as a trie of numbered nodes; a node ends a word, a stem, or neither."""
 
     def __init__(self, words: Iterable[str], stems: Iterable[str], misspelled: frozenset[str]) -> None:
-        self.edits = {w: edits_allowed(len(w)) if w in misspelled else 0 for w in words}
+        edits = {w: edits_allowed(len(w)) if w in misspelled else 0 for w in words}
+        self.edits, self.stem_edits = edits, {s: edits_allowed(len(s)) for s in stems}
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, str] = {}
         self.stem: dict[int, str] = {}
         self.allowed = [0]
-        for ends, terms in ((self.word, words), (self.stem, stems)):
+        for ends, terms in ((self.word, self.edits), (self.stem, self.stem_edits)):
             for term in terms:
-                node, allowed = 0, self.edits[term] if ends is self.word else 0
+                node, allowed = 0, terms[term]
                 self.allowed[0] = max(self.allowed[0], allowed)
                 for char in term:
                     if char not in self.children[node]:
@@ -87,6 +108,8 @@ class Automaton:
         self.sets: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
+        # The nearest stem that ends in each set, if any does.
+        self.near_stem: list[tuple[int, str] | None] = []
         self.start = self._number(self._closed({(0, 0, "")}))
 
     def _closed(self, states: set) -> frozenset:
@@ -109,6 +132,13 @@ class Automaton:
             self.numbers[states] = len(self.sets)
             self.sets.append(states)
             self.moves.append({})
+            ends = self.trie.stem
+            found = [
+                (edits, ends[node])
+                for node, edits, awaited in states
+                if not awaited and node in ends and edits <= self.trie.stem_edits[ends[node]]
+            ]
+            self.near_stem.append(min(found) if found else None)
         return self.numbers[states]
 
     def _move(self, number: int, char: str) -> int:
@@ -128,12 +158,15 @@ class Automaton:
                         out.add((children[child][char], edits + 1, label))
         return self._number(self._closed(out))
 
+    def _step(self, state: int, char: str) -> int:
+        moves = self.moves[state]
+        return moves[char] if char in moves else moves.setdefault(char, self._move(state, char))
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest word term within its edits, ties by the term itself."""
         state = self.start
         for char in word:
-            moves = self.moves[state]
-            state = moves[char] if char in moves else moves.setdefault(char, self._move(state, char))
+            state = self._step(state, char)
             if state < 0:
                 return None
         ends = self.trie.word
@@ -144,6 +177,17 @@ class Automaton:
         ]
         return min(found)[::-1] if found else None
 
+    def misspelled_stem(self, word: str) -> tuple[str, int] | None:
+        """The nearest stem within its edits of a beginning of the word, ties by the stem itself."""
+        state, best = self.start, None
+        for char in word:
+            state = self._step(state, char)
+            if state < 0:
+                break
+            near = self.near_stem[state]
+            best = near if best is None else best if near is None else min(best, near)
+        return best[::-1] if best else None
+
     def stem(self, word: str) -> str | None:
         """The longest stem that the word begins with."""
         node, found = 0, None
@@ -180,7 +224,7 @@ class Finder:
         self.known: dict[str, tuple[int, float] | None] = {}
 
     def look_up(self, word: str) -> tuple[int, float] | None:
-        """(0 exact, 1 stem or 2 misspelled; weight) of a word, or None."""
+        """(0 exact, 1 stem or 2 misspelled, of words and stems; weight) of a word, or None."""
         found = self.automaton.match(word) if self.lexicon.words else None
         if found and found[1] == 0:
             out = (0, self.lexicon.words[found[0]])
@@ -188,6 +232,8 @@ class Finder:
             out = (1, self.lexicon.stems[stem])
         elif found:
             out = (2, self.lexicon.words[found[0]] / (1 + found[1]))
+        elif near := self.automaton.misspelled_stem(word):
+            out = (2, self.lexicon.stems[near[0]] / (1 + near[1]))
         else:
             out = None
         if len(self.known) >= CACHED_WORDS:
@@ -203,7 +249,7 @@ class Finder:
         at = [i for i, w in enumerate(tokens) if (known[w] if w in known else look_up(w)) is not None]
         if not at:
             return [], len(tokens)
-        spans = [m.span() for m in QUOTED.finditer(lowered)]
+        spans = quotations(lowered)
         places = [m.start() for m in WORD.finditer(lowered)] if spans else []
         out = []
         for i in at:
@@ -298,7 +344,8 @@ def lexicon_of(rows: list) -> Lexicon:
     """Words and stems from significant terms.
 
     A stem stands for the words under it unless one word makes up most of it; the
-    shortest stem that will do is taken.
+    shortest stem that will do is taken. Words under it stay terms beside it, so that
+    their misspellings are found; all terms have the edits that their length allows.
     """
     words = {r.term: r for r in rows if r.kind == 0}
     stems = sorted((r for r in rows if r.kind == 1), key=lambda r: (len(r.term), r.term))
@@ -308,8 +355,7 @@ def lexicon_of(rows: list) -> Lexicon:
             continue
         if not any(w.startswith(r.term) and x.n_toxic >= 0.8 * r.n_toxic for w, x in words.items()):
             taken[r.term] = r.weight
-    alone = {w: r.weight for w, r in words.items() if not any(w[:n] in taken for n in range(1, len(w) + 1))}
-    return Lexicon(alone, taken, {}, frozenset(w for w in alone if words[w].z >= MISSPELLED_Z))
+    return Lexicon({w: r.weight for w, r in words.items()}, taken, {}, frozenset(words))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from plumbline.llm import toxicity as T
 from tests.llm.conftest import ODD_TEXTS, fold
@@ -51,6 +52,39 @@ def test_terms_met_in_more_clean_rows_than_toxic_ones_are_kept_if_significant(sp
     assert T.Finder(model.lexicon).hits("so ein lump")[0]
 
 
+def test_every_term_has_its_misspellings():
+    def row(kind, term, n_toxic, z):
+        return Row(kind=kind, term=term, n_toxic=n_toxic, n_rest=0, weight=3.0, z=z)
+
+    lexicon = T.lexicon_of([row(0, "idiot", 30, 9.0), row(0, "idiots", 30, 9.0), row(1, "idio", 60, 12.0), row(1, "bomen", 20, 7.0), row(0, "wretch", 6, 5.0)])
+    finder = T.Finder(lexicon)
+    assert finder.look_up("idoit") == (2, 1.5)  # a word under a stem
+    assert finder.look_up("idiotic") == (1, 3.0)
+    assert finder.look_up("wertch") == (2, 1.5)  # a rare term
+    assert finder.look_up("bmoentado") == (2, 1.5)  # a stem
+    assert finder.look_up("idol") is None and finder.look_up("women") == (2, 1.5)
+
+
+def test_near_stems_are_those_within_their_edits():
+    rng = random.Random(6)
+    stems = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(4, 9))) for _ in range(12)})
+    automaton = T.Automaton(T.Trie([], stems, frozenset()))
+    for _ in range(800):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+        near = [(min(_distance(word[:n], s) for n in range(1, len(word) + 1)), s) for s in stems]
+        near = [(d, s) for d, s in near if d <= T.edits_allowed(len(s))]
+        assert automaton.misspelled_stem(word) == (min(near)[::-1] if near else None), word
+
+
+def test_quotations_have_no_greatest_length():
+    finder = T.Finder(T.Lexicon({"idiot": 4.0}, {}, {}))
+    for a, b in ('""', "“”", "«»", "„“"):
+        assert finder.hits(f"{a}{'so ' * 300}an idiot{b} they wrote")[0][0].quoted
+        assert not finder.hits(f"{a}so\nan idiot{b} they wrote")[0][0].quoted
+    assert T.quotations('""x" “a "b" „c“ «') == [(1, 4), (8, 11), (12, 15)]
+    assert T.quotations("“" * 200_000) == []  # in linear time
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(2)
