@@ -31,12 +31,15 @@ HEX = re.compile(r"[0-9a-f]+")
 SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "guess")
 
-# Where a value is taken to be a credential.
+# What a value that is taken to be a credential comes after.
 CONTEXT = re.compile(
     r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|login"""
-    r"""|(?:api|access|private|secret|encryption)[ _-]?key)["']?\x20{0,4}(?:[:=]|\bis\b)\x20{0,4}["'`]?([^\s"'`<>,;]{6,})""",
+    r"""|(?:api|access|private|secret|encryption)[ _-]?key)["'`]?[ \t]*(?:[:=]|\bis\b)[ \t]*""",
     re.ASCII | re.IGNORECASE,
 )
+# A value in quotes, up to the mark that closes it on the same line, or one up to white space.
+VALUE = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`|["'`]?(\S+)""")
+TRAILING = ".,;:!?)]}>\"'`"
 # A text without any of these has neither an `assign` nor a credential context.
 MARKS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
 # Decimal logarithm of guesses from which a value is a secret.
@@ -150,12 +153,20 @@ def base_spans(text: str, assign: bool = True, hexadecimal: bool = True) -> list
 
 
 def guess_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Hard values in credential contexts that no span of `taken` overlaps."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".!?)]}:")
-        start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 6 and not any(a < end and start < b for a, _, b in taken) and _hard(value):
+    """Hard values in credential contexts that no single span of `taken` covers."""
+    out, at = [], 0
+    for context in CONTEXT.finditer(text):
+        if context.start() < at:
+            continue
+        # Of contexts in a row, the last one has the value.
+        m = None if CONTEXT.match(text, context.end()) else VALUE.match(text, context.end())
+        if m is None:
+            continue
+        at = m.end()
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 4:
+            end = start + len(m[4].rstrip(TRAILING))
+        if end - start >= 6 and not any(a <= start and end <= b for a, _, b in taken) and _hard(text[start:end]):
             out.append((start, 3, end))
     return out
 

@@ -47,6 +47,21 @@ def test_hard_values_in_context_are_added(documents):
     assert found[2] == found[3] == found[5] == "" and found[6].startswith("assign:0:")
 
 
+def test_whole_values_are_reported():
+    def guessed(text):
+        return [text[a:b] for a, _, b in S.guess_spans(text, S.base_spans(text))]
+
+    assert guessed("password: abcdef$%^&Zq9!x") == ["abcdef$%^&Zq9!x"]  # assign covers a part
+    assert guessed("password: hG7kQ2zz9x") == []  # assign covers it all
+    assert guessed("passphrase: 7f,Kq9$zz!Lw, then") == ["7f,Kq9$zz!Lw"]
+    assert guessed("pwd =\t      7f;Kq9<zz>Lw.") == ["7f;Kq9<zz>Lw"]
+    assert guessed('{"pwd": "7f, Kq9\'zz Lw!", "n": 1}') == ["7f, Kq9'zz Lw!"]
+    assert guessed("pwd: '7fKq9$zz!Lw") == ["7fKq9$zz!Lw"]  # nothing closes the quote
+    assert guessed("login: pwd: 7fKq9$zz!Lw") == ["7fKq9$zz!Lw"]
+    assert guessed("login: \n7fKq9$zz!Lw") == []
+    assert S.guess_spans("pwd=" * 50_000, []) == []  # in linear time
+
+
 def test_odd_rows_and_empty_table(odd, documents):
     found = S.scan(odd).collect()
     assert len(found) == len(ODD_TEXTS) + 3
