@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, language_id, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity
+from plumbline.llm import (
+    ann, decontaminate, language_id, lexical_search, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity,
+)
 from plumbline.llm.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -86,6 +88,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that score highest for the terms of every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -97,9 +104,11 @@ QUERIES: dict[str, Query] = {
     "op8_token_output": op8_token_output,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op5_mixing": mixing.SQL,
+    "op11_lexical_search": lexical_search.SQL,
 }
