@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    ann, decontaminate, language_id, lexical_search, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity,
+    ann, decontaminate, hard_negatives, language_id, lexical_search, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity,
 )
 from plumbline.llm.store import written
 
@@ -93,6 +93,11 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of another label that score next below the positives of every fiftieth vector."""
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -105,10 +110,12 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op5_mixing": mixing.SQL,
     "op11_lexical_search": lexical_search.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
