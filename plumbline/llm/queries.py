@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     ann, decontaminate, hard_negatives, language_id, lexical_search, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_output, toxicity,
+    warc,
 )
 from plumbline.llm.store import written
 
@@ -98,6 +99,12 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"))
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to legacy archives, converted to WARC files and read back."""
+    found = warc.read(warc.convert(warc.write_arc(table(spark, folder, "pages"))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -111,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op11_lexical_search": lexical_search.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_warc": warc.SQL,
 }
