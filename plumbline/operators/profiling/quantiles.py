@@ -3,211 +3,74 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from plumbline.operators.profiling.columns import (
-    aggregate_values,
-    numeric_columns,
-    present_number,
-    spread,
-)
+from decimal import Decimal
+from fractions import Fraction
+
+from pyspark.sql import DataFrame
+
+from plumbline.operators.profiling.columns import numeric_columns
+from plumbline.operators.profiling.radix import LISTED_VALUES, column_ranges, order_statistics
 from plumbline.operators.profiling.summary import QUANTILE_POINTS, QUANTILE_SCHEMA
-from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sketches
-
-# Values of one bracket are ranked by one task, so brackets are narrowed to this.
-RANKED_ROWS = 4_000_000
-# Parts that a bracket which can't be narrowed is ranked in, at most.
-MOST_PARTS = 1_000
-
-
-@dataclass(frozen=True)
-class Bracket:
-    """An interval [low, high] of a column known to hold the order statistics of `rank`."""
-
-    column: str
-    point: float
-    rank: float
-    low: float
-    high: float
-    n_below: int
-    n_inside: int
-
-    @property
-    def interval(self) -> tuple[str, float, float]:
-        return self.column, self.low, self.high
-
-    def holds(self, n_below: int, n_inside: int) -> bool:
-        return n_below <= math.floor(self.rank) and math.ceil(self.rank) < n_below + n_inside
-
-
-def _within(df: DataFrame, interval: tuple[str, float, float]) -> Column:
-    column, low, high = interval
-    value = present_number(df, column)
-    return F.when(value.between(low, high), value)
-
-
-def _in_any(df: DataFrame, intervals: list[tuple[str, float, float]]) -> Column:
-    """Rows with a value inside one of the intervals: few once these are narrow."""
-    held = [present_number(df, column).between(low, high) for column, low, high in intervals]
-    return reduce(or_, held)
-
-
-def _whole_columns(df: DataFrame, names: list[str], points: tuple[float, ...]) -> list[Bracket]:
-    facts = []
-    for name in names:
-        value = present_number(df, name)
-        facts += [F.count(value), F.min(value), F.max(value)]
-    row = aggregate_values(df, facts)
-    brackets = []
-    for i, name in enumerate(names):
-        n, low, high = row[3 * i : 3 * i + 3]
-        if n:
-            brackets += [Bracket(name, p, p * (n - 1), low, high, 0, n) for p in points]
-    return brackets
-
-
-def _narrowed(df: DataFrame, wide: list[Bracket]) -> list[Bracket]:
-    """One sketch pass inside the brackets, and one pass that counts the narrower ones."""
-    intervals = sorted({b.interval for b in wide})
-    sketches = quantile_sketches(df, [_within(df, interval) for interval in intervals])
-    shares = []
-    for b in wide:
-        at = (b.rank - b.n_below) / b.n_inside
-        shares.append((at - SAFE_MARGIN, at + SAFE_MARGIN))
-    found = sketches.select(
-        *[
-            quantile_of(f"s{intervals.index(b.interval)}", share).alias(f"q{i}")
-            for i, (b, share) in enumerate(zip(wide, shares, strict=True))
-        ]
-    ).first()
-    trial = []
-    for b, share, values in zip(wide, shares, found, strict=True):
-        low = values[0] if share[0] > 0 else b.low
-        high = values[1] if share[1] < 1 else b.high
-        trial.append(replace(b, low=low, high=high))
-    counts = []
-    for b in trial:
-        value = present_number(df, b.column)
-        counts += [F.count_if(value < b.low), F.count_if(value.between(b.low, b.high))]
-    row = aggregate_values(df, counts)
-    result = []
-    for i, (before, after) in enumerate(zip(wide, trial, strict=True)):
-        n_below, n_inside = row[2 * i], row[2 * i + 1]
-        sound = before.holds(n_below, n_inside)
-        after = replace(after, n_below=n_below, n_inside=n_inside)
-        result.append(after if sound else before)
-    return result
 
+TYPED_SCHEMA = "column string, quantile double, lower string, upper string, share_upper double, value double"
 
-def exact_quantiles(
+
+def _neighbours(point: float, n: int) -> tuple[int, int, float]:
+    """The two places around a quantile of `n` values, and the share of the upper one."""
+    rank = point * (n - 1)
+    below = math.floor(rank)
+    return below, math.ceil(rank), rank - below
+
+
+def _between(lower: object, upper: object, share: float) -> float:
+    """The interpolated value as a double, rounded once where the values aren't floats."""
+    if not share or lower == upper:
+        return float(lower)
+    if isinstance(lower, float):
+        return lower * (1.0 - share) + upper * share
+    return float(Fraction(lower) + (Fraction(upper) - Fraction(lower)) * Fraction(share))
+
+
+def _digits(value: object) -> str | None:
+    """All digits of a whole number or a decimal."""
+    if isinstance(value, float):
+        return None
+    return f"{value:f}" if isinstance(value, Decimal) else str(value)
+
+
+def typed_quantiles(
     df: DataFrame,
     columns: list[str] | None = None,
     points: tuple[float, ...] = QUANTILE_POINTS,
-    ranked_rows: int = RANKED_ROWS,
+    listed_values: int = LISTED_VALUES,
 ) -> DataFrame:
-    """Quantiles with linear interpolation between neighbouring values, exact at any size.
-
-    The built-in exact percentile gathers every value in one task. Here each
-    wanted rank starts with its whole column as bracket. While a bracket holds too
-    many rows, a sketch narrows it and exact counts confirm it still holds the
-    rank. Only rows inside a final bracket are grouped by value, shuffled and
-    ranked, so a value repeated very often stays one row. A bracket that stays full,
-    because one value holds most of its rows, is ranked in parts.
+    """Quantiles and the two values that each lies between, in the column's own type.
+
+    `lower` and `upper` hold all digits of whole numbers and decimals as text (NULL for
+    floats, which `value` holds), `share_upper` the weight of the upper one; `value` is the
+    linear interpolation, computed exactly and rounded to a double once. The values come
+    from radix selection, so neither digits nor rows are approximated at any size.
+    Columns without a value have no rows; NULL and NaN are left out.
     """
-    spark = df.sparkSession
     names = columns or numeric_columns(df)
-    brackets = _whole_columns(df, names, points) if names else []
-    if not brackets:
-        return spark.createDataFrame([], QUANTILE_SCHEMA)
-    wide = [b for b in brackets if b.n_inside > ranked_rows and b.low < b.high]
-    done = [b for b in brackets if b not in wide]
-    while wide:
-        narrow = _narrowed(df, wide)
-        steps = list(zip(wide, narrow, strict=True))
-        wide = [new for old, new in steps if _go_on(old, new, ranked_rows)]
-        done += [new for old, new in steps if not _go_on(old, new, ranked_rows)]
-
-    intervals = sorted({b.interval for b in done})
-    number = {interval: i for i, interval in enumerate(intervals)}
-    inside = [
-        F.struct(F.lit(i).alias("bracket"), _within(df, interval).alias("value"))
-        for interval, i in number.items()
-    ]
-    counts = (
-        spread(df.where(_in_any(df, intervals)), inside)
-        .where(F.col("value").isNotNull())
-        .groupBy("bracket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    full = sorted({b.interval for b in done if b.n_inside > ranked_rows})
-    parts = {b.interval: -(-b.n_inside // ranked_rows) for b in done}
-    cuts = _cuts(df, full, {i: min(n, MOST_PARTS) for i, n in parts.items()})
-    ranked = _ranked(counts, {number[interval]: found for interval, found in cuts.items()})
-    # Two rows per column and point, so this side stays small at any scale.
-    wanted = spark.createDataFrame(
-        [
-            (number[b.interval], b.column, float(b.point), at - b.n_below, share)
-            for b in done
-            for at, share in _neighbours(b.rank)
-        ],
-        "bracket int, column string, quantile double, at bigint, share double",
-    )
-    first = F.col("last") - F.col("n")
-    placed = ranked.join(
-        F.broadcast(wanted),
-        (ranked["bracket"] == wanted["bracket"])
-        & (first <= F.col("at"))
-        & (F.col("at") < F.col("last")),
-    )
-    weighted = F.sum(F.col("value") * F.col("share"))
-    return placed.groupBy("column", "quantile").agg(weighted.alias("value"))
-
-
-def _cuts(df: DataFrame, intervals: list, parts: dict) -> dict[tuple, list[float]]:
-    """Values that cut brackets which stayed full into parts, from sketches: any cuts are right."""
-    if not intervals:
-        return {}
-    sketches = quantile_sketches(df, [_within(df, interval) for interval in intervals])
-    points = [[k / parts[i] for k in range(1, parts[i])] or [0.5] for i in intervals]
-    found = sketches.select(*[quantile_of(f"s{i}", p).alias(f"q{i}") for i, p in enumerate(points)]).first()
-    return {i: sorted(set(values or [])) for i, values in zip(intervals, found, strict=True)}
-
-
-def _ranked(counts: DataFrame, cuts: dict[int, list[float]]) -> DataFrame:
-    """Values with the rank of their last row in the bracket.
-
-    A bracket is ranked by one task, or part by part where it has cuts: totals of the
-    parts, few rows, tell where each begins. A value held by most rows is one row.
-    """
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    if not cuts:
-        return counts.withColumn("last", F.sum("n").over(upto.partitionBy("bracket")))
-    part = F.lit(0)
-    for bracket, values in cuts.items():
-        listed = F.array(*[F.lit(v) for v in values]).cast("array<double>")
-        below = F.size(F.filter(listed, lambda cut: cut <= F.col("value")))
-        part = F.when(F.col("bracket") == bracket, below).otherwise(part)
-    placed = counts.withColumn("part", part)
-    totals = placed.groupBy("bracket", "part").agg(F.sum("n").alias("of_part"))
-    before = Window.partitionBy("bracket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("bracket", "part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("past"))
-    within = F.sum("n").over(upto.partitionBy("bracket", "part"))
-    both = placed.withColumn("within", within).join(F.broadcast(starts), ["bracket", "part"])
-    return both.select("bracket", "value", "n", (F.col("within") + F.col("past")).alias("last"))
-
-
-def _neighbours(rank: float) -> list[tuple[int, float]]:
-    """The two positions around a rank with their shares in the interpolated value."""
-    below = math.floor(rank)
-    upper = rank - below
-    return [(below, 1.0 - upper), (below + 1, upper)] if upper else [(below, 1.0)]
+    ranges = column_ranges(df, names)
+    wanted = {name: [place for p in points for place in _neighbours(p, ranges[name][0])[:2]] for name in names if ranges[name][0]}
+    found = order_statistics(df, wanted, ranges, listed_values)
+    rows = []
+    for name in wanted:
+        for point in points:
+            below, above, share = _neighbours(point, ranges[name][0])
+            lower, upper = found[name, below], found[name, above]
+            rows.append((name, float(point), _digits(lower), _digits(upper), share, _between(lower, upper, share)))
+    return df.sparkSession.createDataFrame(rows, TYPED_SCHEMA)
 
 
-def _go_on(old: Bracket, new: Bracket, ranked_rows: int) -> bool:
-    """Whether a bracket is still too full and the last step helped."""
-    return new.n_inside > ranked_rows and new.low < new.high and new.n_inside <= old.n_inside / 2
+def exact_quantiles(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    points: tuple[float, ...] = QUANTILE_POINTS,
+    listed_values: int = LISTED_VALUES,
+) -> DataFrame:
+    """Quantiles with linear interpolation between neighbouring values, exact at any size."""
+    found = typed_quantiles(df, columns, points, listed_values)
+    return found.select(*[part.split()[0] for part in QUANTILE_SCHEMA.split(", ")])

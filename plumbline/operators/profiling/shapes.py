@@ -12,15 +12,11 @@ from plumbline.functions.binning import equal_width_bucket
 from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import (
     aggregate_values,
-    chunked,
     finite_number,
     numeric_columns,
     spread,
-    union_all,
 )
-
-# Column pairs counted in one pass; wider tables take several passes.
-PAIRS_PER_PASS = 30
+from plumbline.operators.profiling.dense import cell_counts
 
 
 class Range(NamedTuple):
@@ -52,27 +48,17 @@ def histogram(
 ) -> DataFrame:
     """Rows per equal-width bucket of each numeric column, empty buckets left out.
 
-    One scan for the ranges, unless given, and one for the counts. Counts are
-    combined in each task, so the shuffle carries at most bins rows per column.
+    One scan for the ranges, unless given, and one for the counts. Each task counts into
+    arrays, so the shuffle carries at most bins rows per column and task.
     """
     names = columns or numeric_columns(df)
     ranges = value_ranges(df, names) if ranges is None else ranges
     names = [name for name in names if ranges[name].low is not None]
     if not names:
         return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
-    buckets = [
-        F.struct(
-            F.lit(i).alias("id"),
-            equal_width_bucket(finite_number(df, name), *ranges[name], bins).alias("bucket"),
-        )
-        for i, name in enumerate(names)
-    ]
-    counts = (
-        spread(df, buckets)
-        .where(F.col("bucket").isNotNull())
-        .groupBy("id", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    buckets = [equal_width_bucket(finite_number(df, name), *ranges[name], bins) for name in names]
+    counts = cell_counts(df, buckets, [(i,) for i in range(len(names))], bins)
+    counts = counts.withColumn("bucket", F.col("cell") + 1)
     index = F.col("id") + 1
     low = F.element_at(F.array(*[F.lit(float(ranges[name].low)) for name in names]), index)
     high = F.element_at(F.array(*[F.lit(float(ranges[name].high)) for name in names]), index)
@@ -96,8 +82,8 @@ def pair_bins(
 
     The data behind a scatter matrix at a size that does not grow with the rows:
     at most bins * bins cells per pair. A row counts for a pair when both values
-    are present. Each column is bucketed once per row and the pairs are formed
-    from the bucket numbers.
+    are present. Each column is bucketed once per row, and each task counts the bucket
+    numbers of all pairs into dense arrays.
     """
     names = sorted(columns or numeric_columns(df))
     ranges = value_ranges(df, names) if ranges is None else ranges
@@ -105,37 +91,13 @@ def pair_bins(
     pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    buckets = df.select(
-        *[
-            equal_width_bucket(finite_number(df, name), *ranges[name], bins).alias(f"b{i}")
-            for i, name in enumerate(names)
-        ]
-    )
-    chunks = chunked(pairs, PAIRS_PER_PASS)
-    return union_all(_count_pairs(buckets, names, chunk) for chunk in chunks)
-
-
-def _count_pairs(buckets: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    cells = [
-        F.struct(
-            F.lit(i).alias("id"),
-            F.col(f"b{a}").alias("bucket_a"),
-            F.col(f"b{b}").alias("bucket_b"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    counts = (
-        buckets.select(F.inline(F.array(*cells)))
-        .where(F.col("bucket_a").isNotNull() & F.col("bucket_b").isNotNull())
-        .groupBy("id", "bucket_a", "bucket_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    index = F.col("id") + 1
-    return counts.select(
+    buckets = [equal_width_bucket(finite_number(df, name), *ranges[name], bins) for name in names]
+    index, cell = F.col("id") + 1, F.col("cell")
+    return cell_counts(df, buckets, pairs, bins).select(
         F.element_at(F.array(*[F.lit(names[a]) for a, _ in pairs]), index).alias("column_a"),
         F.element_at(F.array(*[F.lit(names[b]) for _, b in pairs]), index).alias("column_b"),
-        "bucket_a",
-        "bucket_b",
+        (F.floor(cell / bins) + 1).cast("bigint").alias("bucket_a"),
+        (cell % bins + 1).alias("bucket_b"),
         "n",
     )
 

@@ -100,12 +100,21 @@ def _exact(df: DataFrame, name: str) -> list[Column]:
     if isinstance(dtype, FLOATING):
         found = [F.lit(None)] * 3
     else:
-        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
-        found = [F.min(value), F.max(value), F.sum(value.cast(T.DecimalType(28 + scale if scale <= 10 else 38, scale)))]
+        found = [F.min(value), F.max(value), _exact_sum(value, dtype)]
     names = ("min_exact", "max_exact", "sum_exact")
     return [v.cast("string").alias(n) for v, n in zip(found, names, strict=True)]
 
 
+def _exact_sum(value: Column, dtype: T.DataType) -> Column:
+    """Whole numbers are summed as longs, 22 bits of them at a time: no sum overflows before 2^41 rows."""
+    if isinstance(dtype, T.DecimalType):
+        return F.sum(value.cast(T.DecimalType(28 + dtype.scale if dtype.scale <= 10 else 38, dtype.scale)))
+    whole, low = value.cast("bigint"), F.lit((1 << 22) - 1)
+    parts = [F.shiftright(whole, 44), F.shiftright(whole, 22).bitwiseAND(low), whole.bitwiseAND(low)]
+    wide = [F.sum(part).cast("decimal(20,0)") for part in parts]
+    return (wide[0] * F.lit(1 << 22).cast("decimal(8,0)") + wide[1]).cast("decimal(30,0)") * F.lit(1 << 22).cast("decimal(8,0)") + wide[2]
+
+
 def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, spread, range, sum, zeros and shape of numeric columns.
 

@@ -377,6 +377,29 @@ SELECT 'large_key' AS "column", count(large_key) AS n, {exact_sql('large_key', T
 UNION ALL SELECT 'price', count(price), {exact_sql('price', True)} FROM m
 """
 
+LARGE_CTE = """
+WITH a AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(30, 10)) - CAST(100000 AS DECIMAL(30, 10)) AS amount FROM orders),
+m AS MATERIALIZED (
+  SELECT (o_orderkey - 3000) * 900719925474099 AS large_key,
+         CAST(amount + CAST('12345678901234567.0123456789' AS DECIMAL(30, 10)) AS DECIMAL(38, 10)) AS amount,
+         CAST(nullif(amount, 0) AS DECIMAL(38, 10)) AS signed FROM a)
+"""
+
+
+def _around(column: str, point: float) -> str:
+    placed = (
+        f"SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS place, "
+        f"CAST({point} AS DOUBLE) * (count(*) OVER () - 1) AS wanted FROM m WHERE {column} IS NOT NULL"
+    )
+    return (
+        f"SELECT '{column}' AS \"column\", CAST({point} AS DOUBLE) AS quantile, "
+        f"CAST(max(v) FILTER (place = floor(wanted)) AS VARCHAR) AS lower, "
+        f"CAST(max(v) FILTER (place = ceil(wanted)) AS VARCHAR) AS upper FROM ({placed})"
+    )
+
+
+TYPED_QUANTILES = LARGE_CTE + " UNION ALL ".join(_around(c, p) for c in ("large_key", "amount", "signed") for p in QUANTILES)
+
 FLAGGED_CTE = (
     f"WITH m AS MATERIALIZED (SELECT *, CASE WHEN l_discount > 0.02 THEN l_quantity > 25 END AS large "
     f"FROM ({MEASURES_WITH_GAPS}))"
@@ -458,6 +481,8 @@ ORACLE_SQL: dict[str, str] = {
     "profile_quantiles_narrowed": QUANTILE,
     "profile_quantiles_approx": SKETCHED_QUANTILES,
     "profile_distinct_approx": f'SELECT "column", n_distinct, true AS near FROM ({DISTINCT})',
+    "profile_quantiles_typed": TYPED_QUANTILES,
+    "profile_quantiles_typed_narrowed": TYPED_QUANTILES,
     "profile_exact_types": EXACT_TYPES,
     "profile_text": TEXT,
     "profile_boolean": BOOLEAN,

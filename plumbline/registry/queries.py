@@ -488,13 +488,35 @@ def profile_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_quantiles_narrowed(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by way of brackets: no more than 2,000 rows are ranked together."""
+    """The same, 16 bits of the values' keys at a time until 2,000 values are left."""
     found = quantiles.exact_quantiles(
-        _measures_with_gaps(spark, folder), points=QUANTILES, ranked_rows=2_000
+        _measures_with_gaps(spark, folder), points=QUANTILES, listed_values=2_000
     )
     return _rounded(found, value=6)
 
 
+def _large_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers and decimals beyond what a double holds, some of them negative."""
+    amount = F.col("o_totalprice").cast("decimal(30,10)") - F.lit(100000).cast("decimal(30,10)")
+    return table(spark, folder, "orders").select(
+        ((F.col("o_orderkey") - 3000) * F.lit(900719925474099)).alias("large_key"),
+        (amount + F.lit("12345678901234567.0123456789").cast("decimal(30,10)")).cast("decimal(38,10)").alias("amount"),
+        F.nullif(amount, F.lit(0)).cast("decimal(38,10)").alias("signed"),
+    )
+
+
+def profile_quantiles_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The values around each quantile with all their digits."""
+    found = quantiles.typed_quantiles(_large_numbers(spark, folder), points=QUANTILES)
+    return found.select("column", "quantile", "lower", "upper")
+
+
+def profile_quantiles_typed_narrowed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, 16 bits of the values' keys at a time until no more than ten values are left."""
+    found = quantiles.typed_quantiles(_large_numbers(spark, folder), points=QUANTILES, listed_values=10)
+    return found.select("column", "quantile", "lower", "upper")
+
+
 def profile_quantiles_approx(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the rank of every sketched quantile is off by less than 0.5% of the rows."""
     measures = _measures_with_gaps(spark, folder)
@@ -676,6 +698,8 @@ QUERIES: dict[str, Query] = {
     "profile_numeric": profile_numeric,
     "profile_quantiles": profile_quantiles,
     "profile_quantiles_narrowed": profile_quantiles_narrowed,
+    "profile_quantiles_typed": profile_quantiles_typed,
+    "profile_quantiles_typed_narrowed": profile_quantiles_typed_narrowed,
     "profile_exact_types": profile_exact_types,
     "profile_quantiles_approx": profile_quantiles_approx,
     "profile_distinct": profile_distinct,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import profile
 from plumbline.functions.digest import row_digest
 from plumbline.operators.profiling.columns import facts_frame
-from plumbline.operators.profiling import columns, quantiles, shapes, summary, values
+from plumbline.operators.profiling import columns, dense, quantiles, radix, shapes, summary, values
 from tests.conftest import plan_of
 
 NAN = float("nan")
@@ -224,13 +225,21 @@ def test_pair_bins_need_both_values(odd):
 
 def test_pair_bins_in_several_passes(spark, folder, monkeypatch):
     df = spark.read.parquet(f"{folder}/lineitem.parquet")
-    whole = sorted(shapes.pair_bins(df, 4).collect())
-    monkeypatch.setattr(shapes, "PAIRS_PER_PASS", 5)
-    assert sorted(shapes.pair_bins(df, 4).collect()) == whole
+    whole = sorted(shapes.pair_bins(df, 4).collect()), sorted(shapes.histogram(df, 4).collect())
+    monkeypatch.setattr(dense, "CELLS_PER_PASS", 60)
+    assert (sorted(shapes.pair_bins(df, 4).collect()), sorted(shapes.histogram(df, 4).collect())) == whole
 
 
-@pytest.mark.parametrize("ranked_rows", [10**6, 500, 3])
-def test_exact_quantiles_at_any_bracket_size(spark, ranked_rows):
+def test_pair_bins_hand_on_cells_and_not_rows(spark):
+    df = spark.range(0, 50_000, 1, 4).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 3).alias("c"))
+    counted = dense.cell_counts(df, [F.col(c) % 2 + 1 for c in "abc"], [(0, 1), (0, 2), (1, 2), (0, 1, 2)], 2)
+    assert "Generate" not in plan_of(counted) and "Expand" not in plan_of(counted)
+    assert {r["sum(n)"] for r in counted.groupBy("id").sum("n").collect()} == {50_000}
+    assert counted.where("id = 3").count() <= 8
+
+
+@pytest.mark.parametrize("listed_values", [10**6, 500, 3])
+def test_exact_quantiles_with_any_number_of_passes(spark, listed_values):
     rng = np.random.default_rng(4)
     n = 6000
     columns = {
@@ -242,21 +251,46 @@ def test_exact_quantiles_at_any_bracket_size(spark, ranked_rows):
     data = list(zip(*(c.tolist() for c in columns.values()), strict=True))
     df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in columns)).repartition(5)
     points = (0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0)
-    got = quantiles.exact_quantiles(df, points=points, ranked_rows=ranked_rows).collect()
+    got = quantiles.exact_quantiles(df, points=points, listed_values=listed_values).collect()
     assert len(got) == len(columns) * len(points)
     for row in got:
         want = np.quantile(columns[row["column"]], row["quantile"])
         assert row.value == pytest.approx(want, rel=1e-12), row
 
 
-def test_exact_quantiles_when_a_sketch_misleads(spark, monkeypatch):
-    """A cut that misses the rank is refused and the wider bracket is used."""
-    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
-    monkeypatch.setattr(
-        quantiles, "quantile_of", lambda s, p: F.array(F.lit(990.0), F.lit(995.0))
-    )
-    got = quantiles.exact_quantiles(df, points=(0.5,), ranked_rows=10).first()
-    assert got.value == 499.5
+@pytest.mark.parametrize("listed_values", [10**6, 2])
+def test_typed_quantiles_keep_all_digits(spark, listed_values):
+    rng = np.random.default_rng(8)
+    whole = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)] + [-(1 << 63), (1 << 63) - 1, 0, -1, None]
+    wide = [Decimal(int(a)) * (1 << 60) + int(b) for a, b in zip(whole[:-1], rng.integers(0, 1 << 40, 304), strict=True)]
+    wide = [w.scaleb(-10) for w in wide] + [None]
+    small = [int(x) for x in rng.integers(-128, 128, 305)]
+    odd = [float("nan"), None, 0.0, -0.0, float("-inf"), 5e-324, -5e-324, 1.5, -1.5, float("inf")] * 30 + [2.0] * 5
+    schema = "l bigint, d decimal(38,10), t tinyint, x double"
+    df = spark.createDataFrame(list(zip(whole, wide, small, odd, strict=True)), schema).repartition(3)
+    points = (0.0, 0.013, 0.5, 0.8, 1.0)
+    got = {(r["column"], r["quantile"]): r for r in quantiles.typed_quantiles(df, points=points, listed_values=listed_values).collect()}
+    for name, column in {"l": whole, "d": wide, "t": small, "x": odd}.items():
+        held = sorted(v for v in column if v is not None and v == v)
+        for p in points:
+            at = p * (len(held) - 1)
+            low, high, row = held[math.floor(at)], held[math.ceil(at)], got[name, p]
+            if name == "x":
+                assert (row.lower, row.upper) == (None, None)
+                assert row.value == (low if low == high else pytest.approx(low * (1 - row.share_upper) + high * row.share_upper))
+            else:
+                digits = (lambda v: f"{v:.10f}") if name == "d" else str
+                assert (row.lower, row.upper) == (digits(low), digits(high))
+                assert row.value == pytest.approx(float(low) + (float(high) - float(low)) * row.share_upper, rel=1e-12)
+
+
+def test_order_statistics_move_counts_only(spark, folder):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet")
+    counted = radix._counted(df, ["l_quantity"], [radix.Count(0, 0, 0, 16)])
+    plan = plan_of(counted)
+    assert "ReadSchema: struct<l_quantity:double>" in plan and plan.count("Exchange") >= 1
+    assert counted.agg(F.sum("n")).first()[0] == df.count()
+    assert counted.count() <= 50
 
 
 def test_approx_quantiles_are_near(spark):
@@ -348,21 +382,13 @@ def test_distinct_counts_have_a_row_for_every_column(spark):
 
 @pytest.mark.parametrize("wanted", [0.3, 0.5999, 0.6001, 0.9])
 def test_exact_quantiles_beside_a_value_that_holds_most_rows(spark, wanted):
-    """What is left beside the zeros is ranked in parts, no more than a few thousand rows each."""
     df = spark.range(0, 60_000, 1, 6).select(
         F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id") / 7 + 1).alias("x")
     )
-    got = quantiles.exact_quantiles(df, points=(wanted,), ranked_rows=2_000)
+    got = quantiles.exact_quantiles(df, points=(wanted,), listed_values=2_000)
     assert got.first().value == pytest.approx(np.quantile([r.x for r in df.collect()], wanted), rel=1e-12)
 
 
-def test_a_full_bracket_is_ranked_in_parts(spark):
-    counts = spark.range(100).select(F.lit(0).alias("bracket"), F.col("id").cast("double").alias("value"), F.lit(2).alias("n"))
-    whole = {r.value: r["last"] for r in quantiles._ranked(counts, {}).collect()}
-    cut = quantiles._ranked(counts, {0: [10.0, 10.5, 70.0]})
-    assert {r.value: r["last"] for r in cut.collect()} == whole
-
-
 def test_text_and_boolean_columns(spark):
     df = spark.createDataFrame([("a", True), ("", None), (None, False), ("éé🙂", None)], "t string, b boolean")
     assert tuple(summary.text_statistics(df).first()) == ("t", 3, 1, 0, pytest.approx(4 / 3), 3)
