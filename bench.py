@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plumbline.registry.queries import QUERIES  # noqa: E402
-from plumbline.session import local_session  # noqa: E402
+from plumbline.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "ts_ceil_15",
@@ -53,6 +53,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cpus, app="bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         times = []

@@ -27,7 +27,7 @@ from plumbline.operators.sketches import quantile_of, quantile_sketches
 QUANTILE_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 # Columns or pairs computed by one aggregation; wider tables take several.
 COLUMNS_PER_PASS = 30
-STATISTICS_PER_PASS = 5
+STATISTICS_PER_PASS = 2
 PAIRS_PER_PASS = 5
 
 MISSING_SCHEMA = "column string, n_missing bigint, share_missing double"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.digest import row_digest
 from plumbline.functions.names import quoted
@@ -15,42 +16,79 @@ from plumbline.operators.profiling.columns import (
     present,
     union_all,
 )
+from plumbline.operators.profiling.radix import column_ranges
 from plumbline.operators.profiling.summary import (
     COLUMNS_PER_PASS,
     DISTINCT_SCHEMA,
     distinct_facts,
 )
+from plumbline.session import settle
+
+
+# Digests met twice, 16 bytes each, are sent to every executor up to this size.
+BROADCAST_BYTES = 32 << 20
+# Parts that the rows of one digest are joined in, where the digests are too many for that.
+SALTS = 16
+# Bits of a bitmap that `bitmap_construct_agg` fills.
+BITMAP_BITS = 4096 * 8
+# Bits of a task's bitmaps for each of its rows, at most, for counting values as bits.
+BITS_PER_ROW = 128
 
 
 def overview(
-    df: DataFrame, by_values: bool = True, duplicate_columns: list[str] | None = None
+    df: DataFrame,
+    by_values: bool = True,
+    duplicate_columns: list[str] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (rows beyond the first of their kind).
 
     Rows are duplicates if all their values are equal, or those of `duplicate_columns`.
-    With `by_values=False` they are compared by a 16-byte digest instead, which keeps
-    wide rows out of the shuffle and is wrong only in a 128-bit collision. Copies are
-    counted before the shuffle, so a row repeated very often costs one entry per task.
+    They are found in two phases: digests of 8 bytes tell which were met twice, and only
+    rows with one of those are moved whole and compared by value; the digests met twice
+    are kept in the checkpoint folder, if there is one. With `by_values=False` rows are
+    compared by a 16-byte digest instead, which is wrong only in a 128-bit collision.
+    Copies are counted before each shuffle, so a row repeated very often costs one entry
+    per task.
     """
     missing = sum((present(df, c).isNull().cast("bigint") for c in df.columns), F.lit(0))
     compared = duplicate_columns or df.columns
+    schema = df.select(*[quoted(c) for c in compared]).schema
     if by_values:
-        per_row = df.groupBy(*[quoted(c) for c in compared]).agg(
-            F.count(F.lit(1)).alias("__n"), F.sum(missing).alias("__missing")
-        )
+        copies = _suspects(df, compared, schema, broadcast_bytes).groupBy(*[quoted(c) for c in compared])
+        beyond = copies.agg(F.count(F.lit(1)).alias("__n")).agg(F.sum(F.col("__n") - 1).alias("n_duplicate_rows"))
+        totals = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(missing).alias("n_missing_cells"))
+        both = totals.unionByName(beyond, allowMissingColumns=True)
+        found = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_missing_cells", "n_duplicate_rows")])
     else:
-        schema = df.select(*[quoted(c) for c in compared]).schema
         keyed = df.select(*row_digest(schema), missing.alias("__missing"))
         per_row = keyed.groupBy("digest_0", "digest_1").agg(
             F.count(F.lit(1)).alias("__n"), F.sum("__missing").alias("__missing")
         )
-    rows = F.coalesce(F.sum("__n"), F.lit(0))
-    return per_row.agg(
-        rows.alias("n_rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        F.coalesce(F.sum("__missing"), F.lit(0)).alias("n_missing_cells"),
-        (rows - F.count(F.lit(1))).alias("n_duplicate_rows"),
-    )
+        rows = F.coalesce(F.sum("__n"), F.lit(0))
+        found = per_row.agg(
+            rows.alias("n_rows"),
+            F.coalesce(F.sum("__missing"), F.lit(0)).alias("n_missing_cells"),
+            (rows - F.count(F.lit(1))).alias("n_duplicate_rows"),
+        )
+    return found.select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_missing_cells", "n_duplicate_rows")
+
+
+def _suspects(df: DataFrame, compared: list[str], schema: T.StructType, broadcast_bytes: int) -> DataFrame:
+    """The rows, with the columns compared, whose digest another row has too."""
+    rows = df.select(*[quoted(c) for c in compared])
+    if " collate " in schema.simpleString():
+        # Strings that are equal under a collation can have different digests.
+        return rows
+    digest = row_digest(schema)[0].alias("__digest")
+    twice = rows.select(digest).groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__digest")
+    twice = settle(twice)
+    keyed = rows.select("*", digest)
+    if twice.count() * 16 <= broadcast_bytes:
+        return keyed.join(F.broadcast(twice), "__digest", "left_semi").drop("__digest")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt")
+    copied = twice.select("__digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    return keyed.select("*", salt).join(copied, ["__digest", "__salt"], "left_semi").drop("__digest", "__salt")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -91,11 +129,38 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) ->
 def distinct_counts(
     df: DataFrame, columns: list[str] | None = None, exact: bool = False
 ) -> DataFrame:
-    """Distinct present values per column: sketched in one pass, or exact by grouping."""
+    """Distinct present values per column: sketched in one pass, or exact.
+
+    Exact counts of whole numbers that lie close together come from bitmaps, in which a
+    value is a bit; others are grouped by value.
+    """
     names = columns or flat_columns(df)
     if not exact:
         return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA, COLUMNS_PER_PASS)
-    found = value_counts(df, names).select("column", F.lit(1).cast("bigint").alias("n"))
+    close = _close_ranges(df, names)
+    parts = [_bit_counts(df, chunk, close) for chunk in chunked(list(close), STRUCTS_PER_SCAN)]
+    rest = [name for name in names if name not in close]
+    if rest:
+        parts.append(value_counts(df, rest).select("column", F.lit(1).cast("bigint").alias("n")))
     # Columns without any value have a row too.
-    every = df.sparkSession.createDataFrame([(name, 0) for name in names], found.schema)
-    return found.union(every).groupBy("column").agg(F.sum("n").alias("n_distinct"))
+    parts.append(df.sparkSession.createDataFrame([(name, 0) for name in names], "column string, n bigint"))
+    return union_all(parts).groupBy("column").agg(F.sum("n").alias("n_distinct"))
+
+
+def _close_ranges(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Whole-number columns whose bitmaps take a task few bits for each of its rows, with their smallest values."""
+    whole = [name for name in names if isinstance(df.schema[name].dataType, T.IntegralType)]
+    if not whole or df.isStreaming:
+        return {}
+    tasks = max(1, df.select(*[quoted(name) for name in whole]).rdd.getNumPartitions())
+    ranges = column_ranges(df, whole)
+    return {name: low for name, (n, low, high) in ranges.items() if n and high - low < BITS_PER_ROW * n // tasks}
+
+
+def _bit_counts(df: DataFrame, names: list[str], low: dict[str, int]) -> DataFrame:
+    """Values per bitmap of each column: a task fills a bitmap of 32,768 bits for every stretch it meets."""
+    offsets = [(quoted(name).cast("bigint") - F.lit(low[name]).cast("bigint")).alias(name) for name in names]
+    long = df.select(*offsets).unpivot([], [quoted(name) for name in names], "column", "value").where("value IS NOT NULL")
+    stretch, bit = F.floor(F.col("value") / BITMAP_BITS).alias("stretch"), F.col("value") % BITMAP_BITS
+    bitmaps = long.groupBy("column", stretch).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    return bitmaps.select("column", F.bitmap_count("bits").alias("n"))

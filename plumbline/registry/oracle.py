@@ -205,6 +205,15 @@ DISTINCT = f"WITH e AS ({EVENTS_WITH_GAPS}) " + " UNION ALL ".join(
 )
 
 
+DISTINCT_WHOLE = (
+    f"WITH m AS ({MEASURES_WITH_GAPS}), w AS (SELECT l_orderkey, l_suppkey, l_quantity, l_returnflag, "
+    "l_partkey * 1000000007 AS far, nullif(50 - l_linenumber, 45) AS small FROM m) "
+) + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM w"
+    for c in ("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "far", "small")
+)
+
+
 def top_sql(source: str, columns: list[str], k: int) -> str:
     counted = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {source} "
@@ -278,7 +287,9 @@ def _metric(section: str, column: str, detail: str, metric: str, value: str, res
 
 
 def _report() -> str:
-    listed = ", ".join(LINEITEM)
+    """All sections of the lines with a boolean column beside them."""
+    columns = (*LINEITEM, "large")
+    listed = ", ".join(columns)
     parts = [
         _metric("overview", "''", "''", "n_rows", "count(*)", "m"),
         _metric(
@@ -290,7 +301,7 @@ def _report() -> str:
             "m",
         ),
     ]
-    for c in LINEITEM:
+    for c in columns:
         distinct = f"count(DISTINCT {c})"
         parts += [
             _metric("missing", f"'{c}'", "''", "n_missing", f"count(*) - count({c})", "m"),
@@ -344,9 +355,19 @@ def _report() -> str:
                 f"b WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}",
             ),
         ]
-    top = top_sql("m", list(LINEITEM), 10)
+    for c in ("l_returnflag", "l_linestatus"):
+        figures = {
+            "n": f"count({c})", "n_empty": f"count(*) FILTER ({c} = '')", "min_length": f"min(length({c}))",
+            "mean_length": f"round(avg(length({c})), 6)", "max_length": f"max(length({c}))",
+        }
+        parts += [_metric("text", f"'{c}'", "''", name, value, "m") for name, value in figures.items()]
+    figures = {
+        "n_true": "count(*) FILTER (large)", "n_false": "count(*) FILTER (NOT large)", "n_missing": "count(*) FILTER (large IS NULL)",
+    }
+    parts += [_metric("boolean", "'large'", "''", name, value, "m") for name, value in figures.items()]
+    top = top_sql("m", list(columns), 10)
     parts.append(_metric("top_values", '"column"', "CAST(rank AS VARCHAR)", "n", "n", f"({top})"))
-    return BUCKETS_CTE + " UNION ALL ".join(parts)
+    return BUCKETS_CTE.replace(MEASURES_CTE, FLAGGED_CTE) + " UNION ALL ".join(parts)
 
 
 SAMPLE_BY_KEY_NULLS = f"""
@@ -513,6 +534,8 @@ ORACLE_SQL: dict[str, str] = {
     "profile_overview": OVERVIEW,
     "profile_overview_text": OVERVIEW_TEXT,
     "profile_overview_exact": OVERVIEW_TEXT,
+    "profile_overview_shuffled": OVERVIEW_TEXT,
+    "profile_distinct_whole": DISTINCT_WHOLE,
     "profile_missing": MISSING,
     "profile_numeric": NUMERIC,
     "profile_quantiles": QUANTILE,

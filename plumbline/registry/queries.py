@@ -472,6 +472,20 @@ def profile_overview_exact(spark: SparkSession, folder: str) -> DataFrame:
     return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS))
 
 
+def profile_overview_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where the digests met twice are too many to be sent to every executor."""
+    documents = table(spark, folder, "documents")
+    return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS), broadcast_bytes=0)
+
+
+def profile_distinct_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct whole numbers, close together (as bits) or far apart (by value), and those of other types."""
+    lines = _measures_with_gaps(spark, folder)
+    far = (F.col("l_partkey") * 1_000_000_007).alias("far")
+    negative = F.nullif(50 - F.col("l_linenumber"), F.lit(45)).cast("smallint").alias("small")
+    return values.distinct_counts(lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", far, negative), exact=True)
+
+
 def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
     missing = summary.missing_values(_events_with_gaps(spark, folder))
     return _rounded(missing, share_missing=6)
@@ -606,7 +620,7 @@ def pair_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_report(spark: SparkSession, folder: str) -> DataFrame:
     """All sections of one whole profile, one metric per row."""
-    sections = profile(_measures_with_gaps(spark, folder), exact=True)
+    sections = profile(_flagged(spark, folder), exact=True)
     nothing, column = F.lit(""), F.col("column")
     pair = F.concat_ws("|", "column_a", "column_b")
     cell = F.concat_ws("|", "bucket_a", "bucket_b")
@@ -638,6 +652,13 @@ def profile_report(spark: SparkSession, folder: str) -> DataFrame:
             metrics("histogram", column, F.col("bucket"), n=n),
             metrics("pair_bins", pair, cell, n=n),
             metrics("datetime", column, nothing, n=n, span_seconds=F.col("span_seconds")),
+            metrics(
+                "text", column, nothing, n=n, n_empty=F.col("n_empty"), min_length=F.col("min_length"),
+                mean_length=F.round("mean_length", 6), max_length=F.col("max_length"),
+            ),
+            metrics(
+                "boolean", column, nothing, n_true=F.col("n_true"), n_false=F.col("n_false"), n_missing=F.col("n_missing")
+            ),
             metrics("distinct", column, nothing, n_distinct=F.col("n_distinct")),
             metrics("quantiles", column, F.col("quantile"), value=F.round("value", 6)),
         ]
@@ -694,6 +715,8 @@ QUERIES: dict[str, Query] = {
     "profile_overview": profile_overview,
     "profile_overview_text": profile_overview_text,
     "profile_overview_exact": profile_overview_exact,
+    "profile_overview_shuffled": profile_overview_shuffled,
+    "profile_distinct_whole": profile_distinct_whole,
     "profile_missing": profile_missing,
     "profile_numeric": profile_numeric,
     "profile_quantiles": profile_quantiles,

@@ -389,6 +389,38 @@ def test_exact_quantiles_beside_a_value_that_holds_most_rows(spark, wanted):
     assert got.first().value == pytest.approx(np.quantile([r.x for r in df.collect()], wanted), rel=1e-12)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [values.BROADCAST_BYTES, 0])
+def test_duplicates_are_compared_by_value_where_digests_agree(spark, monkeypatch, broadcast_bytes):
+    # A digest that takes only four values: almost all rows are suspects.
+    short = lambda schema: [(F.pmod(d, F.lit(4))).alias(f"digest_{i}") for i, d in enumerate(row_digest(schema))]
+    rows = [(i % 40 or None, f"t{i % 3}", float("nan") if i % 5 else -0.0, [i % 2]) for i in range(300)] + [(None, None, 0.0, None)] * 200
+    df = spark.createDataFrame(rows, "a int, b string, c double, d array<int>").repartition(3)
+    want = values.overview(df, by_values=False).first()
+    assert values.overview(df, broadcast_bytes=broadcast_bytes).first() == want
+    assert want.n_duplicate_rows == 500 - df.distinct().count() > 199
+    monkeypatch.setattr(values, "row_digest", short)
+    assert values.overview(df, broadcast_bytes=broadcast_bytes).first() == want
+    assert values.overview(df.limit(0), broadcast_bytes=broadcast_bytes).first() == (0, 4, 0, 0)
+
+
+def test_only_suspects_are_shuffled_whole(spark):
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("text"))
+    df = df.unionByName(df.where("id < 7"))
+    assert values._suspects(df, df.columns, df.schema, values.BROADCAST_BYTES).count() == 14
+    assert values.overview(df).first().n_duplicate_rows == 7
+
+
+def test_values_are_counted_as_bits_where_they_lie_close(spark):
+    lows = spark.range(0, 4000, 1, 2).select(
+        (F.col("id") % 700 - 350).cast("int").alias("near"), F.xxhash64("id").alias("far"),
+        F.lit(None).cast("bigint").alias("none"), (F.lit((1 << 63) - 1) - F.col("id") % 9).alias("top"),
+        (F.col("id") * 30 - 60_000).alias("stretches"),
+    )
+    assert set(values._close_ranges(lows, lows.columns)) == {"near", "top", "stretches"}
+    got = {r["column"]: r.n_distinct for r in values.distinct_counts(lows, exact=True).collect()}
+    assert got == {"near": 700, "far": lows.select("far").distinct().count(), "none": 0, "top": 9, "stretches": 4000}
+
+
 def test_text_and_boolean_columns(spark):
     df = spark.createDataFrame([("a", True), ("", None), (None, False), ("éé🙂", None)], "t string, b boolean")
     assert tuple(summary.text_statistics(df).first()) == ("t", 3, 1, 0, pytest.approx(4 / 3), 3)
