@@ -1,5 +1,6 @@
 """Spark-first toolkit for preparing, sizing, moving and profiling tables."""
 
+from plumbline.operators.asof import lookup_as_of
 from plumbline.operators.lookup import lookup_features
 from plumbline.operators.reduction import reduce_to_budget
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
@@ -22,6 +23,7 @@ __all__ = [
     "format_census",
     "infer_format",
     "is_oversized",
+    "lookup_as_of",
     "lookup_features",
     "measure",
     "profile",

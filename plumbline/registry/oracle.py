@@ -205,6 +205,14 @@ DISTINCT = f"WITH e AS ({EVENTS_WITH_GAPS}) " + " UNION ALL ".join(
 )
 
 
+AS_OF = """
+WITH e AS (SELECT event_id, nullif(event_type, 'error') AS event_type, ts FROM events),
+f AS (SELECT event_type, ts AS dear_ts, max(value) AS dear_value, max(event_id) AS dear_event
+      FROM events WHERE value > 300 GROUP BY event_type, ts)
+SELECT e.event_id, e.event_type, e.ts, f.dear_value, f.dear_event, f.dear_ts
+FROM e ASOF LEFT JOIN f ON e.event_type = f.event_type AND e.ts >= f.dear_ts
+"""
+
 DISTINCT_WHOLE = (
     f"WITH m AS ({MEASURES_WITH_GAPS}), w AS (SELECT l_orderkey, l_suppkey, l_quantity, l_returnflag, "
     "l_partkey * 1000000007 AS far, nullif(50 - l_linenumber, 45) AS small FROM m) "
@@ -508,6 +516,8 @@ ORACLE_SQL: dict[str, str] = {
     "profile_text": TEXT,
     "profile_boolean": BOOLEAN,
     "pair_bins_mixed": PAIR_BINS_MIXED,
+    "feature_lookup_as_of": AS_OF,
+    "feature_lookup_as_of_hot": AS_OF,
     "row_count": "SELECT count(*) AS n_rows FROM events",
     "size_exact": SIZE_EXACT,
     "is_oversized": OVERSIZED,

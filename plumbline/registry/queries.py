@@ -20,6 +20,7 @@ from plumbline.functions.timegrid import (
     seconds_to_timestamp,
     wall_clock_seconds,
 )
+from plumbline.operators.asof import lookup_as_of
 from plumbline.operators.lookup import lookup_features
 from plumbline.operators.profiling import quantiles, shapes, summary, values
 from plumbline.operators.profiling.columns import facts_frame, present_number, union_all
@@ -164,6 +165,19 @@ def feature_lookup_hot(spark: SparkSession, folder: str, strategy: str = "split"
 # --- sizing and reduction ----------------------------------------------------------
 
 
+def _dear_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of large value as features of their type and user, as they became known."""
+    events = table(spark, folder, "events").where("value > 300")
+    return events.groupBy("event_type", "ts").agg(F.max("value").alias("dear_value"), F.max("event_id").alias("dear_event"))
+
+
+def feature_lookup_as_of(spark: SparkSession, folder: str, part_rows: int = 2_000_000) -> DataFrame:
+    """Every event with the latest one of large value and its type at or before it."""
+    events = table(spark, folder, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("event_type"), "ts")
+    features = _dear_events(spark, folder)
+    return lookup_as_of(events, features, ["event_type"], "ts", found_time="dear_ts", part_rows=part_rows)
+
+
 def row_count(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -680,6 +694,8 @@ QUERIES: dict[str, Query] = {
     "feature_lookup_shuffle": partial(feature_lookup, strategy="shuffle"),
     "feature_lookup_hot": feature_lookup_hot,
     "feature_lookup_hot_shuffle": partial(feature_lookup_hot, strategy="shuffle"),
+    "feature_lookup_as_of": feature_lookup_as_of,
+    "feature_lookup_as_of_hot": partial(feature_lookup_as_of, part_rows=100),
     "row_count": row_count,
     "size_exact": size_exact,
     "size_estimate": size_estimate,
