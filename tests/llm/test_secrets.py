@@ -3,6 +3,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
+from functools import cache
+
+import pytest
 
 from plumbline.llm import secrets as S
 from tests.llm.conftest import ODD_TEXTS
@@ -47,9 +51,98 @@ def test_hard_values_in_context_are_added(documents):
     assert found[2] == found[3] == found[5] == "" and found[6].startswith("assign:0:")
 
 
+def _cheapest(value: str, ranks: dict[str, int]) -> float:
+    """The least cost over all segmentations, segment by segment as the docstring prices them."""
+    low, n = value.lower(), len(value)
+    per_char = math.log10(sum(size for pattern, size in S._CHARSETS if pattern.search(value)))
+
+    def prices(i, j):
+        part, form, size = value[i:j], low[i:j], j - i
+        yield size * per_char
+        for word, extra in ((form, 0.0), (form.translate(S.LEET), 0.5)):
+            if 3 <= size <= S.LONGEST_WORD and word in ranks:
+                upper = sum(c.isupper() for c in part)
+                yield math.log10(ranks[word]) + extra + (math.log10(2 + upper) if upper else 0.0)
+        if any(m.span() == (i, j) for m in S.DATE.finditer(value)):
+            yield math.log10(365 * 120)
+        pairs = list(zip(form, form[1:], strict=False))
+        # Runs end where they can't go on.
+        if size >= 3 and all(S._beside(a, b) for a, b in pairs) and (j == n or not S._beside(low[j - 1], low[j])):
+            yield math.log10(47 * 8) + 0.5 * math.log10(size)
+        for d in (0, 1, -1):
+            if size >= 3 and all(ord(b) - ord(a) == d for a, b in pairs) and (j == n or ord(low[j]) - ord(low[j - 1]) != d):
+                yield (per_char if d == 0 else math.log10(20)) + math.log10(size)
+        for unit in (2, 3, 4):
+            times = size // unit
+            if times > 1 and size % unit == 0 and form == form[:unit] * times and low[j : j + unit] != form[:unit]:
+                yield unit * per_char + math.log10(times)
+
+    @cache
+    def best(i):
+        return 0.0 if i == n else min(math.log10(8) + p + best(j) for j in range(i + 1, n + 1) for p in prices(i, j))
+
+    return best(0)
+
+
+def test_cost_is_that_of_the_cheapest_of_all_segmentations():
+    rng = random.Random(7)
+    ranks = {**S._RANK, "budget": 700, "abc": 3, "größe": 9}
+    bits = ["password", "p4ssw0rd", "Budget", "größe", "1999-12-31", "qwer", "aaa", "xyz", "zyx", "abab", "abcabcabc", "x", "7", "$", "K", "q1w2", " "]
+    for _ in range(150):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))[:24]
+        assert S.guess_cost(value, ranks) == pytest.approx(_cheapest(value, ranks), abs=1e-9), value
+
+
+@pytest.mark.parametrize("unit", ["ab1", "x", "q9Z$kw7", "abcd"])
+def test_long_values_take_time_in_proportion(unit):
+    def seconds(n):
+        start = time.process_time()
+        S.guess_cost((unit * n)[:n])
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 16 * max(seconds(10_000), 0.02)
+
+
+def test_values_of_one_kind_of_character_and_prose():
+    ranks = {**S._RANK, **{w: 100 + i for i, w in enumerate("the committee approved annual budget for required".split())}}
+    guesser = S.Guesser(ranks)
+
+    def guessed(text):
+        return [text[a:b] for a, _, b in S.guess_spans(text, [], guesser)]
+
+    assert guessed("pwd: qkzvhwxjtrbmplfd") == ["qkzvhwxjtrbmplfd"]
+    assert guessed("login: 84930275618392047561") == ["84930275618392047561"]
+    assert guessed("private key = QZKXVWJHTRBM") == ["QZKXVWJHTRBM"]
+    assert guessed('secret: "the committee approved the annual budget"') == []
+    assert guessed('secret: "the committee approved qkzvhwxjtr"') == ["the committee approved qkzvhwxjtr"]
+    assert guessed("password is required") == [] and guessed("token: 11111111111111") == []
+
+
+def test_words_are_learned_from_all_documents_but_not_from_secrets(documents):
+    rows = [(i, "Unusual prose Größe password: qkzvhwxjtrbmplfd and 'pwd': \"zzzvhwx jtrbmplfd\" once%d" % i) for i in range(30)]
+    ranks = S.word_ranks(documents([*rows, (99, "lonely"), (100, None)]))
+    assert {"unusual", "prose", "größe"} <= set(ranks)
+    assert not {"qkzvhwxjtrbmplfd", "zzzvhwx", "jtrbmplfd", "lonely"} & set(ranks)
+    few = S.word_ranks(documents(rows), 2)
+    assert (few["and"], few["größe"], len(few)) == (1, 2, len(S._RANK) + 1)
+    found = S.scan(documents([*rows, (500, "secret is unusual"), (501, "secret is unusuaxl")])).collect()
+    spans = {r.doc_id: r.spans for r in found}
+    assert "guess" in spans[0] and spans[500] == "" and "guess" in spans[501]
+
+
+def test_many_contexts_beside_many_base_spans_stay_cheap():
+    text = "token: abcdef0123 " * 20_000 + "pwd: x"
+    start = time.process_time()
+    assert S.guess_spans(text, S.base_spans(text), S.Guesser(S._RANK)) == []
+    assert time.process_time() - start < 5
+
+
 def test_whole_values_are_reported():
+    guesser = S.Guesser(S._RANK)
+
     def guessed(text):
-        return [text[a:b] for a, _, b in S.guess_spans(text, S.base_spans(text))]
+        return [text[a:b] for a, _, b in S.guess_spans(text, S.base_spans(text), guesser)]
 
     assert guessed("password: abcdef$%^&Zq9!x") == ["abcdef$%^&Zq9!x"]  # assign covers a part
     assert guessed("password: hG7kQ2zz9x") == []  # assign covers it all
@@ -59,7 +152,7 @@ def test_whole_values_are_reported():
     assert guessed("pwd: '7fKq9$zz!Lw") == ["7fKq9$zz!Lw"]  # nothing closes the quote
     assert guessed("login: pwd: 7fKq9$zz!Lw") == ["7fKq9$zz!Lw"]
     assert guessed("login: \n7fKq9$zz!Lw") == []
-    assert S.guess_spans("pwd=" * 50_000, []) == []  # in linear time
+    assert S.guess_spans("pwd=" * 50_000, [], guesser) == []  # in linear time
 
 
 def test_odd_rows_and_empty_table(odd, documents):
