@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -38,6 +39,10 @@ STEM_LENGTHS = range(4, 9)
 WINDOW = 5
 # Words whose matches are kept in a task, before the store is emptied.
 CACHED_WORDS = 200_000
+# Words longer than this are looked up each time they are met.
+CACHED_CHARS = 64
+# Sets of the automaton that a worker keeps; beyond that it begins again.
+MOST_SETS = 20_000
 FEATURES = 9
 # Weights where the training rows say nothing: hits outside quotation marks count most.
 PRIOR = (1.5, 1.5, 1.5, 0.3, 0.3, 0.3, 0.5, 0.2, 1.0)
@@ -105,6 +110,10 @@ class Automaton:
 
     def __init__(self, trie: Trie) -> None:
         self.trie = trie
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin again with no set but the first: answers are the same."""
         self.sets: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -225,6 +234,8 @@ class Finder:
 
     def look_up(self, word: str) -> tuple[int, float] | None:
         """(0 exact, 1 stem or 2 misspelled, of words and stems; weight) of a word, or None."""
+        if len(self.automaton.sets) > MOST_SETS:
+            self.automaton.forget()
         found = self.automaton.match(word) if self.lexicon.words else None
         if found and found[1] == 0:
             out = (0, self.lexicon.words[found[0]])
@@ -238,7 +249,8 @@ class Finder:
             out = None
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
-        self.known[word] = out
+        if len(word) <= CACHED_CHARS:
+            self.known[word] = out
         return out
 
     def hits(self, text: str) -> tuple[list[Hit], int]:
@@ -251,10 +263,12 @@ class Finder:
             return [], len(tokens)
         spans = quotations(lowered)
         places = [m.start() for m in WORD.finditer(lowered)] if spans else []
+        begins = [a for a, _ in spans]
         out = []
         for i in at:
             kind, weight = known.get(tokens[i]) or look_up(tokens[i])
-            quoted = any(a < places[i] < b for a, b in spans) if spans else False
+            span = bisect_left(begins, places[i]) - 1 if spans else -1
+            quoted = span >= 0 and places[i] < spans[span][1]
             out.append(Hit(kind, weight, quoted, tokens[max(i - WINDOW, 0) : i] + tokens[i + 1 : i + 1 + WINDOW]))
         return out, len(tokens)
 

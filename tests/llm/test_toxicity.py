@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -127,3 +128,31 @@ def test_odd_rows_and_empty_tables(spark, odd, documents):
         found = T.score(odd, T.fit(T.training_rows(odd, labels))).collect()
         assert len(found) == len(ODD_TEXTS) + 3 and all(0 <= r.score <= 1 for r in found)
     assert T.score(documents([]), T.fit(T.training_rows(documents([]), none))).count() == 0
+
+
+def test_the_automaton_stays_bounded_and_its_answers_the_same(monkeypatch):
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(5, 10))) for _ in range(60)})
+    lexicon = T.Lexicon({t: 1.0 + i for i, t in enumerate(terms)}, {t[:4]: 0.5 for t in terms[:9]}, {}, frozenset(terms))
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(3, 12))) for _ in range(3000)] + ["abcdef" * 50_000]
+    free = [T.Finder(lexicon).look_up(w) for w in words]
+    monkeypatch.setattr(T, "MOST_SETS", 200)
+    finder = T.Finder(lexicon)
+    most = 0
+    for word, want in zip(words, free, strict=True):
+        assert finder.look_up(word) == want
+        most = max(most, len(finder.automaton.sets))
+    assert most < 200 + 40 and max(map(len, finder.known)) <= T.CACHED_CHARS
+
+
+def test_many_hits_and_quotations_take_time_in_proportion():
+    finder = T.Finder(T.Lexicon({"idiot": 4.0}, {}, {}))
+
+    def seconds(n):
+        start = time.process_time()
+        hits, _ = finder.hits('"idiot" idiot ' * n)
+        assert [h.quoted for h in hits] == [True, False] * n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.02)
