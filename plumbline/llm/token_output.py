@@ -49,7 +49,7 @@ END_ID = 0
 LEVEL = 3
 # Serialized ids in a shard, about; a longer document is a shard of its own.
 SHARD_BYTES = 64 << 20
-# Documents that the dictionary is trained on, at most, none longer than so many characters.
+# Documents that the dictionary is trained on, at most, and the characters taken of each.
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 8_000
 DICTIONARY_BYTES = 64 << 10
@@ -383,7 +383,10 @@ def write(docs: DataFrame, tokenizer_path: str, place: str | None = None) -> Out
     # A share of the hashes that holds somewhat more than is wanted, so that little is sorted.
     share = min(1.0, 4.0 * SAMPLE_ROWS / max(rows.count(), 1))
     some = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33) < share * (1 << 31))
-    sample = some.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_ROWS)
+    # Of a long text a stretch from anywhere in it.
+    later = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    stretch = F.substring("text", 1 + F.pmod(F.xxhash64("text"), later).cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    sample = some.where("text <> ''").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_ROWS).select(stretch)
     samples = [bytes(r.ids) for r in sample.mapInArrow(encoded, "ids binary").collect()]
     dictionary = train_dictionary(samples)
 

@@ -78,3 +78,12 @@ def test_odd_rows_and_empty_table(odd, documents):
     assert [r.doc_id for r in found][:2] == [None, None]
     assert [r.n_tokens for r in found if r.doc_id in (0, 1)] == [1, 1]
     assert T.read(T.write(documents([]), PATH)).count() == 0
+
+
+def test_long_texts_alone_have_a_dictionary(documents):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(4000))) for i in range(12)]
+    output = T.write(documents(rows), PATH)
+    assert len(output.dictionary) > 1000
+    assert sorted(r.doc_id for r in T.read(output).collect()) == list(range(12))
