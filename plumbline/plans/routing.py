@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from plumbline.operators.reduction import METHODS, reduce_to_budget, row_limit
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size, is_oversized
 from plumbline.session import ARROW, session_setting
-from plumbline.sources.files import read_files
+from plumbline.sources.files import read_files, read_surveyed
 from plumbline.sources.inventory import survey_path, total_bytes
 
 
@@ -104,11 +104,11 @@ def read_from_path(
     """
     _check_method(force_method)
     if filetype is None:
-        filetype, n_bytes, found = survey_path(spark, path)
-        options = {**found, **options}
+        survey = survey_path(spark, path)
+        n_bytes, df = survey.n_bytes, read_surveyed(spark, path, survey, schema, **options)
     else:
         n_bytes = total_bytes(spark, path) if as_pandas else 0
-    df = read_files(spark, path, filetype, schema, **options)
+        df = read_files(spark, path, filetype, schema, **options)
     if not as_pandas:
         return df
     oversized = n_bytes > threshold_bytes or is_oversized(df, threshold_bytes=threshold_bytes)

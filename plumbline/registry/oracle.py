@@ -527,6 +527,11 @@ ORACLE_SQL: dict[str, str] = {
     "scan_parquet": "SELECT * FROM orders",
     "scan_csv": "SELECT * FROM customer",
     "scan_tsv": "SELECT * FROM customer",
+    "scan_compressed": "SELECT * FROM customer",
+    "scan_partitions_beside": """
+        SELECT *, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS kept_c_mktsegment,
+               CASE WHEN c_custkey % 3 = 2 THEN c_nationkey END AS kept_c_nationkey FROM customer
+        UNION ALL SELECT *, NULL, NULL FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 50""",
     "scan_json": "SELECT * FROM customer",
     "scan_orc": "SELECT * FROM customer",
     "scan_text": "SELECT c_name AS value FROM customer",

@@ -318,6 +318,26 @@ def scan_mixed(spark: SparkSession, folder: str) -> DataFrame:
     return read_from_path(spark, path, schema=table(spark, folder, "customer").schema)
 
 
+def scan_compressed(spark: SparkSession, folder: str) -> DataFrame:
+    """Compressed csv files beside plain ones and notes, the format inferred."""
+    path, customer = scratch_path(spark, "compressed"), table(spark, folder, "customer")
+    for part, codec in enumerate(("gzip", "bzip2", "none")):
+        write_csv(spark, customer.where(F.col("c_custkey") % 3 == part), path, mode="append", compression=codec)
+    table(spark, folder, "nation").select("n_name").write.mode("append").option("compression", "gzip").text(path)
+    return read_from_path(spark, path, schema=customer.schema)
+
+
+def scan_partitions_beside(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain files beside partitions of the path and of a folder below: the keys stay columns."""
+    path, customer = scratch_path(spark, "beside"), table(spark, folder, "customer")
+    write_csv(spark, customer.where("c_custkey % 3 = 0"), path, mode="append")
+    write_csv(spark, customer.where("c_custkey % 3 = 0 AND c_custkey < 50"), f"{path}/plain", mode="append")
+    for part, place, key in ((1, path, "c_mktsegment"), (2, f"{path}/more/yet", "c_nationkey")):
+        kept = customer.where(F.col("c_custkey") % 3 == part).withColumn("kept_" + key, F.col(key))
+        kept.write.mode("append").option("header", True).partitionBy("kept_" + key).csv(place)
+    return read_from_path(spark, path, schema=customer.schema)
+
+
 def _copied(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """A copy of `lineitem` in several files, and what its rows say of these."""
     path = scratch_path(spark, "copied")
@@ -715,6 +735,8 @@ QUERIES: dict[str, Query] = {
     "scan_text": scan_text,
     "scan_nested": scan_nested,
     "scan_mixed": scan_mixed,
+    "scan_compressed": scan_compressed,
+    "scan_partitions_beside": scan_partitions_beside,
     "csv_roundtrip": csv_roundtrip,
     "file_inventory": inventory,
     "path_summary": path_summary,

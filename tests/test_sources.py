@@ -123,3 +123,45 @@ def test_text_beside_data_is_not_read(spark, tmp_path):
 def test_a_single_file_is_read_alone(spark, tmp_path):
     path = put(tmp_path, x_dot_csv="a\n1\n", y_dot_csv="a\n2\n")
     assert _values(spark, f"{path}/x.csv", schema="a int") == [(1,)]
+
+
+@pytest.mark.parametrize(
+    ("files", "expected"),
+    [
+        ({"x_dot_csv_dot_gz": "a", "y_dot_CSV_dot_BZ2": "a", "z_dot_csv": "a"}, "csv"),
+        ({"x_dot_json_dot_zst": "a", "notes_dot_txt_dot_gz": "a"}, "json"),
+        ({"x_dot_gz": "a"}, "gz"),
+    ],
+)
+def test_a_compression_is_no_format(spark, tmp_path, files, expected):
+    assert infer_format(spark, put(tmp_path, **files)) == expected
+
+
+def test_compressed_files_are_read(spark, tmp_path):
+    import gzip
+
+    put(tmp_path, a_dot_csv="x\n1\n", readme_dot_txt="x\n9\n")
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(b"x\n2\n"))
+    (tmp_path / "c.CSV.gz").write_bytes(gzip.compress(b"x\n3\n"))
+    got = read_from_path(spark, str(tmp_path))
+    assert sorted(r.x for r in got.collect()) == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize(
+    ("files", "expected"),
+    [
+        ({"k=1__a_dot_csv": "x\n1\n", "x__b_dot_csv": "x\n2\n"}, {("1", 1), ("2", None)}),
+        ({"x__k=1__a_dot_csv": "x\n1\n", "x__k=2__b_dot_csv": "x\n2\n"}, {("1", 1), ("2", 2)}),
+        ({"b_dot_csv": "x\n2\n", "k=1__a_dot_csv": "x\n1\n", "y__k=3__c_dot_csv": "x\n3\n", "y__z__c_dot_csv": "x\n4\n"},
+         {("1", 1), ("2", None), ("3", 3), ("4", None)}),
+        ({"k=1__a_dot_csv": "x\n1\n", "k=2__b_dot_csv": "x\n2\n"}, {("1", 1), ("2", 2)}),
+    ],
+)
+def test_partitions_stay_columns_wherever_they_are(spark, tmp_path, files, expected):
+    got = read_from_path(spark, put(tmp_path / "run=5" / "in here", **files))
+    assert {(r.x, r.k) for r in got.collect()} == expected
+
+
+def test_plain_folders_inside_partitions_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="inside partitions"):
+        read_from_path(spark, put(tmp_path, **{"k=1__y__a_dot_csv": "x\n1\n"}))
