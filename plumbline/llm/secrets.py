@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import small_batches
+from plumbline.llm.store import small_batches, written
 from plumbline.llm.text_arrays import pieces, words
 
 # Fixed patterns; ASCII letters of `assign` in either case.
@@ -174,14 +174,22 @@ def word_ranks(docs: DataFrame, most: int = LEARNED_WORDS) -> dict[str, int]:
     """The words that occur most often in all texts, from 1, at most `most` of them, with the fixed ones.
 
     Values in credential contexts are left out, so that a secret isn't learned however
-    often it was copied; words met once are no words. Equal counts go by the word.
+    often it was copied; words met once are no words. Words of about equal count are taken
+    together or not at all, so that no more than `most` rows reach the driver. Equal counts
+    go by the word.
     """
     value = CONTEXT.pattern + r"""(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|\S+)"""
     text = F.when(F.lower("text").rlike("|".join(MARKS)), F.regexp_replace("text", f"(?i){value}", " ")).otherwise(F.col("text"))
     found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     words_ = docs.select(F.explode(found).alias("word")).where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD))
+    # Sixteen levels to each doubling of a count, so about a thousand in all.
+    level = F.floor(F.log2("n") * 16).alias("level")
     counted = words_.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = counted.orderBy(F.col("n").desc(), "word").limit(most).collect()
+    counted = written(counted.select("word", "n", level), "word-counts")
+    levels = sorted(((r.level, r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)
+    taken = [at for (at, _), upto in zip(levels, accumulate(n for _, n in levels), strict=True) if upto <= most]
+    rows = counted.where(F.col("level") >= taken[-1]).collect() if taken else []
+    rows.sort(key=lambda r: (-r.n, r.word))
     learned = {r.word: k + 1 for k, r in enumerate(rows)}
     return {w: min(k, learned.get(w, k)) for w, k in {**learned, **_RANK}.items()}
 

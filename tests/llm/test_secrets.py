@@ -124,8 +124,10 @@ def test_words_are_learned_from_all_documents_but_not_from_secrets(documents):
     ranks = S.word_ranks(documents([*rows, (99, "lonely"), (100, None)]))
     assert {"unusual", "prose", "größe"} <= set(ranks)
     assert not {"qkzvhwxjtrbmplfd", "zzzvhwx", "jtrbmplfd", "lonely"} & set(ranks)
-    few = S.word_ranks(documents(rows), 2)
-    assert (few["and"], few["größe"], len(few)) == (1, 2, len(S._RANK) + 1)
+    often = documents([*rows, *[(i, "größe " * 9 + "and " * 5) for i in range(200, 240)]])
+    few = S.word_ranks(often, 3)
+    assert (few["größe"], few["and"], len(few)) == (1, 2, len(S._RANK) + 1)
+    assert S.word_ranks(documents(rows), 2) == S._RANK  # more words of one count than wanted
     found = S.scan(documents([*rows, (500, "secret is unusual"), (501, "secret is unusuaxl")])).collect()
     spans = {r.doc_id: r.spans for r in found}
     assert "guess" in spans[0] and spans[500] == "" and "guess" in spans[501]
