@@ -16,6 +16,7 @@ from plumbline.operators.profiling.columns import (
     present,
     union_all,
 )
+from plumbline.operators.profiling.heavy import frequent_values, smallest_texts
 from plumbline.operators.profiling.radix import column_ranges
 from plumbline.operators.profiling.summary import (
     COLUMNS_PER_PASS,
@@ -118,14 +119,38 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
     """The `k` most frequent values per column, ties broken by value.
 
-    The rank filter is applied inside each task before the ranking shuffle, which
-    moves at most k rows per column and task.
+    Whole numbers that lie close together are first counted as bits: where as many values
+    as rows are found, all occur once, and each task hands on its `k` smallest. Other
+    columns are summarised in each task, and an exact count of few candidates proves the
+    answer. Only columns where that fails are grouped by value, with the rank filter
+    applied inside each task before the ranking shuffle.
     """
+    names = columns or flat_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint, rank bigint")
+    unique = _unique_columns(df, names)
+    found = frequent_values(df, [name for name in names if name not in unique], k)
+    parts = [df.sparkSession.createDataFrame(found.rows, "column string, value string, n bigint")]
+    if unique:
+        parts.append(smallest_texts(df, unique, k))
+    if found.unproved:
+        parts.append(value_counts(df, found.unproved))
     ranking = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(ranking))
+    ranked = union_all(parts).withColumn("rank", F.row_number().over(ranking))
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _unique_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """Whole-number columns whose present values are all different, as far as bitmaps can tell."""
+    ranges = _whole_ranges(df, names)
+    close = {name: low for name, (n, low, high) in ranges.items() if high - low + 1 >= n}
+    counts = {}
+    for chunk in chunked(list(close), STRUCTS_PER_SCAN):
+        found = _bit_counts(df, chunk, close).groupBy("column").agg(F.sum("n").alias("n"))
+        counts |= {r["column"]: r.n for r in found.collect()}
+    return [name for name, n in counts.items() if n == ranges[name][0]]
+
+
 def distinct_counts(
     df: DataFrame, columns: list[str] | None = None, exact: bool = False
 ) -> DataFrame:
@@ -137,7 +162,7 @@ def distinct_counts(
     names = columns or flat_columns(df)
     if not exact:
         return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA, COLUMNS_PER_PASS)
-    close = _close_ranges(df, names)
+    close = {name: low for name, (_, low, _) in _whole_ranges(df, names).items()}
     parts = [_bit_counts(df, chunk, close) for chunk in chunked(list(close), STRUCTS_PER_SCAN)]
     rest = [name for name in names if name not in close]
     if rest:
@@ -147,14 +172,14 @@ def distinct_counts(
     return union_all(parts).groupBy("column").agg(F.sum("n").alias("n_distinct"))
 
 
-def _close_ranges(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Whole-number columns whose bitmaps take a task few bits for each of its rows, with their smallest values."""
+def _whole_ranges(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int, int]]:
+    """Values, smallest and largest one of whole-number columns whose bitmaps take a task few bits for each of its rows."""
     whole = [name for name in names if isinstance(df.schema[name].dataType, T.IntegralType)]
-    if not whole or df.isStreaming:
+    if not whole:
         return {}
     tasks = max(1, df.select(*[quoted(name) for name in whole]).rdd.getNumPartitions())
     ranges = column_ranges(df, whole)
-    return {name: low for name, (n, low, high) in ranges.items() if n and high - low < BITS_PER_ROW * n // tasks}
+    return {name: (n, low, high) for name, (n, low, high) in ranges.items() if n and high - low < BITS_PER_ROW * n // tasks}
 
 
 def _bit_counts(df: DataFrame, names: list[str], low: dict[str, int]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import profile
 from plumbline.functions.digest import row_digest
 from plumbline.operators.profiling.columns import facts_frame
-from plumbline.operators.profiling import columns, dense, quantiles, radix, shapes, summary, values
+from plumbline.operators.profiling import columns, dense, heavy, quantiles, radix, shapes, summary, values
 from tests.conftest import plan_of
 
 NAN = float("nan")
@@ -190,8 +190,9 @@ def test_top_values_break_ties_by_value(spark):
 
 def test_top_values_rank_inside_tasks_before_the_shuffle(spark, folder):
     df = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderpriority", "o_custkey")
-    plan = plan_of(values.top_values(df, 3))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "WindowGroupLimit" in plan_of(values.top_values(df.select(F.col("o_custkey").cast("timestamp")), 3))
+    plan = plan_of(values.value_counts(df))
+    assert "Partial" in plan or "partial" in plan
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
     assert "ReadSchema: struct<o_orderpriority:string>" in plan
 
@@ -416,11 +417,69 @@ def test_values_are_counted_as_bits_where_they_lie_close(spark):
         F.lit(None).cast("bigint").alias("none"), (F.lit((1 << 63) - 1) - F.col("id") % 9).alias("top"),
         (F.col("id") * 30 - 60_000).alias("stretches"),
     )
-    assert set(values._close_ranges(lows, lows.columns)) == {"near", "top", "stretches"}
+    assert set(values._whole_ranges(lows, lows.columns)) == {"near", "top", "stretches"}
     got = {r["column"]: r.n_distinct for r in values.distinct_counts(lows, exact=True).collect()}
     assert got == {"near": 700, "far": lows.select("far").distinct().count(), "none": 0, "top": 9, "stretches": 4000}
 
 
+def _skewed(spark):
+    """Zipf texts, an all-unique key, unique doubles, few values, none, and odd types."""
+    return spark.range(0, 30_000, 1, 5).select(
+        F.concat(F.lit("w"), F.floor(F.pow(F.rand(3), -1.5))).alias("zipf"),
+        (F.col("id") * 7 % 30_000 + 100).alias("key"),
+        (F.col("id") / 3).alias("x"),
+        F.nullif(F.col("id") % 4, F.lit(2)).cast("tinyint").alias("few"),
+        F.lit(None).cast("string").alias("none"),
+        F.timestamp_seconds(F.col("id") % 7).alias("ts"),
+        F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0).alias("zero"),
+    ).cache()
+
+
+def test_top_values_are_those_of_full_counts(spark, monkeypatch):
+    df = _skewed(spark)
+    monkeypatch.setattr(heavy, "HELD_AT_LEAST", 60)
+    monkeypatch.setattr(heavy, "HELD_PER_WANTED", 2)
+    monkeypatch.setattr(heavy, "WAITING", 500)
+    got = {}
+    for r in values.top_values(df, 4).orderBy("column", "rank").collect():
+        got.setdefault(r["column"], []).append((r.value, r.n))
+    want = {}
+    for r in values.value_counts(df).collect():
+        want.setdefault(r["column"], []).append((r.value, r.n))
+    assert got == {name: sorted(found, key=lambda x: (-x[1], x[0]))[:4] for name, found in want.items()}
+    found = heavy.frequent_values(df, ["zipf", "x", "few", "none", "ts"], 4)
+    assert {name for name, _, _ in found.rows} == {"zipf", "few"} and sorted(found.unproved) == ["ts", "x"]
+    assert values._unique_columns(df, ["key", "few"]) == ["key"]
+
+
+def test_a_unique_key_shuffles_few_rows_a_task(spark):
+    plan = plan_of(heavy.smallest_texts(_skewed(spark), ["key"], 3))
+    assert plan.index("WindowGroupLimit") > 0 and "Partial" in plan
+
+
+def test_summaries_count_too_low_by_their_error_at_most(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(heavy, "WAITING", 100)
+    rng = np.random.default_rng(1)
+    summary, all_ = heavy.Summary(40), []
+    for _ in range(60):
+        some = [f"v{int(x)}" for x in rng.zipf(1.3, 50) % 10_000]
+        all_ += some
+        summary.add(pa.array([*some, None]))
+    summary.cut()
+    held = dict(zip(summary.values.to_pylist(), summary.counts.tolist(), strict=True))
+    assert len(held) <= 40 and summary.error > 0
+    for value in set(all_):
+        assert all_.count(value) - summary.error <= held.get(value, 0) <= all_.count(value)
+    monkeypatch.setattr(heavy, "SUMMARY_BYTES", 5000)
+    long = heavy.Summary(40)
+    for i in range(200):
+        long.add(pa.array([f"{i}" * 400, "often"]))
+    long.cut()
+    assert long.values.nbytes <= 5000 and dict(zip(long.values.to_pylist(), long.counts.tolist(), strict=True)).get("often", 0) >= 200 - long.error
+
+
 def test_text_and_boolean_columns(spark):
     df = spark.createDataFrame([("a", True), ("", None), (None, False), ("éé🙂", None)], "t string, b boolean")
     assert tuple(summary.text_statistics(df).first()) == ("t", 3, 1, 0, pytest.approx(4 / 3), 3)
