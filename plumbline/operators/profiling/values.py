@@ -26,6 +26,8 @@ from plumbline.operators.profiling.summary import (
 from plumbline.session import settle
 
 
+# Tables of at most so many rows are grouped by value at once: further passes over them would cost more.
+GROUPED_ROWS = 20_000_000
 # Digests met twice, 16 bytes each, are sent to every executor up to this size.
 BROADCAST_BYTES = 32 << 20
 # Parts that the rows of one digest are joined in, where the digests are too many for that.
@@ -41,11 +43,12 @@ def overview(
     by_values: bool = True,
     duplicate_columns: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    grouped_rows: int = GROUPED_ROWS,
 ) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (rows beyond the first of their kind).
 
     Rows are duplicates if all their values are equal, or those of `duplicate_columns`.
-    They are found in two phases: digests of 8 bytes tell which were met twice, and only
+    Beyond `grouped_rows` they are found in two phases: digests of 8 bytes tell which were met twice, and only
     rows with one of those are moved whole and compared by value; the digests met twice
     are kept in the checkpoint folder, if there is one. With `by_values=False` rows are
     compared by a 16-byte digest instead, which is wrong only in a 128-bit collision.
@@ -56,7 +59,8 @@ def overview(
     compared = duplicate_columns or df.columns
     schema = df.select(*[quoted(c) for c in compared]).schema
     if by_values:
-        copies = _suspects(df, compared, schema, broadcast_bytes).groupBy(*[quoted(c) for c in compared])
+        rows = df.select(*[quoted(c) for c in compared]) if _is_small(df, grouped_rows) else _suspects(df, compared, schema, broadcast_bytes)
+        copies = rows.groupBy(*[quoted(c) for c in compared])
         beyond = copies.agg(F.count(F.lit(1)).alias("__n")).agg(F.sum(F.col("__n") - 1).alias("n_duplicate_rows"))
         totals = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(missing).alias("n_missing_cells"))
         both = totals.unionByName(beyond, allowMissingColumns=True)
@@ -75,6 +79,10 @@ def overview(
     return found.select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_missing_cells", "n_duplicate_rows")
 
 
+def _is_small(df: DataFrame, grouped_rows: int) -> bool:
+    return grouped_rows > 0 and df.count() <= grouped_rows
+
+
 def _suspects(df: DataFrame, compared: list[str], schema: T.StructType, broadcast_bytes: int) -> DataFrame:
     """The rows, with the columns compared, whose digest another row has too."""
     rows = df.select(*[quoted(c) for c in compared])
@@ -116,10 +124,12 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return union_all(counted)
 
 
-def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
+def top_values(
+    df: DataFrame, k: int = 10, columns: list[str] | None = None, grouped_rows: int = GROUPED_ROWS
+) -> DataFrame:
     """The `k` most frequent values per column, ties broken by value.
 
-    Whole numbers that lie close together are first counted as bits: where as many values
+    Up to `grouped_rows` all columns are grouped by value. Beyond that whole numbers that lie close together are first counted as bits: where as many values
     as rows are found, all occur once, and each task hands on its `k` smallest. Other
     columns are summarised in each task, and an exact count of few candidates proves the
     answer. Only columns where that fails are grouped by value, with the rank filter
@@ -128,13 +138,16 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) ->
     names = columns or flat_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint, rank bigint")
-    unique = _unique_columns(df, names)
-    found = frequent_values(df, [name for name in names if name not in unique], k)
-    parts = [df.sparkSession.createDataFrame(found.rows, "column string, value string, n bigint")]
-    if unique:
-        parts.append(smallest_texts(df, unique, k))
-    if found.unproved:
-        parts.append(value_counts(df, found.unproved))
+    if _is_small(df, grouped_rows):
+        parts = [value_counts(df, names)]
+    else:
+        unique = _unique_columns(df, names)
+        found = frequent_values(df, [name for name in names if name not in unique], k)
+        parts = [df.sparkSession.createDataFrame(found.rows, "column string, value string, n bigint")]
+        if unique:
+            parts.append(smallest_texts(df, unique, k))
+        if found.unproved:
+            parts.append(value_counts(df, found.unproved))
     ranking = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     ranked = union_all(parts).withColumn("rank", F.row_number().over(ranking))
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
@@ -152,17 +165,17 @@ def _unique_columns(df: DataFrame, names: list[str]) -> list[str]:
 
 
 def distinct_counts(
-    df: DataFrame, columns: list[str] | None = None, exact: bool = False
+    df: DataFrame, columns: list[str] | None = None, exact: bool = False, grouped_rows: int = GROUPED_ROWS
 ) -> DataFrame:
     """Distinct present values per column: sketched in one pass, or exact.
 
-    Exact counts of whole numbers that lie close together come from bitmaps, in which a
-    value is a bit; others are grouped by value.
+    Exact counts beyond `grouped_rows` rows come from bitmaps, in which a value is a bit, for
+    whole numbers that lie close together; others are grouped by value.
     """
     names = columns or flat_columns(df)
     if not exact:
         return facts_frame(df, distinct_facts(df, names), DISTINCT_SCHEMA, COLUMNS_PER_PASS)
-    close = {name: low for name, (_, low, _) in _whole_ranges(df, names).items()}
+    close = {} if _is_small(df, grouped_rows) else {name: low for name, (_, low, _) in _whole_ranges(df, names).items()}
     parts = [_bit_counts(df, chunk, close) for chunk in chunked(list(close), STRUCTS_PER_SCAN)]
     rest = [name for name in names if name not in close]
     if rest:

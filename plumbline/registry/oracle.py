@@ -550,6 +550,8 @@ ORACLE_SQL: dict[str, str] = {
     "profile_overview_text": OVERVIEW_TEXT,
     "profile_overview_exact": OVERVIEW_TEXT,
     "profile_overview_shuffled": OVERVIEW_TEXT,
+    "profile_overview_suspects": OVERVIEW_TEXT,
+    "profile_topk_proved": TOP,
     "profile_distinct_whole": DISTINCT_WHOLE,
     "profile_missing": MISSING,
     "profile_numeric": NUMERIC,

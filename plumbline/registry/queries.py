@@ -509,7 +509,18 @@ def profile_overview_exact(spark: SparkSession, folder: str) -> DataFrame:
 def profile_overview_shuffled(spark: SparkSession, folder: str) -> DataFrame:
     """The same where the digests met twice are too many to be sent to every executor."""
     documents = table(spark, folder, "documents")
-    return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS), broadcast_bytes=0)
+    return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS), broadcast_bytes=0, grouped_rows=0)
+
+
+def profile_overview_suspects(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with only those rows moved whole whose digest was met twice."""
+    documents = table(spark, folder, "documents")
+    return values.overview(documents, duplicate_columns=list(ALIKE_TEXTS), grouped_rows=0)
+
+
+def profile_topk_proved(spark: SparkSession, folder: str) -> DataFrame:
+    """The most frequent values by task summaries, exact counts of candidates and bitmaps."""
+    return values.top_values(table(spark, folder, "orders"), k=5, grouped_rows=0)
 
 
 def profile_distinct_whole(spark: SparkSession, folder: str) -> DataFrame:
@@ -517,7 +528,7 @@ def profile_distinct_whole(spark: SparkSession, folder: str) -> DataFrame:
     lines = _measures_with_gaps(spark, folder)
     far = (F.col("l_partkey") * 1_000_000_007).alias("far")
     negative = F.nullif(50 - F.col("l_linenumber"), F.lit(45)).cast("smallint").alias("small")
-    return values.distinct_counts(lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", far, negative), exact=True)
+    return values.distinct_counts(lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", far, negative), exact=True, grouped_rows=0)
 
 
 def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
@@ -754,6 +765,8 @@ QUERIES: dict[str, Query] = {
     "profile_overview_text": profile_overview_text,
     "profile_overview_exact": profile_overview_exact,
     "profile_overview_shuffled": profile_overview_shuffled,
+    "profile_overview_suspects": profile_overview_suspects,
+    "profile_topk_proved": profile_topk_proved,
     "profile_distinct_whole": profile_distinct_whole,
     "profile_missing": profile_missing,
     "profile_numeric": profile_numeric,

@@ -190,9 +190,8 @@ def test_top_values_break_ties_by_value(spark):
 
 def test_top_values_rank_inside_tasks_before_the_shuffle(spark, folder):
     df = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderpriority", "o_custkey")
-    assert "WindowGroupLimit" in plan_of(values.top_values(df.select(F.col("o_custkey").cast("timestamp")), 3))
-    plan = plan_of(values.value_counts(df))
-    assert "Partial" in plan or "partial" in plan
+    plan = plan_of(values.top_values(df, 3))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
     assert "ReadSchema: struct<o_orderpriority:string>" in plan
 
@@ -397,18 +396,18 @@ def test_duplicates_are_compared_by_value_where_digests_agree(spark, monkeypatch
     rows = [(i % 40 or None, f"t{i % 3}", float("nan") if i % 5 else -0.0, [i % 2]) for i in range(300)] + [(None, None, 0.0, None)] * 200
     df = spark.createDataFrame(rows, "a int, b string, c double, d array<int>").repartition(3)
     want = values.overview(df, by_values=False).first()
-    assert values.overview(df, broadcast_bytes=broadcast_bytes).first() == want
+    assert values.overview(df, broadcast_bytes=broadcast_bytes, grouped_rows=0).first() == want
     assert want.n_duplicate_rows == 500 - df.distinct().count() > 199
     monkeypatch.setattr(values, "row_digest", short)
-    assert values.overview(df, broadcast_bytes=broadcast_bytes).first() == want
-    assert values.overview(df.limit(0), broadcast_bytes=broadcast_bytes).first() == (0, 4, 0, 0)
+    assert values.overview(df, broadcast_bytes=broadcast_bytes, grouped_rows=0).first() == want
+    assert values.overview(df.limit(0), broadcast_bytes=broadcast_bytes, grouped_rows=0).first() == (0, 4, 0, 0)
 
 
 def test_only_suspects_are_shuffled_whole(spark):
     df = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("text"))
     df = df.unionByName(df.where("id < 7"))
     assert values._suspects(df, df.columns, df.schema, values.BROADCAST_BYTES).count() == 14
-    assert values.overview(df).first().n_duplicate_rows == 7
+    assert values.overview(df, grouped_rows=0).first().n_duplicate_rows == 7 == values.overview(df).first().n_duplicate_rows
 
 
 def test_values_are_counted_as_bits_where_they_lie_close(spark):
@@ -418,7 +417,7 @@ def test_values_are_counted_as_bits_where_they_lie_close(spark):
         (F.col("id") * 30 - 60_000).alias("stretches"),
     )
     assert set(values._whole_ranges(lows, lows.columns)) == {"near", "top", "stretches"}
-    got = {r["column"]: r.n_distinct for r in values.distinct_counts(lows, exact=True).collect()}
+    got = {r["column"]: r.n_distinct for r in values.distinct_counts(lows, exact=True, grouped_rows=0).collect()}
     assert got == {"near": 700, "far": lows.select("far").distinct().count(), "none": 0, "top": 9, "stretches": 4000}
 
 
@@ -441,7 +440,7 @@ def test_top_values_are_those_of_full_counts(spark, monkeypatch):
     monkeypatch.setattr(heavy, "HELD_PER_WANTED", 2)
     monkeypatch.setattr(heavy, "WAITING", 500)
     got = {}
-    for r in values.top_values(df, 4).orderBy("column", "rank").collect():
+    for r in values.top_values(df, 4, grouped_rows=0).orderBy("column", "rank").collect():
         got.setdefault(r["column"], []).append((r.value, r.n))
     want = {}
     for r in values.value_counts(df).collect():
