@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.ordering import from_sort_number, sort_number
+from plumbline.operators.profiling.radix import order_statistics
 from plumbline.operators.sizing import COLLECT_LIMIT_BYTES, dataset_size
 from plumbline.operators.sketches import SAFE_MARGIN, quantile_of, quantile_sketches
 
@@ -47,6 +48,38 @@ def keyed_sample(df: DataFrame, key: Column | str, fraction: float) -> DataFrame
     return df.where(F.conv(prefix, 16, 10).cast("bigint") < F.lit(fraction * 4294967296.0))
 
 
+def draw_number(key: Column, seed: int = 0) -> Column:
+    """The first 60 bits of a key's md5 digest: a random whole number that only key and seed decide."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(NULL_KEY)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def exact_sample(df: DataFrame, k: int, key: Column | str, seed: int = 0) -> DataFrame:
+    """Exactly `k` rows of `df`, or all if there are fewer, drawn by their keys.
+
+    The rows with the `k` smallest random numbers are kept. The k-th number is found by
+    radix selection, so nothing but counts is moved, and the same rows are drawn for any
+    layout and by any engine. Of rows that share the last number, those of one key, the
+    first in order of the columns that can be ordered are kept, so a key should name a
+    row; equal rows can't be told apart and NULL is a key like others.
+    """
+    if k < 0:
+        raise ValueError(f"cannot draw {k} rows")
+    number = draw_number(F.col(key) if isinstance(key, str) else key, seed)
+    drawn = df.select(number.alias("__drawn"))
+    rows = drawn.count()
+    if k >= rows:
+        return df
+    if k == 0:
+        return df.limit(0)
+    edge = order_statistics(drawn, {"__drawn": [k - 1]})["__drawn", k - 1]
+    n_before, n_at = drawn.agg(F.count_if(F.col("__drawn") < edge), F.count_if(F.col("__drawn") == edge)).first()
+    if n_before + n_at == k:
+        return df.where(number <= edge)
+    order = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.where(number < edge).unionAll(ordered_head(df.where(number == edge), k - n_before, order))
+
+
 def ordered_head(
     df: DataFrame, k: int, order_by: list[str], narrow_above: int = NARROW_ABOVE_ROWS
 ) -> DataFrame:
@@ -119,24 +152,29 @@ def reduce_to_budget(
     seed: int | None = None,
     key: Column | str | None = None,
     order_by: list[str] | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Reduce `df` to about `threshold_bytes`.
 
     `sample` keeps a random share of the rows, or with `key` a repeatable share
-    of the keys. `limit` keeps as many rows as fit on average, or with
+    of the keys, with `exact` as many rows as fit on average. `limit` keeps as many rows as fit on average, or with
     `order_by` the first of them in that order. A frame within the threshold
     comes back unchanged. `size` is measured when not given.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
+    if exact and (method != "sample" or key is None):
+        raise ValueError("an exact sample needs the method 'sample' and a key")
     rows = None
     if size is None:
         rows, size = dataset_size(df)
     if size <= threshold_bytes:
         return df
-    if method == "sample":
+    if method == "sample" and not exact:
         fraction = sample_fraction(size, threshold_bytes)
         return df.sample(fraction, seed=seed) if key is None else keyed_sample(df, key, fraction)
     rows = df.count() if rows is None else rows
     k = row_limit(rows, size, threshold_bytes)
+    if exact:
+        return exact_sample(df, k, key, seed or 0)
     return unordered_head(df, k, rows) if order_by is None else ordered_head(df, k, order_by)

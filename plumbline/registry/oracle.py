@@ -522,6 +522,14 @@ ORACLE_SQL: dict[str, str] = {
     "size_exact": SIZE_EXACT,
     "is_oversized": OVERSIZED,
     "reduce_sample_by_key": SAMPLE_BY_KEY,
+    "reduce_sample_exact": """
+        SELECT event_id, user_id, value FROM events
+        ORDER BY ('0x' || substr(md5('5:' || event_id), 1, 15))::BIGINT LIMIT 777""",
+    "reduce_sample_exact_ties": """
+        SELECT customer, o_orderkey FROM (SELECT nullif(o_custkey, 7) AS customer, o_orderkey FROM orders)
+        ORDER BY ('0x' || substr(md5('0:' || coalesce(customer::VARCHAR, 'NULL')), 1, 15))::BIGINT, customer, o_orderkey LIMIT 500""",
+    "save_overwrite_partitions": """
+        SELECT * FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_acctbal > 1000""",
     "reduce_limit_ordered": LIMIT_ORDERED,
     "scan_table": "SELECT * FROM orders",
     "scan_parquet": "SELECT * FROM orders",

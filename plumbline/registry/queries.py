@@ -24,7 +24,7 @@ from plumbline.operators.asof import lookup_as_of
 from plumbline.operators.lookup import lookup_features
 from plumbline.operators.profiling import quantiles, shapes, summary, values
 from plumbline.operators.profiling.columns import facts_frame, present_number, union_all
-from plumbline.operators.reduction import ordered_head, reduce_to_budget, sample_fraction
+from plumbline.operators.reduction import exact_sample, ordered_head, reduce_to_budget, sample_fraction
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
 from plumbline.operators.timestamps import round_timestamps
 from plumbline.plans.provision import EXAMPLE_FRACTION, example_table, provision
@@ -216,6 +216,17 @@ def reduce_sample_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return reduce_to_budget(events, "sample", threshold_bytes=BUDGET_BYTES, key="event_id")
 
 
+def reduce_sample_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly 777 events, drawn by their ids."""
+    return exact_sample(table(spark, folder, "events"), 777, "event_id", seed=5).select("event_id", "user_id", "value")
+
+
+def reduce_sample_exact_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly 500 orders drawn by customer: of the last one the first rows in order of the columns."""
+    orders = table(spark, folder, "orders").select(F.nullif("o_custkey", F.lit(7)).alias("customer"), "o_orderkey")
+    return exact_sample(orders, 500, "customer")
+
+
 def reduce_limit_ordered(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     order = ["o_orderdate", "o_orderkey"]
@@ -438,6 +449,16 @@ def save_partitioned(spark: SparkSession, folder: str) -> DataFrame:
     return _saved(spark, table(spark, folder, "customer"), times=2, partition_by="c_mktsegment")
 
 
+def save_overwrite_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two market segments replaced by richer customers alone, the others left as they were."""
+    name, customer = _name("replaced"), table(spark, folder, "customer")
+    save_as_table(spark, customer, name, table_properties={"partitionBy": "c_mktsegment"})
+    rich = customer.where("c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 1000")
+    for _ in range(2):
+        save_as_table(spark, rich, name, mode="overwrite_partitions")
+    return spark.table(name).select(*customer.columns)
+
+
 def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = table(spark, folder, "lineitem")
     path = scratch_path(spark, "export")
@@ -733,6 +754,8 @@ QUERIES: dict[str, Query] = {
     "is_oversized": oversized,
     "reduce_sample_by_key": reduce_sample_by_key,
     "reduce_sample_by_key_nulls": reduce_sample_by_key_nulls,
+    "reduce_sample_exact": reduce_sample_exact,
+    "reduce_sample_exact_ties": reduce_sample_exact_ties,
     "reduce_limit_ordered": reduce_limit_ordered,
     "reduce_limit_narrowed": reduce_limit_narrowed,
     "reduce_sample": reduce_sample,
@@ -759,6 +782,7 @@ QUERIES: dict[str, Query] = {
     "save_roundtrip": save_roundtrip,
     "save_append_twice": save_append_twice,
     "save_partitioned": save_partitioned,
+    "save_overwrite_partitions": save_overwrite_partitions,
     "export_roundtrip": export_roundtrip,
     "provision_counts": provision_counts,
     "profile_overview": profile_overview,

@@ -8,12 +8,15 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.functions.names import quoted
 from plumbline.session import ARROW, session_setting
 
 # Where a name with fewer than three parts belongs.
 DEFAULT_CATALOG = "spark_catalog"
 DEFAULT_SCHEMA = "default"
 
+OVERWRITE_PARTITIONS = "overwrite_partitions"
+
 
 class TableName(NamedTuple):
     catalog: str
@@ -69,6 +72,11 @@ def save_as_table(
 ) -> None:
     """Save a frame as a catalog table.
 
+    Beside Spark's modes there is `overwrite_partitions`: the partitions that the frame has
+    rows for are replaced and all others stay. Spark stages the files and moves them when
+    all are written, so a job that fails before leaves the table as it was, and one run
+    again gives the same table. A table that isn't there is created.
+
     `partitionBy` in `table_properties` names the partition columns; an append
     without it keeps the layout the table has. All other entries are writer
     options. `create_requirements` creates the schema first.
@@ -84,11 +92,28 @@ def save_as_table(
     layout = [layout] if isinstance(layout, str) else list(layout)
     if create_requirements:
         create_schema(spark, schema=name.schema, catalog=name.catalog)
+    replace = mode == OVERWRITE_PARTITIONS and spark.catalog.tableExists(table_name)
+    if mode == OVERWRITE_PARTITIONS:
+        has = partition_columns(spark, table_name)
+        if replace and (not has or layout not in ([], has)):
+            raise ValueError(f"{table_name!r} is partitioned by {has}, not by {layout}")
+        layout = layout or has
+        if not layout:
+            raise ValueError(f"name the partition columns of {table_name!r}")
     if not layout and mode == "append":
         layout = partition_columns(spark, table_name)
     if layout and rebalance:
         df = df.hint("rebalance", *layout)
-    writer = df.write.mode(mode).options(**options)
+    if replace:
+        # Rows are inserted by position, the partition columns last.
+        names = spark.table(table_name).columns
+        if sorted(names) != sorted(df.columns):
+            raise ValueError(f"{table_name!r} has columns {names}, the rows {df.columns}")
+        writer = df.select(*[quoted(name) for name in names]).write.options(**options)
+        with session_setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            writer.insertInto(table_name, overwrite=True)
+        return
+    writer = df.write.mode("errorifexists" if mode == OVERWRITE_PARTITIONS else mode).options(**options)
     if layout:
         writer = writer.partitionBy(*layout)
     writer.saveAsTable(table_name)

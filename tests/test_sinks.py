@@ -181,3 +181,31 @@ def test_example_table_is_repeatable(spark, folder):
     assert sorted(one.collect()) == sorted(two.collect())
     assert 0 < one.count() < events.count()
     assert one.agg(F.count_if(F.second("slot") != 0)).first()[0] == 0
+
+
+def test_only_partitions_with_rows_are_overwritten(spark, fresh):
+    name = fresh()
+    first = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 3), (4, None, 4)], "i int, p string, q int")
+    with pytest.raises(ValueError, match="name the partition columns"):
+        save_as_table(spark, first, name, mode="overwrite_partitions")
+    save_as_table(spark, first, name, mode="overwrite_partitions", table_properties={"partitionBy": "p"})
+    second = spark.createDataFrame([("a", 9, 10), ("c", 8, 11), (None, 7, 12)], "p string, q int, i int")
+    for _ in range(2):
+        save_as_table(spark, second, name, mode="overwrite_partitions")
+        assert {(r.i, r.p, r.q) for r in spark.table(name).collect()} == {(10, "a", 9), (11, "c", 8), (12, None, 7), (3, "b", 3)}
+    save_as_table(spark, second.limit(0), name, mode="overwrite_partitions")
+    assert spark.table(name).count() == 4
+    with pytest.raises(ValueError, match="partitioned by"):
+        save_as_table(spark, second, name, mode="overwrite_partitions", table_properties={"partitionBy": "q"})
+    with pytest.raises(ValueError, match="has columns"):
+        save_as_table(spark, second.drop("i"), name, mode="overwrite_partitions")
+
+
+def test_a_failed_overwrite_of_partitions_leaves_the_table_as_it_was(spark, fresh):
+    name = fresh()
+    rows = spark.range(100).select("id", (F.col("id") % 4).alias("p"))
+    save_as_table(spark, rows, name, table_properties={"partitionBy": "p"})
+    broken = rows.repartition(4).withColumn("id", F.when(F.col("id") == 97, F.raise_error("no")).otherwise(F.col("id") + 1000).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        save_as_table(spark, broken, name, mode="overwrite_partitions")
+    assert sorted(r.id for r in spark.table(name).collect()) == list(range(100))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import dataset_size, estimate_size, is_oversized, measure, reduce_to_budget
 from plumbline.functions.rowbytes import row_width
 from plumbline.operators.reduction import (
+    exact_sample,
     keyed_sample,
     ordered_head,
     row_limit,
@@ -216,3 +217,31 @@ def test_large_variants_are_measured_and_other_unknown_types_refused(spark):
     interval = spark.sql("SELECT make_interval(1, 2, 3) AS i")
     with pytest.raises(TypeError, match="no size is known"):
         dataset_size(interval)
+
+
+@pytest.mark.parametrize("k", [0, 1, 500, 1999, 3000])
+def test_exact_samples_have_exactly_k_rows_whatever_the_layout(spark, k):
+    df = spark.range(2000).select("id", (F.col("id") * 2).alias("twice"))
+    one = sorted(r.id for r in exact_sample(df.repartition(7), k, "id", seed=3).collect())
+    two = sorted(r.id for r in exact_sample(df.orderBy(F.desc("id")).coalesce(1), k, "id", seed=3).collect())
+    assert one == two and len(one) == min(k, 2000)
+    if 0 < k < 1999:
+        assert one != sorted(r.id for r in exact_sample(df, k, "id", seed=4).collect())
+
+
+def test_exact_samples_are_even(spark):
+    drawn = [r.id for r in exact_sample(spark.range(20_000), 5000, "id").collect()]
+    assert all(1100 < sum(at <= i < at + 5000 for i in drawn) < 1400 for at in range(0, 20_000, 5000))
+
+
+def test_exact_samples_of_repeated_keys(spark):
+    df = spark.createDataFrame([(i % 3 or None, i, {"a": 1}) for i in range(90)], "k int, i int, m map<string,int>")
+    for k in (5, 41, 89):
+        got = exact_sample(df, k, "k").collect()
+        assert len(got) == k == len({r.i for r in got})
+    with pytest.raises(ValueError, match="cannot draw"):
+        exact_sample(df, -1, "k")
+    with pytest.raises(ValueError, match="needs"):
+        reduce_to_budget(df, exact=True)
+    some = reduce_to_budget(df, size=900, threshold_bytes=300, key="i", exact=True)
+    assert some.count() == 30
