@@ -272,6 +272,15 @@ CORRELATION = MEASURES_CTE + " UNION ALL ".join(
     for a, b in PAIRS
 )
 
+def _rank(c: str) -> str:
+    among = f"OVER (PARTITION BY {c} IS NULL ORDER BY {c})"
+    return f"CASE WHEN {c} IS NOT NULL THEN rank() {among} + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE END AS {c}"
+
+
+RANK_CORRELATION = MEASURES_CTE + f", r AS MATERIALIZED (SELECT {', '.join(map(_rank, MEASURES))} FROM m) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM r" for a, b in PAIRS
+)
+
 PAIR_BINS = BUCKETS_CTE + " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, CAST({a} AS BIGINT) AS bucket_a, "
     f"CAST({b} AS BIGINT) AS bucket_b, count(*) AS n FROM b "
@@ -568,6 +577,8 @@ ORACLE_SQL: dict[str, str] = {
     "profile_topk": TOP,
     "profile_histogram": HISTOGRAM,
     "profile_correlation": CORRELATION,
+    "profile_rank_correlation": RANK_CORRELATION,
+    "profile_rank_correlation_joined": RANK_CORRELATION,
     "profile_datetime": DATETIME,
     "pair_bins": PAIR_BINS,
     "profile_report": _report(),

@@ -22,7 +22,7 @@ from plumbline.functions.timegrid import (
 )
 from plumbline.operators.asof import lookup_as_of
 from plumbline.operators.lookup import lookup_features
-from plumbline.operators.profiling import quantiles, shapes, summary, values
+from plumbline.operators.profiling import quantiles, ranks, shapes, summary, values
 from plumbline.operators.profiling.columns import facts_frame, present_number, union_all
 from plumbline.operators.reduction import exact_sample, ordered_head, reduce_to_budget, sample_fraction
 from plumbline.operators.sizing import dataset_size, estimate_size, is_oversized, measure
@@ -673,6 +673,11 @@ def profile_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(summary.correlations(_measures_with_gaps(spark, folder)), correlation=6)
 
 
+def profile_rank_correlation(spark: SparkSession, folder: str, broadcast_values: int = ranks.BROADCAST_VALUES) -> DataFrame:
+    found = ranks.rank_correlations(_measures_with_gaps(spark, folder), broadcast_values=broadcast_values)
+    return _rounded(found, correlation=6)
+
+
 def profile_datetime(spark: SparkSession, folder: str) -> DataFrame:
     return union_all(
         summary.temporal_ranges(table(spark, folder, name))
@@ -805,6 +810,8 @@ QUERIES: dict[str, Query] = {
     "profile_topk": profile_topk,
     "profile_histogram": profile_histogram,
     "profile_correlation": profile_correlation,
+    "profile_rank_correlation": profile_rank_correlation,
+    "profile_rank_correlation_joined": partial(profile_rank_correlation, broadcast_values=0),
     "profile_datetime": profile_datetime,
     "pair_bins": pair_bins,
     "pair_bins_mixed": pair_bins_mixed,

@@ -84,6 +84,13 @@ def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as Parquet under the shared folder and read back: it is never computed again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a small derived frame that is used several times.
 

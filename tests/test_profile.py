@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import profile
 from plumbline.functions.digest import row_digest
 from plumbline.operators.profiling.columns import facts_frame
-from plumbline.operators.profiling import columns, dense, heavy, quantiles, radix, shapes, summary, values
+from plumbline.operators.profiling import columns, dense, heavy, quantiles, radix, ranks, shapes, summary, values
 from tests.conftest import plan_of
 
 NAN = float("nan")
@@ -479,6 +479,40 @@ def test_summaries_count_too_low_by_their_error_at_most(monkeypatch):
     assert long.values.nbytes <= 5000 and dict(zip(long.values.to_pylist(), long.counts.tolist(), strict=True)).get("often", 0) >= 200 - long.error
 
 
+@pytest.mark.parametrize("broadcast_values", [10**6, 0])
+def test_rank_correlations_agree_with_pandas(spark, broadcast_values):
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = rng.normal(size=n)
+    frame = pd.DataFrame(
+        {"x": x, "cubed": x**3, "hot": np.where(rng.random(n) < 0.5, 0.0, rng.integers(-20, 20, n)), "flat": 1.0,
+         "signed": np.where(x < 0, -0.0, np.abs(np.round(x)))}
+    )
+    df = spark.createDataFrame([tuple(map(float, r)) for r in frame.itertuples(index=False)], ", ".join(f"{c} double" for c in frame))
+    got = {(r.column_a, r.column_b): r.correlation for r in ranks.rank_correlations(df.repartition(6), broadcast_values=broadcast_values).collect()}
+    want = frame.corr("spearman")
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        assert r is None if "flat" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_average_ranks_run_over_all_ranges(spark, setting):
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(0, 5000, 1, 3).select(F.floor(F.sqrt("id")).alias("v")).unionAll(spark.range(7).select(F.lit(None).cast("bigint")))
+    found = ranks.average_ranks(df, "v")
+    got = {r.value: r["rank"] for r in found.collect()}
+    held = sorted(r.v for r in df.dropna().collect())
+    assert got == {v: held.index(v) + (held.count(v) + 1) / 2 for v in set(held)}
+    assert "SinglePartition" not in plan_of(found)
+
+
+def test_odd_columns_have_rank_correlations_or_none(spark, odd):
+    assert ranks.rank_correlations(odd.select("s")).count() == 0
+    assert ranks.rank_correlations(odd.where("false")).where("correlation IS NOT NULL").count() == 0
+
+
 def test_text_and_boolean_columns(spark):
     df = spark.createDataFrame([("a", True), ("", None), (None, False), ("éé🙂", None)], "t string, b boolean")
     assert tuple(summary.text_statistics(df).first()) == ("t", 3, 1, 0, pytest.approx(4 / 3), 3)
