@@ -42,7 +42,7 @@ CACHED_WORDS = 200_000
 # Words longer than this are looked up each time they are met.
 CACHED_CHARS = 64
 # Sets of the automaton that a worker keeps; beyond that it begins again.
-MOST_SETS = 20_000
+MOST_SETS = 100_000
 FEATURES = 9
 # Weights where the training rows say nothing: hits outside quotation marks count most.
 PRIOR = (1.5, 1.5, 1.5, 0.3, 0.3, 0.3, 0.5, 0.2, 1.0)
