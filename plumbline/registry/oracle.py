@@ -418,7 +418,7 @@ UNION ALL SELECT 'price', count(price), {exact_sql('price', True)} FROM m
 LARGE_CTE = """
 WITH a AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(30, 10)) - CAST(100000 AS DECIMAL(30, 10)) AS amount FROM orders),
 m AS MATERIALIZED (
-  SELECT (o_orderkey - 3000) * 900719925474099 AS large_key,
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 9007199254740993 ELSE -9007199254740993 - o_orderkey END AS large_key,
          CAST(amount + CAST('12345678901234567.0123456789' AS DECIMAL(30, 10)) AS DECIMAL(38, 10)) AS amount,
          CAST(nullif(amount, 0) AS DECIMAL(38, 10)) AS signed FROM a)
 """

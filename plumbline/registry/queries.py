@@ -577,9 +577,10 @@ def profile_quantiles_narrowed(spark: SparkSession, folder: str) -> DataFrame:
 
 def _large_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Whole numbers and decimals beyond what a double holds, some of them negative."""
+    large = F.lit(9007199254740993)
     amount = F.col("o_totalprice").cast("decimal(30,10)") - F.lit(100000).cast("decimal(30,10)")
     return table(spark, folder, "orders").select(
-        ((F.col("o_orderkey") - 3000) * F.lit(900719925474099)).alias("large_key"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + large).otherwise(-large - F.col("o_orderkey")).alias("large_key"),
         (amount + F.lit("12345678901234567.0123456789").cast("decimal(30,10)")).cast("decimal(38,10)").alias("amount"),
         F.nullif(amount, F.lit(0)).cast("decimal(38,10)").alias("signed"),
     )
