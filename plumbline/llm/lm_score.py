@@ -35,8 +35,6 @@ from plumbline.llm.text_arrays import SPACED, mix, pieces, word_hashes, words
 # Tokens of a block and bytes of text that a range stands for, about.
 BLOCK_TOKENS = 1_000_000
 RANGE_BYTES = 8 << 20
-# The training documents of this fold teach the weights, their own counts deleted.
-WEIGHT_FOLD = 2
 HELD_OUT_FOLD = 1
 BUCKETS = 16
 # Estimates are put in cells of a tenth of a decade when the weights are learned.
@@ -251,10 +249,11 @@ def _cell(p: np.ndarray) -> np.ndarray:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch], place: str, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of all training documents by the cells of their estimates, each document's own counts deleted."""
     total = np.zeros(BUCKETS * CELLS * CELLS, dtype=np.int64)
     for x in _ready(batches, place):
         docs = np.repeat(np.arange(len(x.block.folds)), np.diff(x.block.offsets))
-        learn = np.repeat(x.block.folds == WEIGHT_FOLD, np.diff(x.block.offsets))
+        learn = np.repeat(x.block.folds != HELD_OUT_FOLD, np.diff(x.block.offsets))
         docs = docs[learn]
 
         def own(values: np.ndarray, docs: np.ndarray = docs) -> np.ndarray:

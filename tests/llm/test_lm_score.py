@@ -46,6 +46,53 @@ def test_base_scores_are_exact_and_the_model_is_better(documents, rows, monkeypa
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def _model(rows):
+    """Scores by plain counting, with weights from the cells of every training document without its own counts."""
+    texts = [(i is None or fold(i) == 1, [*spaced_words(t), "END"]) for i, t in rows]
+
+    def counts(ws):
+        return Counter(ws), Counter(zip(["BEGIN", *ws], ws, strict=False)), Counter(["BEGIN", *ws[:-1]])
+
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    for held, ws in texts:
+        if not held:
+            for total, own in zip((uni, bi, ctx), counts(ws), strict=True):
+                total.update(own)
+    tokens, types = sum(uni.values()), len(uni)
+    cells = Counter()
+    for held, ws in texts:
+        if held:
+            continue
+        u, b, c = counts(ws)
+        for before, w in zip(["BEGIN", *ws], ws, strict=False):
+            context = ctx[before] - c[before]
+            p1 = (uni[w] - u[w]) / max(tokens - len(ws), 1)
+            p2 = (bi[before, w] - b[before, w]) / context if context else 0.0
+            cell = [int(L._cell(np.array([p]))[0]) for p in (p1, p2)]
+            cells[(int(L.bucket(np.array([context]))[0]) * L.CELLS + cell[0]) * L.CELLS + cell[1]] += 1
+    names = sorted(cells)
+    weights = L.expectation_maximisation(np.array(names), np.array([cells[k] for k in names]), types)
+    out = []
+    for _, ws in texts:
+        score = 0.0
+        for before, w in zip(["BEGIN", *ws], ws, strict=False):
+            x = weights[int(L.bucket(np.array([ctx[before]]))[0])]
+            score += math.log10(x[0] / (types + 1) + x[1] * uni[w] / tokens + x[2] * bi[before, w] / max(ctx[before], 1))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("folds", [{0, 1, 2, 3, 4}, {0, 1}])
+def test_scores_are_those_of_plain_counting(documents, rows, monkeypatch, folds):
+    monkeypatch.setattr(L, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(L, "RANGE_BYTES", 3_000)
+    some = [r for r in rows if fold(r[0]) in folds] + [(2001, None), (2002, "a b a"), (2002, "a b a")]
+    found = sorted((r.doc_id, r.score) for r in L.scores(documents(some).repartition(3)).collect())
+    want = sorted((i, s) for (i, _), s in zip(some, _model(some), strict=True))
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert all(math.isclose(a, b, abs_tol=1e-6) for (_, a), (_, b) in zip(found, want, strict=True))
+
+
 def test_probabilities_of_different_texts_add_up_to_less_than_one(documents):
     train = [(i, "a b a c a b") for i in range(40) if fold(i) != 1]
     texts = ["", "a", "b", "a b", "a c", "a new", "new", "a b a c a b"]
