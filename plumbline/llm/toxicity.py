@@ -41,8 +41,8 @@ WINDOW = 5
 CACHED_WORDS = 200_000
 # Words longer than this are looked up each time they are met.
 CACHED_CHARS = 64
-# Sets of the automaton that a worker keeps; beyond that it begins again.
-MOST_SETS = 100_000
+# Sets of the automaton that a worker keeps; those met later are made again each time.
+MOST_SETS = 60_000
 FEATURES = 9
 # Weights where the training rows say nothing: hits outside quotation marks count most.
 PRIOR = (1.5, 1.5, 1.5, 0.3, 0.3, 0.3, 0.5, 0.2, 1.0)
@@ -110,16 +110,12 @@ class Automaton:
 
     def __init__(self, trie: Trie) -> None:
         self.trie = trie
-        self.forget()
-
-    def forget(self) -> None:
-        """Begin again with no set but the first: answers are the same."""
         self.sets: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         # The nearest stem that ends in each set, if any does.
         self.near_stem: list[tuple[int, str] | None] = []
-        self.start = self._number(self._closed({(0, 0, "")}))
+        self.start = self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, states: set) -> frozenset:
         """With the letters of a term that a word may leave out; only the fewest edits kept."""
@@ -134,25 +130,34 @@ class Automaton:
                 todo += [(child, edits + 1, "") for child in self.trie.children[node].values()]
         return frozenset((node, edits, awaited) for (node, awaited), edits in best.items())
 
-    def _number(self, states: frozenset) -> int:
+    def _nearest_stem(self, states: frozenset) -> tuple[int, str] | None:
+        ends = self.trie.stem
+        found = [
+            (edits, ends[node])
+            for node, edits, awaited in states
+            if not awaited and node in ends and edits <= self.trie.stem_edits[ends[node]]
+        ]
+        return min(found) if found else None
+
+    def _state(self, states: frozenset) -> int | frozenset:
+        """The number of a set that is kept (-1 for the empty one), or a set that there was no room for."""
         if not states:
             return -1
         if states not in self.numbers:
+            if len(self.sets) >= MOST_SETS:
+                return states
             self.numbers[states] = len(self.sets)
             self.sets.append(states)
             self.moves.append({})
-            ends = self.trie.stem
-            found = [
-                (edits, ends[node])
-                for node, edits, awaited in states
-                if not awaited and node in ends and edits <= self.trie.stem_edits[ends[node]]
-            ]
-            self.near_stem.append(min(found) if found else None)
+            self.near_stem.append(self._nearest_stem(states))
         return self.numbers[states]
 
-    def _move(self, number: int, char: str) -> int:
+    def _members(self, state: int | frozenset) -> frozenset:
+        return self.sets[state] if isinstance(state, int) else state
+
+    def _move(self, state: int | frozenset, char: str) -> int | frozenset:
         children, out = self.trie.children, set()
-        for node, edits, awaited in self.sets[number]:
+        for node, edits, awaited in self._members(state):
             if awaited:
                 if char == awaited:
                     out.add((node, edits, ""))
@@ -165,23 +170,30 @@ class Automaton:
                     out.add((child, edits + 1, ""))
                     if label != char and char in children[child]:
                         out.add((children[child][char], edits + 1, label))
-        return self._number(self._closed(out))
+        return self._state(self._closed(out))
 
-    def _step(self, state: int, char: str) -> int:
+    def _step(self, state: int | frozenset, char: str) -> int | frozenset:
+        if not isinstance(state, int):
+            return self._move(state, char)
         moves = self.moves[state]
-        return moves[char] if char in moves else moves.setdefault(char, self._move(state, char))
+        if char in moves:
+            return moves[char]
+        found = self._move(state, char)
+        if isinstance(found, int):
+            moves[char] = found
+        return found
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest word term within its edits, ties by the term itself."""
         state = self.start
         for char in word:
             state = self._step(state, char)
-            if state < 0:
+            if state == -1:
                 return None
         ends = self.trie.word
         found = [
             (edits, ends[node])
-            for node, edits, awaited in self.sets[state]
+            for node, edits, awaited in self._members(state)
             if not awaited and node in ends and edits <= self.trie.edits[ends[node]]
         ]
         return min(found)[::-1] if found else None
@@ -191,9 +203,9 @@ class Automaton:
         state, best = self.start, None
         for char in word:
             state = self._step(state, char)
-            if state < 0:
+            if state == -1:
                 break
-            near = self.near_stem[state]
+            near = self.near_stem[state] if isinstance(state, int) else self._nearest_stem(state)
             best = near if best is None else best if near is None else min(best, near)
         return best[::-1] if best else None
 
@@ -234,8 +246,6 @@ class Finder:
 
     def look_up(self, word: str) -> tuple[int, float] | None:
         """(0 exact, 1 stem or 2 misspelled, of words and stems; weight) of a word, or None."""
-        if len(self.automaton.sets) > MOST_SETS:
-            self.automaton.forget()
         found = self.automaton.match(word) if self.lexicon.words else None
         if found and found[1] == 0:
             out = (0, self.lexicon.words[found[0]])

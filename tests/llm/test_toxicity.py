@@ -138,11 +138,8 @@ def test_the_automaton_stays_bounded_and_its_answers_the_same(monkeypatch):
     free = [T.Finder(lexicon).look_up(w) for w in words]
     monkeypatch.setattr(T, "MOST_SETS", 200)
     finder = T.Finder(lexicon)
-    most = 0
-    for word, want in zip(words, free, strict=True):
-        assert finder.look_up(word) == want
-        most = max(most, len(finder.automaton.sets))
-    assert most < 200 + 40 and max(map(len, finder.known)) <= T.CACHED_CHARS
+    assert [finder.look_up(w) for w in words] == free
+    assert len(finder.automaton.sets) == 200 and max(map(len, finder.known)) <= T.CACHED_CHARS
 
 
 def test_many_hits_and_quotations_take_time_in_proportion():
