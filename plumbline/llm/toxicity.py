@@ -300,6 +300,20 @@ class Finder:
         ]
 
 
+_KEPT: dict[str, object] = {}
+
+
+def finder_of(lexicon: Lexicon) -> Finder:
+    """The finder of a worker process: one for the same terms, made for an earlier task, goes on."""
+    terms = (lexicon.words, lexicon.stems, lexicon.misspelled)
+    if _KEPT.get("terms") != terms:
+        _KEPT.update(terms=terms, finder=Finder(lexicon))
+    found = _KEPT["finder"]
+    # Matches depend on the terms alone, the features on the context words too.
+    found.lexicon = lexicon
+    return found
+
+
 class Model(NamedTuple):
     lexicon: Lexicon
     weights: np.ndarray
@@ -432,17 +446,10 @@ def fit(rows: DataFrame) -> Model:
     lexicon = lexicon_of(_significant(rows, _terms, totals, TERM_Z, both=False)) if min(totals) else Lexicon({}, {}, {})
 
     def context(text: str) -> set[tuple[int, str]]:
-        return {(0, w) for hit in finder().hits(text)[0] for w in hit.near}
-
-    made: list[Finder] = []
-
-    def finder() -> Finder:
-        if not made:
-            made.append(Finder(lexicon))
-        return made[0]
+        return {(0, w) for hit in finder_of(lexicon).hits(text)[0] for w in hit.near}
 
     def any_hit(text: str) -> list[tuple[int, str]]:
-        return [(0, "")] if finder().hits(text)[0] else []
+        return [(0, "")] if finder_of(lexicon).hits(text)[0] else []
 
     around = []
     if lexicon.words or lexicon.stems:
@@ -454,7 +461,7 @@ def fit(rows: DataFrame) -> Model:
     lexicon = lexicon._replace(context=told)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Finder(lexicon)
+        found = finder_of(lexicon)
         for batch in batches:
             values = [found.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"f": pa.array(values, pa.list_(pa.float64())), "toxic": batch.column("toxic")})
@@ -476,7 +483,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Finder(model.lexicon)
+        found = finder_of(model.lexicon)
         for batch in batches:
             x = np.array([found.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             z = np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)

@@ -153,3 +153,14 @@ def test_many_hits_and_quotations_take_time_in_proportion():
 
     seconds(100)
     assert seconds(40_000) < 30 * max(seconds(4_000), 0.02)
+
+
+def test_a_worker_keeps_the_matches_of_the_same_terms():
+    one = T.Lexicon({"idiot": 4.0}, {}, {}, frozenset({"idiot"}))
+    first = T.finder_of(one)
+    first.hits("idoit")
+    again = T.finder_of(one._replace(words=dict(one.words), context={"said": -1.5}))
+    assert again is first and "idoit" in again.known and again.lexicon.context
+    assert again.features("one said idiot")[6] < 0
+    other = T.finder_of(one._replace(words={"idiot": 2.0}))
+    assert other is not first and other.look_up("idiot") == (0, 2.0)
