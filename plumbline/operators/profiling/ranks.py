@@ -7,7 +7,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.profiling.columns import numeric_columns, present
+from plumbline.operators.profiling.columns import aggregate_values, numeric_columns, present
+from plumbline.operators.profiling.packed_ranks import packable, put_ranks
 from plumbline.operators.profiling.summary import correlations
 from plumbline.session import stored
 
@@ -60,14 +61,27 @@ def rank_correlations(df: DataFrame, columns: list[str] | None = None, broadcast
 
     Every value is ranked among the present values of its column, ties by their average
     rank, and the ranks of the rows where both values are present are correlated. NULL and
-    NaN are missing; with a constant the correlation is NULL. Values held by many rows are
-    joined to their ranks apart, so that no task gets all of them.
+    NaN are missing; with a constant the correlation is NULL. Columns of at most about
+    `broadcast_values` different values have their ranks sent to every executor. For the
+    others blocks of rows ask ranges of the values for the ranks (see `packed_ranks`), so
+    that all such columns take one shuffle of packed rows. Decimals of over 18 digits are
+    joined to their ranks column by column, values held by many rows apart.
     """
     names = sorted(columns or numeric_columns(df))
     if len(names) < 2:
         return correlations(df, names)
     rows = df.select(*[present(df, name).alias(f"c{i}") for i, name in enumerate(names)])
-    for i in range(len(names)):
-        rows = _with_ranks(rows, f"c{i}", stored(average_ranks(df, names[i]), "value-ranks"), broadcast_values)
-    ranked = stored(rows.toDF(*names), "ranks")
+    facts = [f for c in rows.columns for f in (F.count(c), F.approx_count_distinct(c, 0.02))]
+    found = aggregate_values(rows, facts)
+    counts, distinct = dict(zip(rows.columns, found[::2], strict=True)), dict(zip(rows.columns, found[1::2], strict=True))
+    few = [c for c in rows.columns if distinct[c] <= broadcast_values]
+    wide = [c for c in rows.columns if c not in few and not packable(rows.schema[c].dataType)]
+    for c in few:
+        # The number is an estimate, so there may be some more.
+        rows = _with_ranks(rows, c, stored(average_ranks(df, names[int(c[1:])]), "value-ranks"), 2 * broadcast_values)
+    for c in wide:
+        # Written, since found and joined rows come from the same ones, twice as many scans with every column.
+        rows = stored(_with_ranks(rows, c, stored(average_ranks(df, names[int(c[1:])]), "value-ranks"), broadcast_values), "joined-ranks")
+    rest = {c: counts[c] for c in rows.columns if c not in few and c not in wide}
+    ranked = stored((put_ranks(rows, rest) if rest else rows).toDF(*names), "ranks")
     return correlations(ranked, names)

@@ -498,6 +498,68 @@ def test_rank_correlations_agree_with_pandas(spark, broadcast_values):
         assert r is None if "flat" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
 
 
+def test_rows_are_not_scanned_again_for_every_ranked_column(spark, monkeypatch):
+    plans = {}
+    keep = ranks.stored
+
+    def stored(df, label):
+        plans[label] = plan_of(df)
+        return keep(df, label)
+
+    monkeypatch.setattr(ranks, "stored", stored)
+    df = spark.range(2000).select(*[((F.col("id") * 7919 + i) % (900 + i)).alias(f"v{i}") for i in range(5)])
+    assert ranks.rank_correlations(df, broadcast_values=0).count() == 10
+    assert plans["ranks"].count("FileScan parquet") <= 2
+
+
+@pytest.mark.parametrize("broadcast_values", [100, 0])
+def test_ranks_of_every_type_from_many_blocks_and_ranges(spark, monkeypatch, broadcast_values):
+    from decimal import Decimal
+
+    from plumbline.operators.profiling import packed_ranks
+
+    rng = np.random.default_rng(4)
+    n = 2500
+    price = rng.integers(-5000, 5000, n)
+    x = np.where(rng.random(n) < 0.2, -0.0, rng.normal(size=n))
+    x[:2] = [np.inf, -np.inf]
+    columns = {
+        "near": (9007199254740993 + rng.integers(0, 900, n)).tolist(), "small": rng.integers(-3, 3, n).tolist(),
+        "price": [Decimal(int(v)).scaleb(-2) for v in price], "wide": [Decimal(int(v)).scaleb(-2) for v in price * 7],
+        "zeros": np.where(x > 1, 0.0, x).tolist(), "x": x.tolist(),
+    }
+    for name in ("near", "price", "zeros"):
+        columns[name] = [None if gap else v for gap, v in zip(rng.random(n) < 0.1, columns[name], strict=True)]
+    types = ["bigint", "int", "decimal(18,2)", "decimal(38,2)", "double", "double"]
+    rows = [*zip(*columns.values(), strict=True), (None, None, None, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(columns, types, strict=True)))
+    monkeypatch.setattr(packed_ranks, "RANGE_ROWS", 300)
+    given = packed_ranks.put_ranks
+    cuts = []
+
+    def put_ranks(rows, counts):
+        cuts.append(counts)
+        return given(rows, counts)
+
+    monkeypatch.setattr(ranks, "put_ranks", put_ranks)
+    got = {(r.column_a, r.column_b): r.correlation for r in ranks.rank_correlations(df.repartition(7), broadcast_values=broadcast_values).collect()}
+    assert max(cuts[0].values()) > 4 * packed_ranks.RANGE_ROWS
+
+    def placed(values):
+        held = sorted(v for v in values if v is not None)
+        first, last = {}, {}
+        for i, v in enumerate(held, start=1):
+            first.setdefault(v, i)
+            last[v] = i
+        return [np.nan if v is None else (first[v] + last[v]) / 2 for v in values]
+
+    want = {name: np.array(placed(values)) for name, values in columns.items()}
+    assert len(got) == 15
+    for (a, b), r in got.items():
+        both = ~np.isnan(want[a]) & ~np.isnan(want[b])
+        assert r == pytest.approx(np.corrcoef(want[a][both], want[b][both])[0, 1], abs=1e-9)
+
+
 def test_average_ranks_run_over_all_ranges(spark, setting):
     setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
     df = spark.range(0, 5000, 1, 3).select(F.floor(F.sqrt("id")).alias("v")).unionAll(spark.range(7).select(F.lit(None).cast("bigint")))
