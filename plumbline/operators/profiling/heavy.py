@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.names import quoted
 from plumbline.operators.profiling.columns import FLOATING, present
 
 # Values that a task's summary of a column holds, for each value wanted and at least.
@@ -23,7 +22,8 @@ CANDIDATES_PER_WANTED = 10
 WAITING = 1 << 16
 SUMMARY_BYTES = 8 << 20
 
-SUMMARY_SCHEMA = "id int, value string, n bigint, error bigint"
+SUMMARY_SCHEMA = "id int, text string, whole bigint, real double, n bigint, error bigint"
+KINDS = {"text": pa.string(), "whole": pa.int64(), "real": pa.float64()}
 
 
 class Summary:
@@ -33,9 +33,9 @@ class Summary:
     off all counts and what is left without one is dropped (after Misra and Gries).
     """
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, dtype: pa.DataType = KINDS["text"]) -> None:
         self.most, self.error = most, 0
-        self.values, self.counts = pa.array([], pa.string()), np.empty(0, np.int64)
+        self.values, self.counts = pa.array([], dtype), np.empty(0, np.int64)
         self.waiting: list[tuple[pa.Array, np.ndarray]] = []
         self.n_waiting = 0
 
@@ -80,6 +80,17 @@ def as_text(df: DataFrame, name: str) -> Column | None:
     return value.cast("string") if isinstance(dtype, plain) else None
 
 
+def _countable(df: DataFrame, name: str) -> tuple[str, Column] | None:
+    """A column's values as they are counted, and their kind: whole numbers and doubles are made text only where listed."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.IntegralType):
+        return "whole", present(df, name).cast("bigint")
+    if isinstance(dtype, T.DoubleType):
+        return "real", present(df, name) + F.lit(0.0)
+    text = as_text(df, name)
+    return None if text is None else ("text", text)
+
+
 def frequent_values(df: DataFrame, names: list[str], k: int) -> Found:
     """The `k` most frequent values of each column, ties broken by the value as text, where that can be proved.
 
@@ -89,35 +100,39 @@ def frequent_values(df: DataFrame, names: list[str], k: int) -> Found:
     the k-th candidate is, its place is proved. Columns of so few values that no summary was
     cut need no second pass. Others come back as `unproved`.
     """
-    texts = {name: as_text(df, name) for name in names}
-    known = [name for name in names if texts[name] is not None]
-    unproved = [name for name in names if texts[name] is None]
+    values = {name: _countable(df, name) for name in names}
+    known = [name for name in names if values[name] is not None]
+    unproved = [name for name in names if values[name] is None]
     if not known:
         return Found([], unproved)
+    kinds = [values[name][0] for name in known]
     most, wanted = max(HELD_PER_WANTED * k, HELD_AT_LEAST), CANDIDATES_PER_WANTED * k
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summaries = [Summary(most) for _ in known]
+        summaries = [Summary(most, KINDS[kind]) for kind in kinds]
         for batch in batches:
             for summary, column in zip(summaries, batch.columns, strict=True):
                 summary.add(column)
-        for i, summary in enumerate(summaries):
+        for i, (summary, kind) in enumerate(zip(summaries, kinds, strict=True)):
             summary.cut()
             size = len(summary.counts) + 1
-            values = pa.concat_arrays([summary.values, pa.array([None], pa.string())])
+            found = {of: pa.nulls(size, dtype) for of, dtype in KINDS.items()}
+            found[kind] = pa.concat_arrays([summary.values, pa.array([None], KINDS[kind])])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": pa.array(np.full(size, i, np.int32)), "value": values, "n": pa.array(np.append(summary.counts, 0)),
+                    "id": pa.array(np.full(size, i, np.int32)), **found, "n": pa.array(np.append(summary.counts, 0)),
                     "error": pa.array(np.append(np.zeros(size - 1, np.int64), summary.error)),
                 }
             )
 
-    columns = df.select(*[texts[name].alias(f"c{i}") for i, name in enumerate(known)])
-    summed = columns.mapInArrow(summarise, SUMMARY_SCHEMA).groupBy("id", "value").agg(F.sum("n").alias("n"), F.sum("error").alias("error"))
+    columns = df.select(*[values[name][1].alias(f"c{i}") for i, name in enumerate(known)])
+    summed = columns.mapInArrow(summarise, SUMMARY_SCHEMA).groupBy("id", *KINDS).agg(F.sum("n").alias("n"), F.sum("error").alias("error"))
+    summed = summed.withColumn("value", F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("value").isNotNull(), F.col("n").desc(), "value"))
     # The error, the candidates and the first value left out: a bounded number of rows.
     listed = summed.withColumn("place", place).where(F.col("place") <= wanted + 2).collect()
     error = {r.id: r.error for r in listed if r.value is None}
+    counted_as = {(r.id, r.value): r[kinds[r.id]] for r in listed}
     ranked = {i: sorted(((-r.n, r.value) for r in listed if r.id == i and r.value is not None)) for i in range(len(known))}
     rows, candidates = [], []
     for i, name in enumerate(known):
@@ -125,7 +140,7 @@ def frequent_values(df: DataFrame, names: list[str], k: int) -> Found:
             rows += [(name, value, -n) for n, value in ranked[i][:k]]
         else:
             candidates += [(i, value) for _, value in ranked[i][:wanted]]
-    counted = _exact_counts(columns, candidates)
+    counted = _exact_counts(columns, kinds, candidates, counted_as)
     for i, name in enumerate(known):
         if error.get(i, 0) == 0:
             continue
@@ -138,14 +153,25 @@ def frequent_values(df: DataFrame, names: list[str], k: int) -> Found:
     return Found(rows, unproved)
 
 
-def _exact_counts(columns: DataFrame, candidates: list[tuple[int, str]]) -> dict[tuple[int, str], int]:
+def _exact_counts(columns: DataFrame, kinds: list[str], candidates: list[tuple[int, str]], counted_as: dict) -> dict[tuple[int, str], int]:
     if not candidates:
         return {}
-    used = sorted({i for i, _ in candidates})
-    asked = columns.sparkSession.createDataFrame(candidates, "id int, value string")
-    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("id"), quoted(f"c{i}").alias("value")) for i in used]))
-    met = columns.select(pairs).join(F.broadcast(asked), ["id", "value"], "left_semi")
-    return {(r.id, r.value): r.n for r in met.groupBy("id", "value").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked: dict[int, list[str]] = {}
+    for i, value in candidates:
+        asked.setdefault(i, []).append(value)
+    looked_up = {i: pa.array([counted_as[i, value] for value in found], KINDS[kinds[i]]) for i, found in asked.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {i: np.zeros(len(found), np.int64) for i, found in looked_up.items()}
+        for batch in batches:
+            for column, (i, found) in zip(batch.columns, looked_up.items(), strict=True):
+                at = pc.index_in(column, value_set=found).drop_null().to_numpy(zero_copy_only=False)
+                totals[i] += np.bincount(at, minlength=len(found))
+        for i, n in totals.items():
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(n), i, np.int32)), "at": pa.array(np.arange(len(n))), "n": pa.array(n)})
+
+    counts = columns.select(*[f"c{i}" for i in looked_up]).mapInArrow(count, "id int, at bigint, n bigint")
+    return {(r.id, asked[r.id][r.at]): r.n for r in counts.groupBy("id", "at").agg(F.sum("n").alias("n")).collect()}
 
 
 def smallest_texts(df: DataFrame, names: list[str], k: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +36,10 @@ GROUPED_ROWS = 20_000_000
 BROADCAST_BYTES = 32 << 20
 # Parts that the rows of one digest are joined in, where the digests are too many for that.
 SALTS = 16
-# Bits of a bitmap that `bitmap_construct_agg` fills.
+# Bits of a bitmap as `bitmap_or_agg` takes it.
 BITMAP_BITS = 4096 * 8
+# Rows that a task sorts before it sets their bits, the bitmaps it holds and those it hands on at once.
+ROWS_PER_FILL, HELD_BITMAPS, BITMAPS_PER_BATCH = 1 << 20, 1 << 16, 1 << 10
 # Bits of a task's bitmaps for each of its rows, at most, for counting values as bits.
 BITS_PER_ROW = 128
 
@@ -198,7 +204,41 @@ def _whole_ranges(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int,
 def _bit_counts(df: DataFrame, names: list[str], low: dict[str, int]) -> DataFrame:
     """Values per bitmap of each column: a task fills a bitmap of 32,768 bits for every stretch it meets."""
     offsets = [(quoted(name).cast("bigint") - F.lit(low[name]).cast("bigint")).alias(name) for name in names]
-    long = df.select(*offsets).unpivot([], [quoted(name) for name in names], "column", "value").where("value IS NOT NULL")
-    stretch, bit = F.floor(F.col("value") / BITMAP_BITS).alias("stretch"), F.col("value") % BITMAP_BITS
-    bitmaps = long.groupBy("column", stretch).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    return bitmaps.select("column", F.bitmap_count("bits").alias("n"))
+    bitmaps = df.select(*offsets).mapInArrow(_bitmaps, "place int, stretch bigint, bits binary")
+    column = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("place") + 1).alias("column")
+    whole = bitmaps.groupBy("place", "stretch").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.select(column, F.bitmap_count("bits").alias("n"))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the stretches of all columns that a task meets, a stretch more than once where they outgrow HELD_BITMAPS."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    waiting: list[pa.RecordBatch] = []
+
+    def fill() -> None:
+        for i, column in enumerate(pa.Table.from_batches(waiting).columns if waiting else ()):
+            values = np.unique(column.combine_chunks().drop_null().to_numpy(zero_copy_only=False))
+            stretch = values // BITMAP_BITS
+            ends = np.append(np.flatnonzero(np.diff(stretch)) + 1, len(values))
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if b > a:
+                    flags = np.zeros(BITMAP_BITS, np.uint8)
+                    flags[values[a:b] % BITMAP_BITS] = 1
+                    bits, key = np.packbits(flags), (i, int(stretch[a]))
+                    held[key] = held[key] | bits if key in held else bits
+        waiting.clear()
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for keys in chunked(list(held), BITMAPS_PER_BATCH):
+            places, stretches = zip(*keys, strict=True)
+            bits = [held.pop(key).tobytes() for key in keys]
+            yield pa.RecordBatch.from_pydict({"place": pa.array(places, pa.int32()), "stretch": pa.array(stretches, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= ROWS_PER_FILL:
+            fill()
+            if len(held) > HELD_BITMAPS:
+                yield from handed_on()
+    fill()
+    yield from handed_on()
