@@ -59,7 +59,7 @@ def test_stages_take_odd_tables(spark, odd, documents, folder):
 
 def test_registered_queries_are_these(folder):
     names = [n for n in entry_point.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in names and set(QUERIES) < set(names)
     assert [n for n, _ in P.STAGES] == ["language id", "near duplicates", "decontamination", "mixing", "token ids"]
     assert os.path.isdir(folder) and language_id.UNDETERMINED == "und"
