@@ -6,11 +6,16 @@ search over the graph so far proposes neighbours, and a proposed neighbour is le
 one kept already is closer to it than the node is, by the factor ALPHA. Edges are added
 in both directions and pruned the same way. A query is answered by a beam search in every
 shard, an exact score in double precision for what the beams end with, and a merge.
+
+Shards and blocks of queries meet in tiles: a task is sent the few shards of a tile, keeps
+them, and has the tile's blocks pass by. Nothing is broadcast, and each shard is copied for
+every TILE_BLOCKS blocks only, each block for every tile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ EXPANDED = 4
 QUERIES = 512
 # Queries in a block, the unit that meets a shard.
 BLOCK = 4096
+# Bytes that the shards of a tile may take in a worker, and blocks of queries in a tile.
+TILE_BYTES, TILE_BLOCKS = 64 << 20, 16
+# Tiles at least, where there are as many shards, and tasks of a stage at most.
+SPREAD, MOST_TASKS = 64, 10_000
 
 
 def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,41 +214,83 @@ def index(rows: DataFrame, top: int) -> DataFrame:
     shards = {r.dim: -(-r["count"] // SHARD) for r in nodes.groupBy("dim").count().collect()}
     of_dim = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("dim")) if shards else F.lit(1)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), of_dim).cast("long"))
+    # Graphs take long to build, so that a task should have few.
+    dealt = dealt.repartition(max(1, min(sum(shards.values()), MOST_TASKS)), "dim", "shard")
     return written(dealt.groupBy("dim", "shard").applyInArrow(_index_shard, _INDEX), "vector-index")
 
 
+class _Shard(NamedTuple):
+    entry: int
+    ids: list[list[int]]
+    raw: np.ndarray
+    unit: np.ndarray
+    graph: np.ndarray
+
+
+def _query_block(table: pa.Table) -> pa.Table:
+    """The queries of a block as one row, shaped like a shard without a graph."""
+    dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
+    vectors = np.array(table.column("vector").to_pylist(), dtype=np.float64)
+    return pa.table(
+        {
+            "dim": pa.array([dim], pa.int32()),
+            "block": pa.array([block], pa.int64()),
+            "ids": pa.array([[[i] for i in table.column("id").to_pylist()]], pa.list_(pa.list_(pa.int64()))),
+            "vectors": pa.array([vectors.tobytes()], pa.binary()),
+        }
+    )
+
+
 def _search(batches: Iterator[pa.RecordBatch], top: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """The `top` nearest rows that each tile has for its queries; its shards come before its blocks."""
+    tile, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            dim, ids = row["dim"], row["ids"]
-            raw = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dim)
-            graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(-1, DEGREE).astype(np.int64)
-            unit = _unit(raw)
-            asked = np.array([q["vector"] for q in row["queries"]], dtype=np.float64).reshape(-1, dim)
-            out: list[tuple[int, int, float]] = []
-            for at in range(0, len(asked), QUERIES):
-                part = asked[at : at + QUERIES]
-                found, _ = beam_search(unit, graph, row["entry"], _unit(part), beam)
-                for i, nodes in enumerate(found):
-                    own = row["queries"][at + i]["id"]
-                    nodes = nodes[nodes >= 0]
-                    scores = cosine(raw[nodes], np.broadcast_to(part[i], (len(nodes), dim)))
-                    listed = [(-s, v) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for v in ids[node] if v != own]
-                    out += [(own, v, -s) for s, v in sorted(listed)[:top]]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array([q for q, _, _ in out], pa.int64()),
-                    "vec_id": pa.array([v for _, v, _ in out], pa.int64()),
-                    "score": pa.array([s for _, _, s in out], pa.float64()),
-                }
-            )
+            if (row["dim"], row["tile"], row["part"]) != tile:
+                tile, held = (row["dim"], row["tile"], row["part"]), []
+            vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, row["dim"])
+            if row["graph"] is not None:
+                graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(-1, DEGREE).astype(np.int64)
+                held.append(_Shard(row["entry"], row["ids"], vectors, _unit(vectors), graph))
+            else:
+                yield _answers(held, [i for i, in row["ids"]], vectors, top, beam)
+
+
+def _answers(held: list[_Shard], owns: list[int], asked: np.ndarray, top: int, beam: int) -> pa.RecordBatch:
+    out: list[tuple[int, int, float]] = []
+    for at in range(0, len(asked), QUERIES):
+        part = asked[at : at + QUERIES]
+        unit = _unit(part)
+        best: list[list[tuple[float, int]]] = [[] for _ in part]
+        for shard in held:
+            found, _ = beam_search(shard.unit, shard.graph, shard.entry, unit, beam)
+            for i, nodes in enumerate(found):
+                own = owns[at + i]
+                nodes = nodes[nodes >= 0]
+                scores = cosine(shard.raw[nodes], np.broadcast_to(part[i], (len(nodes), part.shape[1])))
+                listed = [(-s, v) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for v in shard.ids[node] if v != own]
+                best[i] = sorted(best[i] + listed)[:top]
+        out += [(owns[at + i], v, -s) for i, listed in enumerate(best) for s, v in listed]
+    return pa.RecordBatch.from_pydict(
+        {
+            "query_id": pa.array([q for q, _, _ in out], pa.int64()),
+            "vec_id": pa.array([v for _, v, _ in out], pa.int64()),
+            "score": pa.array([s for _, _, s in out], pa.float64()),
+        }
+    )
+
+
+def _tiles(dim: int, n_shards: int) -> int:
+    """Tiles over so many shards: vectors twice, graph and ids of a tile's shards stay within TILE_BYTES."""
+    shard_bytes = SHARD * (12 * dim + 8 * DEGREE + 120)
+    return min(n_shards, max(SPREAD, -(-n_shards // max(1, TILE_BYTES // shard_bytes))))
 
 
 def search(shards: DataFrame, queries: DataFrame, top: int = 5, beam: int = BEAM) -> DataFrame:
     """The `top` nearest rows found for each of `queries` (`id`, `vector`).
 
-    Every block of queries meets every shard of its dimension; blocks and shards are of
-    bounded size, and each pair is a row of its own.
+    Every block of queries meets every shard of its dimension, in tiles; blocks, shards and
+    tiles are of bounded size.
     """
     spark = shards.sparkSession
     counts = {r.dim: r["count"] for r in shards.groupBy("dim").count().collect()}
@@ -250,17 +301,28 @@ def search(shards: DataFrame, queries: DataFrame, top: int = 5, beam: int = BEAM
     blocks = {d: b for d, b in blocks.items() if d in counts}
     if not blocks:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    tiles = {d: _tiles(d, counts[d]) for d in blocks}
+    parts = {d: -(-b // TILE_BLOCKS) for d, b in blocks.items()}
 
     def per_dim(table: dict[int, int]) -> Column:
         return F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for pair in table.items() for x in pair]), F.col("dim")), F.lit(0))
 
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(per_dim(blocks), F.lit(1))).cast("long"))
-    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    asked = asked.where(per_dim(counts) > 0).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (per_dim(counts) - 1).cast("long"))))
-    copied = shards.where(per_dim(blocks) > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (per_dim(blocks) - 1).cast("long"))))
-    pairs = sum(counts[d] * b for d, b in blocks.items())
-    met = copied.join(asked, ["dim", "shard", "block"]).repartition(max(1, min(pairs, 100_000)))
-    # A row holds a shard, so only a few go into a batch.
+    def dealt(number: Column, table: dict[int, int]) -> Column:
+        return F.pmod(number, F.greatest(per_dim(table), F.lit(1))).cast("long")
+
+    def numbers(table: dict[int, int]) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), (per_dim(table) - 1).cast("long")))
+
+    asked = queries.where(per_dim(blocks) > 0).withColumn("block", dealt(F.xxhash64("id"), blocks))
+    asked = asked.groupBy("dim", "block").applyInArrow(_query_block, "dim int, block bigint, ids array<array<bigint>>, vectors binary")
+    none = {"entry": F.lit(None).cast("long"), "graph": F.lit(None).cast("binary")}
+    asked = asked.withColumns({"part": dealt(F.col("block"), parts), "tile": numbers(tiles), **none}).drop("block")
+    held = shards.where(per_dim(blocks) > 0).withColumns({"tile": dealt(F.col("shard"), tiles), "part": numbers(parts)}).drop("shard")
+    place = ["dim", "tile", "part"]
+    n_tiles = sum(tiles[d] * parts[d] for d in blocks)
+    met = held.unionByName(asked).repartition(max(1, min(n_tiles, MOST_TASKS)), *place)
+    met = met.sortWithinPartitions(*place, F.col("graph").isNull())
+    # A row holds a shard or a block, so only a few go into a batch.
     with session_setting(spark, ARROW_ROWS, "2"):
         found = written(met.mapInArrow(lambda it: _search(it, top, beam), "query_id bigint, vec_id bigint, score double"), "neighbours")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

@@ -64,3 +64,47 @@ def test_odd_vectors_take_no_part(spark):
     assert A.neighbours(_table(spark, [])).count() == 0
     assert A.neighbours(_table(spark, [(1, [1.0])])).count() == 0
     assert A.neighbours(_table(spark, [(50, [1.0])])).count() == 0
+
+
+def _answers(spark, rows):
+    return [(r.query_id, r["rank"], r.vec_id, r.score) for r in A.neighbours(_table(spark, rows)).orderBy("query_id", "rank").collect()]
+
+
+def test_blocks_copied_for_all_shards_are_not_broadcast(spark, vectors, monkeypatch):
+    # The driver would hold as many copies of all queries as there are shards.
+    monkeypatch.setattr(A, "SHARD", 100)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")
+    try:
+        got = _answers(spark, vectors)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    want = _exact(vectors)
+    assert len(got) == 5 * len(want)
+    assert sum(v in {w for w, _ in want[q]} for q, _, v, _ in got) >= 0.95 * len(got)
+
+
+def test_tiles_of_any_size_give_the_same_rows(spark, vectors, monkeypatch):
+    rows = vectors[:1200] + [(5000 + 50 * i, [float(i), 1.0, 2.0]) for i in range(30)]
+    monkeypatch.setattr(A, "SHARD", 200)
+    monkeypatch.setattr(A, "BLOCK", 8)
+    monkeypatch.setattr(A, "SPREAD", 1)
+    found = []
+    for tile_bytes, tile_blocks in ((1, 1), (200_000, 2), (1 << 30, 16)):
+        monkeypatch.setattr(A, "TILE_BYTES", tile_bytes)
+        monkeypatch.setattr(A, "TILE_BLOCKS", tile_blocks)
+        found.append(_answers(spark, rows))
+    assert len(found[0]) == 5 * (24 + 30)
+    assert all(f == found[0] for f in found)
+
+
+def test_a_shard_number_without_rows_leaves_no_other_shard_out(spark, vectors, monkeypatch):
+    monkeypatch.setattr(A, "SHARD", 2)
+    rows = vectors[:200]
+    assert {(q, v) for q, _, v, _ in _answers(spark, rows)} == {(q, v) for q, found in _exact(rows).items() for v, _ in found}
+
+
+def test_tiles_stay_within_a_workers_bytes_and_are_spread():
+    assert [A._tiles(64, n) for n in (1, 13, 64, 151)] == [1, 13, 64, 64]
+    for dim, shards in ((64, 4000), (1024, 4000)):
+        held = -(-shards // A._tiles(dim, shards))
+        assert held == 1 or held * A.SHARD * (12 * dim + 8 * A.DEGREE + 120) <= A.TILE_BYTES
